@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataflow.llm import exact_dedup, warc
+from strataflow.llm import bpe_automaton, exact_dedup, warc
 
 QUERIES = {
     "op3_warc_archive": warc.op3_warc_archive,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_bpe_automaton": bpe_automaton.op9_bpe_automaton,
 }
 
 ORACLES = {
