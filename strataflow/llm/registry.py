@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataflow.llm import bpe_automaton, exact_dedup, warc
+from strataflow.llm import bpe_automaton, chunk_store, exact_dedup, warc
 
 QUERIES = {
     "op3_warc_archive": warc.op3_warc_archive,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_chunk_store": chunk_store.op8_chunk_store,
     "op9_bpe_automaton": bpe_automaton.op9_bpe_automaton,
 }
 
