@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataflow.llm import bpe_automaton, chunk_store, exact_dedup, warc
+from strataflow.llm import bpe_automaton, chunk_store, exact_dedup, order_minhash, warc
 
 QUERIES = {
+    "op1_order_minhash": order_minhash.op1_order_minhash,
     "op3_warc_archive": warc.op3_warc_archive,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_chunk_store": chunk_store.op8_chunk_store,
