@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from strataflow.llm import bpe_automaton, chunk_store, exact_dedup, order_minhash, warc
+from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, license_rules, order_minhash, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
     "op3_warc_archive": warc.op3_warc_archive,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_license_rules": license_rules.op7_license_rules,
     "op8_chunk_store": chunk_store.op8_chunk_store,
     "op9_bpe_automaton": bpe_automaton.op9_bpe_automaton,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
     "op3_warc_archive": warc.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op7_license_rules": license_rules.OP7_SQL,
 }
