@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, license_rules, order_minhash, quality, toxicity, warc
+from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, license_rules, order_minhash, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
     "op2_quality_rff": quality.op2_quality_rff,
     "op3_warc_archive": warc.op3_warc_archive,
     "op4_toxicity_chain": toxicity.op4_toxicity_chain,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_license_rules": license_rules.op7_license_rules,
     "op8_chunk_store": chunk_store.op8_chunk_store,
