@@ -319,12 +319,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+def digests(both: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of rows doc_id, ids, decoded."""
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    return digests(decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path))
