@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -144,39 +145,66 @@ class Automaton:
         return out[::-1]
 
 
+class Recent(dict):
+    """Values by key, made by `make` when absent. Of two generations of at most CACHE keys the older is dropped."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+
+
 class Lexer:
     """Cuts texts into blank-separated pieces and keeps the packed ids of recent pieces, as the library would encode them."""
 
     #: White_Space of Unicode, without which str.split would also cut at U+001C to U+001F. Fixed values.
-    SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+    SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
     PLAIN = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
-    def __init__(self, spec: str, words: Callable[[list[str]], list[bytes]] | None, kind: str) -> None:
-        """words: packed ids of words (normalised and pre-split); None: each piece is encoded by the library."""
+    def __init__(self, spec: str, kind: str, word: Callable[[str], list[int]] | None = None) -> None:
+        """word: ids of a word (normalised and pre-split); by the library's model if None."""
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind, self.words = np.dtype(kind), words
+        self.kind, self.code = np.dtype(kind), {1: "B", 2: "H", 4: "I"}[np.dtype(kind).itemsize]
+        self.word = word or self.library_word
         self.plain = parsed["normalizer"] == self.PLAIN and json.dumps(parsed["pre_tokenizer"]).count('"Split"') == 1
-        special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.ids = special
+        self.ids = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")") if self.ids else None
         self.cut = re.compile(f"[{self.SPACE}]+")
         self.odd = re.compile("[\x1c-\x1f]")
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.chars = byte_chars()
+        self.words = Recent(lambda w: self.pack(self.word(w)))
+        self.pieces = Recent(self.piece)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()  # workers are little-endian, as all of Spark's platforms
+
+    def library_word(self, word: str) -> list[int]:
+        if not word.isalpha() or not word.isascii():
+            word = "".join(map(self.chars.__getitem__, word.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
         if not self.plain:
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.words.turn()
+        self.pieces.turn()
         if self.special and "<" in text and self.special.search(text):
             return b"".join(self.pack([self.ids[x]]) if x in self.ids else self.segment(x) for x in self.special.split(text) if x)
         return self.segment(text)
@@ -185,37 +213,16 @@ class Lexer:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # the library lowers each character by itself; only the capital sigma depends on its place in str.lower
-        text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+        text = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
         pieces = [x for x in self.cut.split(text) if x] if self.odd.search(text) else text.split()
-        if len(self.pieces) > CACHE:
-            self.older, self.pieces = self.pieces, {}
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:
-            self.learn(pieces)
-            return b"".join(map(self.pieces.__getitem__, pieces))
-
-    def learn(self, pieces: list[str]) -> None:
-        known, older = self.pieces, self.older
-        missing = {x for x in pieces if x not in known}
-        for x in [x for x in missing if x in older]:
-            known[x] = older[x]
-            missing.discard(x)
-        split = {x: self.split(x) for x in missing}
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        parts = self.parts
-        new = list({w for ws in split.values() for w in ws if w not in parts})
-        parts.update(zip(new, self.words(new), strict=True))
-        for x, ws in split.items():
-            known[x] = parts[ws[0]] if len(ws) == 1 else b"".join(map(parts.__getitem__, ws))
-
-    def split(self, piece: str) -> list[str]:
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            return [piece]
+            return self.words[piece]
         if piece[-1] in ".,!?;:" and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return [piece[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+            return self.words[piece[:-1]] + self.words[piece[-1]]
+        return b"".join([self.words[piece[a:b]] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)])
 
 
 def compiled(spec: str) -> Automaton:
@@ -232,8 +239,7 @@ def automaton_lexer(spec: str) -> Lexer:
     key = ("automaton", hash(spec))
     if key not in _WORKER:
         machine = compiled(spec)
-        kind = np.dtype(np.int32)
-        _WORKER[key] = Lexer(spec, lambda words: [np.array(machine.encode(w.encode()), kind).tobytes() for w in words], "<i4")
+        _WORKER[key] = Lexer(spec, "<i4", lambda w: machine.encode(w.encode()))
     return _WORKER[key]
 
 

@@ -36,11 +36,10 @@ ENCODED = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>
 
 
 def library_lexer(spec: str, kind: str) -> Lexer:
+    """One for each Python worker, encoding words that it has not met lately by the tokenizers library."""
     key = ("library", kind, hash(spec))
     if key not in _WORKER:
-        lexer = _WORKER[key] = Lexer(spec, None, kind)
-        width = np.dtype(kind)
-        lexer.words = lambda words: [np.array(e.ids, width).tobytes() for e in lexer.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        _WORKER[key] = Lexer(spec, kind)
     return _WORKER[key]
 
 
