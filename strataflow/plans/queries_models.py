@@ -1,2 +1,98 @@
+"""Feature table, fold models, stacking and drift as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataflow.functions.scalar import rounded
+from strataflow.operators import features, folds, models
+from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, r6, wells
+
+c = F.col
 QUERIES: dict = {}
 ORACLES: dict = {}
+FOLDS = 3
+
+
+def query(sql: str | None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = f"WITH {WELLS_SQL} {sql}"
+        return fn
+
+    return add
+
+
+@query(None)
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hidden row with its features."""
+    return features.window_features(wells(spark, sf_dir), WELL)[0]
+
+
+@query(f"""SELECT well_id, row_id, {r6('(sum(tvt) OVER () - sum(tvt) OVER (PARTITION BY fold)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold))')} AS mean_prediction FROM (SELECT *, CAST(well_id AS BIGINT) % 3 AS fold FROM w)""")
+def mean_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wells(spark, sf_dir).withColumn("fold", c("well_id").cast("long") % 3)
+    return models.mean_by_fold(rows, "fold", "tvt").select("well_id", "row_id", rounded(c("mean_prediction")).alias("mean_prediction"))
+
+
+def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    rows, names = features.window_features(wells(spark, sf_dir), WELL)
+    dealt = folds.length_chunks(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", FOLDS, seed=42).select("well_id", "fold")
+    return rows.join(dealt, "well_id"), names
+
+
+@query(None)
+def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold residuals of boosted trees, by folds of whole wells."""
+    rows, names = _training(spark, sf_dir)
+    return models.out_of_fold(rows, names, "target", "fold", FOLDS, iterations=8, depth=3).select("well_id", "row_id", "fold", "target", "oof")
+
+
+@query(None)
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, names = _training(spark, sf_dir)
+    fitted = models.regressor("forest", names, "target", iterations=10, depth=4).fit(rows.fillna(-999.0, subset=names))
+    return spark.createDataFrame(models.importances(fitted, names), "feature string, importance double")
+
+
+_RES = f"""r AS (SELECT * FROM (SELECT *, tvt - last_value(tvt_input IGNORE NULLS) OVER ({WHOLE}) AS t, coalesce(lag(tvt) OVER ({BY}), tvt) - last_value(tvt_input IGNORE NULLS) OVER ({WHOLE}) AS a,
+ avg(tvt) OVER ({BY} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - last_value(tvt_input IGNORE NULLS) OVER ({WHOLE}) AS b FROM w) WHERE tvt_input IS NULL)"""
+
+
+@query(f", {_RES} SELECT {r6('sum(a * a) / count(*)')} AS aa, {r6('sum(a * b) / count(*)')} AS ab, {r6('sum(b * b) / count(*)')} AS bb, {r6('sum(a * t) / count(*)')} AS at, {r6('sum(b * t) / count(*)')} AS bt, {r6('sum(t * t) / count(*)')} AS tt, count(*) AS n FROM r")
+def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All products that weighting two predictions needs, in one scan."""
+    rows = _two(spark, sf_dir)
+    p = {"aa": ("a", "a"), "ab": ("a", "b"), "bb": ("b", "b"), "at": ("a", "t"), "bt": ("b", "t"), "tt": ("t", "t")}
+    return rows.agg(*(rounded(F.sum(c(x) * c(y)) / F.count("*")).alias(k) for k, (x, y) in p.items()), F.count("*").alias("n"))
+
+
+def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = F.last("tvt_input", ignorenulls=True).over(WELL.whole)
+    before = F.coalesce(F.lag("tvt").over(WELL.window), c("tvt"))
+    rows = wells(spark, sf_dir).withColumns({"t": c("tvt") - anchor, "a": before - anchor, "b": F.avg("tvt").over(WELL.centered(5)) - anchor})
+    return rows.filter("tvt_input is null")
+
+
+@query(None)
+def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of two predictions by non-negative ridge and on the simplex, with their errors and that of the plain mean."""
+    g, b, tt, n = models.gram(_two(spark, sf_dir), ["a", "b"], "t")
+    rows = []
+    for name, w in (("ridge", models.positive_ridge(g, b)), ("simplex", models.simplex_weights(g, b)), ("mean", g.diagonal() * 0 + 0.5)):
+        rows.append((name, float(w[0]), float(w[1]), models.error(g, b, tt, n, w)))
+    return spark.createDataFrame(rows, "method string, weight_a double, weight_b double, rmse double")
+
+
+@query(None)
+def drift_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a classifier tells the test wells from the others, by folds of whole wells (rows of one well never stand on both sides)."""
+    rows, names = features.window_features(wells(spark, sf_dir), WELL)
+    labelled = rows.withColumn("is_test", (c("well_id").cast("long") % 10 == 0).cast("double")).withColumn("fold", F.pmod(F.xxhash64("well_id"), F.lit(2)).cast("int"))
+    used = ["md_since", "dx", "dy", "dz", "frac", "grf", "last_known"]
+    _, auc = models.drift(labelled, used, "is_test", "fold", 2, iterations=5)
+    return spark.createDataFrame([(auc,)], "overall_auc double")
+
+
