@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from helpers import DATA
 from strataflow.operators import curves, folds, models, post, spatial
 from strataflow.plans.wellview import WELL, curve, wells
 from strataflow.sources import template, wells as sources

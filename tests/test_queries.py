@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA, rows_of
+from helpers import DATA, rows_of
 from strataflow.plans import registry
 
 
