@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows are at most this many and each row is a few fixed-width values.
 BROADCAST_ROWS = 500_000
+#: The same for rows that hold a list of a few dozen such values.
+BROADCAST_LISTS = 50_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -33,13 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[str], salts: int = 16) -> DataFrame:
+def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[str], salts: int = 16, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows with small, a staged table that holds each key once.
 
-    small is broadcast only after counting it (BROADCAST_ROWS). Beyond that both sides are shuffled by the key and a
+    small is broadcast only after counting it (`most` rows, fewer to be given for wide rows). Beyond that both sides are shuffled by the key and a
     salt from salt_by, small being repeated once a salt, so that one hot key is spread over `salts` tasks.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(small), list(on), how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))

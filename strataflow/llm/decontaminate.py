@@ -3,15 +3,15 @@
 Texts are cut into words (runs of letters and digits, lower case). A seed is a fixed mask over consecutive words; words at
 its zeros are ignored. Both masks together hit every window of 13 words in which up to two words are substituted (each
 mask alone misses some; the pair was found by trying all masks of six words, and a test goes through all 78 places of two
-substitutions). Seed hashes of the benchmark are joined with those of all documents, and each hit is verified: the words
-around it are aligned with the item's, and a window of `WINDOW` words with at most `SUBSTITUTIONS` differences must
-contain the seed. An item shorter than a window must occur whole and unchanged.
+substitutions). Seed hashes of the benchmark are joined with those of all documents. A hit proposes how the item would lie in the text; the words around it
+are aligned with the item's that way, and a window of `WINDOW` words with at most `SUBSTITUTIONS` differences must be
+found. An item shorter than a window must occur whole and unchanged.
 
 Defined cases: null and empty texts hold nothing; null item texts are ignored; items of fewer words than a mask spans
 (8) are never reported, since so few words prove nothing; rows that share an id are one document, null ids are one too;
-repeated items are reported under each of their ids; an empty table gives an empty result. Only the id and text column of
-either table are read. Text is not shuffled: the benchmark's seeds are broadcast after a count (SEED_ROWS); beyond it
-document seeds are shuffled with the few words around them.
+null item ids are ignored, items that share an id are one, repeated texts are reported under each of their ids; an empty table gives an empty result. Only the id and text column of
+either table are read. Text is not shuffled: the benchmark's seeds are broadcast after a count (SEED_ROWS), beyond it the
+documents' seed hashes are shuffled; texts with hits are met by a second scan.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import staged, table
+from strataflow.llm.common import BROADCAST_LISTS, lookup_join, staged, table
 
 #: 1 marks the words that count.
 MASKS = ("11101011", "110100111")
@@ -31,58 +31,57 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
-def seeds(words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, at (first word of the seed, from 0), span, and the words of windows around it (from, around), of rows with an array `words`."""
-    n = F.size("words")
-    span = min(map(len, MASKS))
-    # a condition inside the generator: as a filter it would be pushed down and cut the text a second time
-    placed = words.withColumn("at", F.explode(F.when(n >= span, F.sequence(F.lit(0), n - span))))
+def seeds(words: DataFrame) -> DataFrame:
+    """key, at (first word, from 0) and the other columns of rows with an array `words`, which is left behind.
+
+    Hashes are made inside the row's arrays, so that what is exploded is narrow however long a text is.
+    """
+    hashed = words.select(*(c for c in words.columns if c != "words"), F.transform("words", lambda w: F.xxhash64(w)).alias("_w"))
     keys = []
     for i, mask in enumerate(MASKS):
-        chosen = [F.get("words", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"]
-        keys.append(F.struct(F.when(F.col("at") + len(mask) <= n, F.xxhash64(F.lit(i), *chosen)).alias("key"), F.lit(len(mask)).alias("span")))
-    # an array of structs made per position, then one row a mask
-    flat = placed.withColumn("seed", F.explode(F.array(*keys))).filter("seed.key is not null")
-    return flat.withColumn("key", F.col("seed.key")).withColumn("span", F.col("seed.span")).drop("seed")
-
-
-def around(window: int) -> tuple[Column, Column]:
-    """First word and the words that windows of a seed at `at` with `span` can cover."""
-    start = F.greatest(F.lit(0), F.col("at") + F.col("span") - window)
-    stop = F.least(F.size("words"), F.col("at") + window)
-    return start, F.slice("words", start + 1, stop - start)
+        ones = ", ".join(f"get(_w, p + {k})" for k, bit in enumerate(mask) if bit == "1")
+        made = F.expr(f"transform(sequence(0, size(_w) - {len(mask)}), p -> xxhash64({i}, {ones}))")
+        keys.append(F.when(F.size("_w") >= len(mask), made).otherwise(F.array().cast("array<bigint>")).alias(f"_k{i}"))
+    kept = [c for c in hashed.columns if c != "_w"]
+    both = hashed.select(*kept, *keys)
+    flat = both.select(*kept, F.size("_k0").alias("_n"), F.posexplode(F.concat("_k0", "_k1")).alias("_p", "key"))
+    return flat.select(*kept, "key", F.when(F.col("_p") < F.col("_n"), F.col("_p")).otherwise(F.col("_p") - F.col("_n")).alias("at"))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """doc_id, item_id, first_word, end_word: the span of a document's words within verified windows of an item."""
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
-    start, words = around(window)
-    known = seeds(items).select("key", "item_id", (F.col("at") - start).alias("item_left"), words.alias("item_words"), F.size("words").alias("item_size"), F.col("at").alias("item_at"))
-    known = staged(known, "seeds")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    found = seeds(docs)
-    if known.limit(SEED_ROWS + 1).count() <= SEED_ROWS:
-        hits = found.join(F.broadcast(known), "key")
-        hits = hits.select("doc_id", "at", start.alias("from"), words.alias("doc_words"), F.size("words").alias("doc_size"), *known.columns[1:])
-    else:
-        narrow = found.select("key", "doc_id", "at", start.alias("from"), words.alias("doc_words"), F.size("words").alias("doc_size"))
-        hits = narrow.join(known, "key")
-    size = F.least(F.lit(window), F.col("item_size"))
-    need = F.when(F.col("item_size") < window, F.col("item_size")).otherwise(window - substitutions)
-    left = F.least(F.col("at") - F.col("from"), F.col("item_left"))
-    right = F.least(F.size("doc_words") - (F.col("at") - F.col("from")), F.size("item_words") - F.col("item_left"))
-    aligned = hits.select("doc_id", "item_id", (F.col("at") - left).alias("base"), size.alias("window"), need.alias("need"), F.slice("doc_words", F.col("at") - F.col("from") - left + 1, left + right).alias("x"), F.slice("item_words", F.col("item_left") - left + 1, left + right).alias("y"))
-    aligned = aligned.filter(F.size("x") >= F.col("window")).withColumn("same", F.zip_with("x", "y", lambda a, b: (a == b).cast("int")))
+    items = staged(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")), "items")
+    known = staged(seeds(items).withColumnRenamed("at", "item_at"), "seeds")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = seeds(docs.select("doc_id", words_of(F.col("text")).alias("words")))
+    small = known.limit(SEED_ROWS + 1).count() <= SEED_ROWS
+    hits = found.join(F.broadcast(known) if small else known, "key")
+    # a hit proposes a diagonal: where the item would start in the document; diagonals are few for each pair
+    places = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    places = staged(places.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).agg(F.collect_list(F.struct("item_id", "shift")).alias("places")), "places")
+    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
+    again = lookup_join(keyed, places, ["_id", "_none"], "inner", ["doc_id"], most=BROADCAST_LISTS)
+    again = again.select("doc_id", words_of(F.col("text")).alias("words"), "places").select("doc_id", "words", F.explode("places").alias("p"))
+    base = F.greatest(F.lit(0), F.col("p.shift"))
+    cut = again.select("doc_id", F.col("p.item_id").alias("item_id"), F.col("p.shift").alias("shift"), base.alias("base"), F.size("words").alias("n"), "words")
+    item_words = items.select("item_id", F.col("words").alias("y")).filter("item_id is not null")
+    size = F.size("y")
+    both = cut.join(F.broadcast(item_words) if small else item_words, "item_id")
+    skip = F.col("base") - F.col("shift")
+    length = F.least(F.col("n") - F.col("base"), size - skip)
+    aligned = both.select("doc_id", "item_id", "base", F.least(F.lit(window), size).alias("window"), F.when(size < window, size).otherwise(window - substitutions).alias("need"), length.alias("length"), F.zip_with(F.slice("words", F.col("base") + 1, F.greatest(length, F.lit(0))), F.slice("y", skip + 1, F.greatest(length, F.lit(0))), lambda a, b: (a == b).cast("int")).alias("same"))
     good = F.expr("filter(sequence(0, size(same) - window), s -> aggregate(slice(same, s + 1, window), 0, (a, b) -> a + b) >= need)")
-    passed = aligned.withColumn("good", good).filter(F.size("good") > 0)
+    passed = aligned.withColumn("good", F.when((F.col("length") >= F.col("window")) & (F.size("same") >= F.col("window")), good)).filter(F.size("good") > 0)
     spans = passed.select("doc_id", "item_id", (F.col("base") + F.array_min("good")).alias("first"), (F.col("base") + F.array_max("good") + F.col("window")).alias("end"))
     return spans.groupBy("doc_id", "item_id").agg(F.min("first").cast("long").alias("first_word"), F.max("end").cast("long").alias("end_word"))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents, with all their columns, whose id is not in overlaps()."""
-    hit = staged(overlaps(documents, benchmark, id_col, text_col).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "_hit_id")
-    return documents.join(hit, documents[id_col].cast("long").eqNullSafe(hit["_hit_id"]), "left_anti")
+    hit = staged(overlaps(documents, benchmark, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct(), "leaks")
+    own = F.col(id_col).cast("long")
+    keyed = documents.withColumn("_id", F.coalesce(own, F.lit(0))).withColumn("_none", own.isNull())
+    return lookup_join(keyed, hit, ["_id", "_none"], "left_anti", [id_col]).drop("_id", "_none")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
