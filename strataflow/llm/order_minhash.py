@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import lookup_join, staged, table
+from strataflow.llm.common import BROADCAST_LISTS, lookup_join, staged, table
 from strataflow.llm.components import components
 
 K = 5
@@ -36,7 +36,9 @@ SKETCHES, SAMPLE = 64, 6
 SHORT, SHORT_SKETCHES, SHORT_SAMPLE = 24, 16, 2  # texts of up to SHORT k-mers
 LEAST_LONG = 16  # texts from here on have the long sketches too: 0.8 * (SHORT + 1) is above it
 LEADER_ROWS = 256
+PART_BYTES = 2 << 20  # of text at a time: a task holds about 40 times that
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 _letters = np.zeros(256, bool)
@@ -52,8 +54,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _FACTORS = mixed(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
+    """base ** 0, 1, ... modulo 2**64; those for parts of usual size are kept."""
+    if base in _kept and len(_kept[base]) >= n:
+        return _kept[base][:n]
+    out = np.empty(max(n, 1), np.uint64)
     out[0] = 1
     done = 1
     while done < n:  # doubling
@@ -61,7 +69,9 @@ def _powers(base: int, n: int) -> np.ndarray:
         more = min(done, n - done)
         out[done : done + more] = out[:more] * step
         done += more
-    return out
+    if n <= 2 * PART_BYTES:
+        _kept[base] = out
+    return out[:n]
 
 
 def word_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +85,8 @@ def word_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     ends = np.flatnonzero(on & (first[1:] | ~np.concatenate([on[1:], [False]]))) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inverse = pow(_BASE, -1, 1 << 64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(values)), dtype=np.uint64)])
-    h = (sums[ends] - sums[starts]) * _powers(inverse, len(values))[starts]
+    h = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(values))[starts]
     owner = np.searchsorted(offsets, starts, side="right") - 1
     return mixed(h ^ ((ends - starts).astype(np.uint64) * _STEP)), owner
 
@@ -138,7 +147,7 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def binary_parts(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def binary_parts(batch: pa.RecordBatch, column: str, budget: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of parts of a binary column, of about `budget` bytes or one row."""
     body = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
@@ -228,7 +237,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     placed = pairs.join(counts, "leader").withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
     members = staged(placed.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list(F.struct("leader", "block")).alias("to")), "omh-members")
     leaders = staged(counts.select(F.col("leader").alias("doc_id"), blocks.alias("blocks")), "omh-leaders")
-    sent = lookup_join(docs, members, ["doc_id"], "inner", ["doc_id"]).select("doc_id", "body", F.explode("to").alias("to"))
+    sent = lookup_join(docs, members, ["doc_id"], "inner", ["doc_id"], most=BROADCAST_LISTS).select("doc_id", "body", F.explode("to").alias("to"))
     sent = sent.select(F.col("to.leader").alias("leader"), F.col("to.block").alias("block"), F.col("doc_id").alias("member"), "body")
     heads = lookup_join(docs, leaders, ["doc_id"], "inner", ["doc_id"])
     heads = heads.select(F.col("doc_id").alias("leader"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("member"), "body")
@@ -242,7 +251,7 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     sig = staged(docs.mapInArrow(_sketch_batches, "doc_id long, kmers int, fp1 long, fp2 long, keys array<long>"), "omh-sketches")
     same = sig.filter("kmers > 0 and doc_id is not null").groupBy("kmers", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same = staged(same, "omh-same")
-    nodes = lookup_join(sig, same, ["kmers", "fp1", "fp2"], "left", ["doc_id"]).withColumn("rep", F.coalesce("rep", "doc_id"))
+    nodes = lookup_join(sig, same, ["kmers", "fp1", "fp2"], "left", ["doc_id"]).withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     reps = nodes.filter("rep = doc_id").select("rep", "kmers", F.explode("keys").alias("bucket"))
     # the leader is the member whose mixed id is least, in all buckets alike, so a class has few leaders
     first = reps.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("leader"))).alias("x"), F.max(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("y"))
