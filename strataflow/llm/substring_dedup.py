@@ -5,7 +5,7 @@ one anchor: the q-gram in it with the smallest hash (the leftmost of equals), wh
 stands. Neighbouring strings with one anchor form a run, so a text has about one run per 17 bytes and only runs travel:
   1. Runs are bucketed by their anchor's q-gram. Runs that are equal as a whole need no more: all but the smallest id's
      are repeats. Equal runs within one part of a task are settled before the shuffle.
-  2. Of anchors shared by different runs, the bytes around go to their bucket, where bucket-pointer refinement sorts all
+  2. Of anchors shared by different runs that agree on one side too, the bytes around go to their bucket, where bucket-pointer refinement sorts all
      strings by their first DEPTH bytes: buckets of 8-grams, a bucket's pointer being its place in the order, are refined
      by the pointers 8, 16 and 18 bytes further on, each pass using those that the one before has moved.
   3. Each text's covered bytes are merged into spans and cut out.
@@ -37,15 +37,18 @@ POSITION_BITS = 28
 _A = np.uint64(0xD1342543DE82EF95)
 _BASE = 0x9E3779B97F4A7C15
 _LOW40 = np.uint64((1 << 40) - 1)
-RUNS = "bucket int, ids binary, keys binary, contents binary, starts binary, lengths binary"
+SIDE = (DEPTH - Q) // 2  # a string around an anchor reaches this far at least to one side of it
+RUNS = "bucket int, ids binary, keys binary, contents binary, starts binary, lengths binary, lefts binary, rights binary"
+
 
 
 def runs_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, key, content, start, strings) of every run: the anchor's hash, a hash of all the run's bytes and the anchor's place in them, the first string's start within its text, and the number of strings."""
+    """(text, key, content, start, strings, left, right) of every run: the anchor's hash, a hash of all the run's bytes and the anchor's place in them, the first string's start within its text, the number of strings, and short hashes of the anchor with SIDE bytes to its left and right (0 where the run does not reach so far)."""
     n = len(values)
     none = np.zeros(0, np.int64)
+    empty = (none, none.astype(np.uint64), none.astype(np.uint64), none, none, none.astype(np.uint16), none.astype(np.uint16))
     if n < DEPTH:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return empty
     h = mixed(values.astype(np.uint64) + np.uint64(1))
     width, factor = 1, _A
     while width < Q:
@@ -66,7 +69,7 @@ def runs_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first[1:] = (anchor[1:] != anchor[:-1]) | ~inside[:-1] | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(first & inside)
     if not len(starts):
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return empty
     last = np.zeros(count, bool)
     last[:-1] = first[1:] | ~inside[1:]
     last[-1] = True
@@ -74,9 +77,14 @@ def runs_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     at = anchor[starts]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(values.astype(np.uint64) + np.uint64(300)) * _powers(_BASE, n), dtype=np.uint64)])
     stop = ends - 1 + DEPTH
-    content = mixed((sums[stop] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64), n)[starts] + (at - starts).astype(np.uint64) * _A + (ends - starts).astype(np.uint64))
+    unshift = _powers(pow(_BASE, -1, 1 << 64), n)
+    part = lambda a, b: mixed((sums[b] - sums[a]) * unshift[a])
+    content = mixed(part(starts, stop) + (at - starts).astype(np.uint64) * _A + (ends - starts).astype(np.uint64))
+    short = lambda x, ok: np.where(ok, 1 + (x % np.uint64(65535)), 0).astype(np.uint16)
+    left = short(part(np.maximum(at - SIDE, 0), at + Q), at - starts >= SIDE)
+    right = short(part(at, np.minimum(at + Q + SIDE, n)), stop - at - Q >= SIDE)
     text = owner[starts]
-    return text, h[at], content, starts - offsets[:-1][text], ends - starts
+    return text, h[at], content, starts - offsets[:-1][text], ends - starts, left, right
 
 
 def pack40(x: np.ndarray) -> bytes:
@@ -99,12 +107,24 @@ def repeats_within(key: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tup
     return order, i > least
 
 
+def met_elsewhere(key: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Indexes whose (key, side) also occurs with another id; side 0 meets nothing."""
+    order = np.lexsort((ids, side, key))
+    order = order[side[order] > 0]
+    if not len(order):
+        return order
+    k, s, i = key[order], side[order], ids[order]
+    heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
+    several = np.maximum.reduceat(i, heads) != np.minimum.reduceat(i, heads)
+    return order[np.repeat(several, np.diff(np.append(heads, len(k))))]
+
+
 def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs packed by bucket; bucket -1 holds runs that equal one of a smaller id in the same part."""
     for batch in batches:
         ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
-            text, key, content, start, count = runs_of(values, offsets)
+            text, key, content, start, count, left, right = runs_of(values, offsets)
             ids = ids_all[lo : lo + n][text]
             order, again = repeats_within(key, content, ids)
             bucket = np.where(again, -1, (key[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
@@ -120,8 +140,9 @@ def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([b"" if b < 0 else pack40(content[o]) for b, o in rows], pa.binary()),
                     pa.array([start[o].astype("<i4").tobytes() for _, o in rows], pa.binary()),
                     pa.array([count[o].astype(np.uint8).tobytes() for _, o in rows], pa.binary()),
+                    *(pa.array([b"" if b < 0 else x[o].astype("<u2").tobytes() for b, o in rows], pa.binary()) for x in (left, right)),
                 ],
-                ["bucket", "ids", "keys", "contents", "starts", "lengths"],
+                ["bucket", "ids", "keys", "contents", "starts", "lengths", "lefts", "rights"],
             )
 
 
@@ -141,6 +162,11 @@ def _settled(bucket: int, blobs: list[list[bytes]]) -> pa.RecordBatch:
         varied = np.maximum.reduceat(c2, heads) != np.minimum.reduceat(c2, heads)
         several = np.maximum.reduceat(i2, heads) != np.minimum.reduceat(i2, heads)
         unclear = np.repeat(varied & several, size) & ~again
+        where = np.flatnonzero(unclear)
+        unclear[:] = False
+        for side in (5, 6):  # strings can only be equal where one side is: other chance meetings of a q-gram end here
+            s = np.frombuffer(b"".join(b[side] for b in blobs), "<u2")[order[where]]
+            unclear[where[met_elsewhere(k2[where], s, i2[where])]] = True
         keep = again | unclear
         out, shown = order[keep], unclear[keep]
         key = (k2[keep] | (np.uint64(bucket) << np.uint64(40))).astype(np.int64)
@@ -151,7 +177,7 @@ def _settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Rows come by bucket; one bucket is held, those of -1 are passed on as they come."""
     held, blobs = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "ids", "keys", "contents", "starts", "lengths")]
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "ids", "keys", "contents", "starts", "lengths", "lefts", "rights")]
         for bucket, *blob in zip(*columns, strict=True):
             if bucket < 0:
                 yield _settled(bucket, [blob])
@@ -267,6 +293,12 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.binary())], ["doc_id", "edges", "kept"])
 
 
+def meeting(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc_id, body, runs of texts that have a list. Lists are as wide as texts, so they are shuffled; texts without one are left out before."""
+    some = lookup_join(texts.select("doc_id", "body"), lists.select("doc_id"), ["doc_id"], "left_semi", ["doc_id"])
+    return some.join(lists.hint("merge"), "doc_id").select("doc_id", "body", "runs")
+
+
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(prints, cut): doc_id, n_bytes, sha, whole (goes as a copy) of every row; doc_id, sha, edges (starts and ends of removed spans in turn), kept (bytes left) of rows that lose a part."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
@@ -285,14 +317,14 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = staged(dealt.mapInArrow(_settle_batches, "doc_id long, start int, strings int, key long"), "substring-runs")
 
     unclear = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings", "key")).alias("runs"))
-    contexts = lookup_join(texts.select("doc_id", "body"), staged(unclear, "substring-unclear"), ["doc_id"], "inner", ["doc_id"])
+    contexts = meeting(texts, staged(unclear, "substring-unclear"))
     contexts = contexts.mapInArrow(_context_batches, "key long, doc_id long, start int, bytes binary")
     sorted_contexts = contexts.repartition("key").sortWithinPartitions("key")
     more = staged(sorted_contexts.mapInArrow(_refine_batches, "doc_id long, start int, strings int"), "substring-more")
 
     covered = found.filter("key is null").select("doc_id", "start", "strings").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
-    cut = lookup_join(texts, staged(covered, "substring-covered"), ["doc_id"], "inner", ["doc_id"])
-    cut = cut.select("doc_id", "body", "runs").mapInArrow(_cut_batches, "doc_id long, edges array<int>, kept binary")
+    cut = meeting(texts, staged(covered, "substring-covered"))
+    cut = cut.mapInArrow(_cut_batches, "doc_id long, edges array<int>, kept binary")
     whole = lookup_join(prints, first, ["sha"], "left", ["doc_id"])
     whole = lookup_join(whole, odd, ["doc_id"], "left", ["doc_id"])
     whole = whole.withColumn("takes_part", F.expr("doc_id is not null and (lo is null or sha = lo)")).drop("lo")
