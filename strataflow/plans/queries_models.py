@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.scalar import rounded
 from strataflow.operators import features, folds, models
-from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, r6, wells
+from strataflow.plans import residual
+from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, curve, r6, wells
 
 c = F.col
 QUERIES: dict = {}
@@ -96,3 +97,13 @@ def drift_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(auc,)], "overall_auc double")
 
 
+@query(None)
+def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window features, kernels' signals and curve probes of every hidden row."""
+    return residual.full_features(wells(spark, sf_dir), curve(spark, sf_dir), WELL)[0]
+
+
+@query(None)
+def residual_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of every hidden row from wells to result."""
+    return residual.run(wells(spark, sf_dir), curve(spark, sf_dir), WELL)
