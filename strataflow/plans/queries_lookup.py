@@ -43,8 +43,10 @@ def template_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions in a template's order; ids without a prediction take the known mean."""
     rows = wells(spark, sf_dir)
     hidden = rows.filter("tvt_input is null and cast(well_id as bigint) % 10 = 0").withColumn("id", F.concat_ws("_", "well_id", "row_id"))
-    order = Window.orderBy(F.desc(c("well_id").cast("long")), "row_id")
-    template = hidden.select("id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    # places are a well's offset, from a table of wells, and the place within the well: rows are never sorted as one
+    before = Window.orderBy(F.desc(c("well_id").cast("long"))).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hidden.groupBy("well_id").agg(F.count("*").alias("k")).select("well_id", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
+    template = hidden.join(offsets, "well_id").select("id", (c("offset") + F.row_number().over(WELL.window) - 1).cast("long").alias("place"))
     predictions = hidden.filter("row_id % 7 <> 0").select("id", "tvt")
     fallback = rows.filter("tvt_input is not null").agg(F.avg("tvt").alias("fallback"))
     return filled(template, predictions, fallback, "id", "tvt").select("place", "id", rounded(c("tvt")).alias("tvt"))
