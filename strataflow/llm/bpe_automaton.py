@@ -14,6 +14,7 @@ the plain case. Special tokens in a text are cut out first, as the library does.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import table
+from strataflow.llm.common import bounded_batches, table
 
 END = 256  # added to a word's last byte where the file marks word ends
-CACHE = 300_000
+KNOWN = 200_000  # transitions looked up and kept
+CACHE = 100_000  # pieces, and words, in each of two generations; a worker's caches end with the task
 
 
 def byte_chars() -> list[str]:
@@ -52,10 +54,11 @@ class Automaton:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}  # twice the merge's rank
-        self.rule: dict[tuple[int, int], int] = {}  # (u, v) -> when a copy of u's target lost v
+        self.rule: dict[int, int] = {}  # u << 32 | v -> when a copy of u's target lost v
         self.spelled: dict[int, tuple[int, ...]] = {i: (s,) for s, i in self.base.items()}
         self.compile(vocab, merges)
         self.build()
+        self.spelled = {}  # the trie has it now
 
     def compile(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
         made = {a + b: rank for rank, (a, b) in enumerate(merges)}
@@ -69,7 +72,7 @@ class Automaton:
                 raise ValueError(f"two merges make {a + b!r}")
             if not self.follows(u, v):
                 continue  # v can't be read after u: the merge never applies
-            self.rule[u, v] = self.born[w] = 2 * rank
+            self.rule[u << 32 | v] = self.born[w] = 2 * rank
             self.left[w], self.right[w] = u, v
             self.spelled[w] = self.spelled[u] + self.spelled[v]
 
@@ -82,7 +85,7 @@ class Automaton:
         until = 1 << 60
         born, rule, left, right = self.born, self.rule, self.left, self.right
         while True:
-            lost = rule.get((u, x))
+            lost = rule.get(u << 32 | x)
             if lost is not None and lost < until:
                 return False
             bu, bx = born.get(u, -1), born.get(x, -1)
@@ -130,7 +133,7 @@ class Automaton:
                         key = state << 32 | x
                         ok = known.get(key)
                         if ok is None:
-                            if len(known) > 4_000_000:
+                            if len(known) > KNOWN:
                                 known.clear()
                             ok = known[key] = self.follows(state, x)
                         if not ok:
@@ -146,11 +149,11 @@ class Automaton:
 
 
 class Recent(dict):
-    """Values by key, made by `make` when absent. Of two generations of at most CACHE keys the older is dropped."""
+    """Values by key, made by `make` when absent. Of two generations of about `most` keys the older is dropped."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
@@ -160,7 +163,7 @@ class Recent(dict):
         return value
 
     def turn(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 
@@ -172,7 +175,7 @@ class Lexer:
     SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
     PLAIN = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
-    def __init__(self, spec: str, kind: str, word: Callable[[str], list[int]] | None = None) -> None:
+    def __init__(self, spec: str, kind: str, word: Callable[[str], list[int]] | None = None, cache: int = CACHE) -> None:
         """word: ids of a word (normalised and pre-split); by the library's model if None."""
         from tokenizers import Tokenizer
 
@@ -188,8 +191,8 @@ class Lexer:
         self.cut = re.compile(f"[{self.SPACE}]+")
         self.odd = re.compile("[\x1c-\x1f]")
         self.chars = byte_chars()
-        self.words = Recent(lambda w: self.pack(self.word(w)))
-        self.pieces = Recent(self.piece)
+        self.words = Recent(lambda w: self.pack(self.word(w)), cache)
+        self.pieces = Recent(self.piece, cache)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()  # workers are little-endian, as all of Spark's platforms
@@ -234,8 +237,14 @@ def compiled(spec: str) -> Automaton:
 _WORKER: dict = {}
 
 
+def forget() -> None:
+    """Drops what a task has built in its worker."""
+    _WORKER.clear()
+    gc.collect()
+
+
 def automaton_lexer(spec: str) -> Lexer:
-    """One for each Python worker: compiling takes about a second and depends on the vocabulary only."""
+    """One for each task: compiling takes about a second and depends on the vocabulary only."""
     key = ("automaton", hash(spec))
     if key not in _WORKER:
         machine = compiled(spec)
@@ -274,14 +283,18 @@ def encode_documents(documents: DataFrame, path: str, id_col: str = "doc_id", te
     A null text is empty; an empty text gives an empty array; null and repeated ids are kept as they are; an empty table
     gives none. A row's text is encoded by itself, so nothing is grouped and no row waits for another.
     """
+    bounded_batches(documents.sparkSession)
     spec = documents.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = automaton_lexer(spec.value)
-        for batch in batches:
-            for part in _slices(batch, "text"):
-                packed = [lexer.encode(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(packed, pa.int32(), 4)], ["doc_id", "ids"])
+        try:
+            for batch in batches:
+                for part in _slices(batch, "text"):
+                    packed = [lexer.encode(x) for x in part.column("text").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(packed, pa.int32(), 4)], ["doc_id", "ids"])
+        finally:
+            forget()  # a reused worker would else hold the automaton and its caches while other operators run
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids array<int>")
@@ -306,14 +319,18 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = arc_labels(spec.value)
+        dense = None not in labels
         for batch in batches:
             for part in _slices(batch, "ids"):
                 texts = []
                 for ids in part.column("ids"):
-                    try:
-                        texts.append(" ".join(map(labels.__getitem__, ids.values.to_numpy().tolist() if ids.is_valid else [])))
-                    except (IndexError, TypeError):
-                        texts.append(" ".join(t for i in ids.values.to_pylist() if i is not None and 0 <= i < len(labels) and (t := labels[i]) is not None))
+                    values = ids.values
+                    if values is None or not len(values):
+                        texts.append("")
+                    elif not values.null_count and 0 <= (known := values.to_numpy()).min() and known.max() < len(labels) and dense:
+                        texts.append(" ".join(map(labels.__getitem__, known.tolist())))
+                    else:
+                        texts.append(" ".join(t for i in values.to_pylist() if i is not None and 0 <= i < len(labels) and (t := labels[i]) is not None))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in part.schema.names), pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded string")

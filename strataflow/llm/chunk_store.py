@@ -25,21 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataflow.llm.bpe_automaton import _WORKER, Lexer, _slices, tokenizer_spec, vocabulary
+from strataflow.llm.bpe_automaton import _WORKER, Lexer, _slices, forget, tokenizer_spec, vocabulary
 from strataflow.llm.common import shared_dir, staged, table
 
 WINDOW = 16
 MEAN_CHUNK = 256
 MAX_CHUNK = 4096
 END_ID = 1
+CACHE = 300_000
+RECIPE = "doc_id long, start long, n_tokens long, n_chunks int, addresses array<binary>, sizes array<int>, root binary"
 ENCODED = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, chunks array<binary>"
 
 
 def library_lexer(spec: str, kind: str) -> Lexer:
-    """One for each Python worker, encoding words that it has not met lately by the tokenizers library."""
+    """One for each task, encoding words that it has not met lately by the tokenizers library."""
     key = ("library", kind, hash(spec))
     if key not in _WORKER:
-        _WORKER[key] = Lexer(spec, kind)
+        _WORKER[key] = Lexer(spec, kind, cache=CACHE)
     return _WORKER[key]
 
 
@@ -85,28 +87,31 @@ def encoded_chunks(documents: DataFrame, path: str, id_col: str, text_col: str,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = library_lexer(spec.value, kind)
         end, met = lexer.pack([end_id]), set()
-        for batch in batches:
-            for part in _slices(batch, "text"):
-                counts, addresses, sizes, chunks = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    data = lexer.encode(text) + end
-                    at, a, s, c = 0, [], [], []
-                    for stop in cuts(np.frombuffer(data, kind)).tolist():
-                        chunk = data[at * width : stop * width]
-                        key = address(chunk)
-                        a.append(key)
-                        s.append(stop - at)
-                        c.append(None if key in met else chunk)
-                        if len(met) > 500_000:  # chunks met again are then sent again, and dropped by their address
-                            met.clear()
-                        met.add(key)
-                        at = stop
-                    counts.append(at)
-                    addresses.append(a)
-                    sizes.append(s)
-                    chunks.append(c)
-                binary = pa.list_(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(addresses, binary), pa.array(sizes, pa.list_(pa.int32())), pa.array(chunks, binary)], ["doc_id", "n_tokens", "addresses", "sizes", "chunks"])
+        try:
+            for batch in batches:
+                for part in _slices(batch, "text"):
+                    counts, addresses, sizes, chunks = [], [], [], []
+                    for text in part.column("text").to_pylist():
+                        data = lexer.encode(text) + end
+                        at, a, s, c = 0, [], [], []
+                        for stop in cuts(np.frombuffer(data, kind)).tolist():
+                            chunk = data[at * width : stop * width]
+                            key = address(chunk)
+                            a.append(key)
+                            s.append(stop - at)
+                            c.append(None if key in met else chunk)
+                            if len(met) > 500_000:  # chunks met again are then sent again, and dropped by their address
+                                met.clear()
+                            met.add(key)
+                            at = stop
+                        counts.append(at)
+                        addresses.append(a)
+                        sizes.append(s)
+                        chunks.append(c)
+                    binary = pa.list_(pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(addresses, binary), pa.array(sizes, pa.list_(pa.int32())), pa.array(chunks, binary)], ["doc_id", "n_tokens", "addresses", "sizes", "chunks"])
+        finally:
+            forget()
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(encode, ENCODED)
@@ -236,7 +241,7 @@ def _crc_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def references(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each chunk of each document, with the ids after it; recipes are checked against their roots."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes")  # an empty store has no file to tell it
     checked = recipes.select("doc_id", "start", "n_tokens", "n_chunks", "addresses", "sizes", "root").mapInArrow(_checked_recipes, "doc_id long, start long, n_tokens long, n_chunks int, addresses array<binary>, sizes array<int>, after array<long>")
     flat = checked.select("doc_id", "start", "n_tokens", "n_chunks", F.posexplode(F.arrays_zip("addresses", "sizes", "after")).alias("nth", "x"))
     return flat.select("doc_id", "start", "n_tokens", "n_chunks", "nth", F.col("x.addresses").alias("address"), F.col("x.sizes").alias("size"), F.col("x.after").alias("after"))

@@ -13,10 +13,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: The same for rows that hold a list of a few dozen such values.
 BROADCAST_LISTS = 50_000
+BATCH = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python BATCH bytes at a time, or as many as strataflow.batchBytes says: long texts would else make batches of 64 MB on both sides of the pipe."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("strataflow.batchBytes", str(BATCH)))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    bounded_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.gettempdir()}/strataflow-shared"
