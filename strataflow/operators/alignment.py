@@ -15,8 +15,19 @@ from pyspark.sql import DataFrame
 
 from strataflow.operators import kernels
 
-#: (width, move cost, scale, smoothing radius) by name: fixed values of the method.
-BEAMS = {"cons": (5, 8.0, 64.0, 0), "loose": (15, 0.5, 200.0, 0), "sm5": (10, 2.0, 144.0, 5)}
+#: Fixed values of the method: (width, move cost, scale, smoothing radius) by name, and warp radii.
+BEAMS = {
+    "cons": (10, 20.0, 144.0, 2),
+    "loose": (10, 8.0, 64.0, 2),
+    "vcons": (8, 35.0, 220.0, 1),
+    "sm5": (10, 14.0, 90.0, 5),
+    "vloose": (20, 4.0, 36.0, 3),
+    "mid": (12, 12.0, 100.0, 3),
+    "stiff": (15, 25.0, 180.0, 2),
+}
+RADII = (20, 50, 100, 200)
+BEAM_COLUMNS = ", ".join(f"beam_{name} double" for name in (*BEAMS, "mean", "std"))
+WARP_COLUMNS = ", ".join(f"dtw{r} double, slope{r} double" for r in RADII) + ", dtw double"
 
 
 class Well:
@@ -112,7 +123,7 @@ def velocity_filter(well: Well) -> dict[str, np.ndarray]:
     return {"pfz_mean": mean, "pfz_std": std}
 
 
-def warps(well: Well, radii: tuple[int, ...] = (20, 50)) -> dict[str, np.ndarray]:
+def warps(well: Well, radii: tuple[int, ...] = RADII) -> dict[str, np.ndarray]:
     """Banded warps of the whole signal to the curve: depth and local slope by radius, and their mean."""
     out = {}
     for radius in radii:

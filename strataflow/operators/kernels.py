@@ -99,7 +99,7 @@ def particle_surface(md, z, gr, curve, start, step, noise, surface, rate, rng, n
     return mean, std
 
 
-def particle_velocity(md, z, gr, smooth, curve, curve_smooth, start, step, noise, depth, speed, beta, shift, spread, rng, n=600, keep=0.998, speed_noise=0.002, noise_pos=0.005, smooth_share=0.3, rough_pos=0.1, rough_speed=0.001):
+def particle_velocity(md, z, gr, smooth, curve, curve_smooth, start, step, noise, depth, speed, beta, shift, spread, rng, n=600, keep=0.993, speed_noise=0.005, noise_pos=0.01, smooth_share=0.3, rough_pos=0.2, rough_speed=0.003):
     """As above, with particles of depth whose speed is expected to be beta * dz/dmd + shift."""
     pos, vel = depth + 0.5 * rng.standard_normal(n), speed + 0.02 * rng.standard_normal(n)
     w = np.full(n, 1 / n)

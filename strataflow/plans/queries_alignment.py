@@ -21,11 +21,11 @@ def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "beam_align": _run("beam_cons double, beam_loose double, beam_sm5 double, beam_mean double, beam_std double", al.beams),
+    "beam_align": _run(al.BEAM_COLUMNS, al.beams),
     "ncc_match": _run("ncc8 double, ncc15 double, ncc25 double, score8 double, ncc double", al.templates),
     "pf_surface": _run("pf_mean double, pf_std double", al.surface_filter),
     "pf_velocity": _run("pfz_mean double, pfz_std double", al.velocity_filter),
-    "dtw_band": _run("dtw20 double, slope20 double, dtw50 double, slope50 double, dtw double", al.warps, False),
+    "dtw_band": _run(al.WARP_COLUMNS, al.warps, False),
     "dtw_stochastic": _run("mean double, std double, cv double", al.random_warps, False),
     "savgol": savgol,
 }

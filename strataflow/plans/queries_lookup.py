@@ -106,7 +106,8 @@ def range_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("well_id").agg(F.count(F.when(near, c("ctvt"))).alias("knots_near"), rounded(F.avg(F.when(near, c("cgr")))).alias("mean_near"))
 
 
-_OFFSETS = (-20, -10, -5, 0, 5, 10, 20)
+#: Offsets of the probes around the anchor.
+_OFFSETS = (-80, -40, -20, -10, -5, 0, 5, 10, 20, 40, 80)
 
 
 @query(f""", {_ANCHOR}, o AS (SELECT a.well_id, off, anchor + off AS v FROM a, (SELECT unnest([{', '.join(map(str, _OFFSETS))}]) AS off)),
@@ -122,7 +123,8 @@ def offset_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.join(wide, "well_id").select("well_id", "row_id", *(rounded(c("tvt") - c(f"g_{offset_name(o)}")).alias(f"diff_{offset_name(o)}") for o in _OFFSETS))
 
 
-_ENDS = (-30, -15, 0, 15, 30)
+#: End offsets of the candidate paths.
+_ENDS = (-100, -80, -60, -45, -30, -20, -12, 0, 12, 20, 30, 45, 60, 80, 100)
 
 
 @query(f""", {_ANCHOR}, h AS (SELECT w.well_id, row_id, anchor, (row_number() OVER (PARTITION BY w.well_id ORDER BY row_id) - 1) / CAST(greatest(count(*) OVER (PARTITION BY w.well_id) - 1, 1) AS DOUBLE) AS f, tvt FROM w JOIN a USING (well_id) WHERE tvt_input IS NULL),
