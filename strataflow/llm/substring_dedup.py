@@ -31,7 +31,7 @@ from strataflow.llm.common import lookup_join, staged, table
 from strataflow.llm.order_minhash import _powers, binary_parts, mixed
 
 DEPTH, Q = 50, 16
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20  # of text at a time: a task holds about 150 times that
 BUCKET_BITS = 8
 POSITION_BITS = 28
 _A = np.uint64(0xD1342543DE82EF95)
