@@ -32,7 +32,7 @@ from strataflow.llm.order_minhash import _powers, binary_parts, mixed
 
 DEPTH, Q = 50, 16
 PART_BYTES = 1 << 20  # of text at a time: a task holds about 150 times that
-BUCKET_BITS = 8
+BUCKET_BITS, BUCKET_TEXT = 8, 4 << 20  # buckets at least, and bytes of text for each beyond that
 POSITION_BITS = 28
 _A = np.uint64(0xD1342543DE82EF95)
 _BASE = 0x9E3779B97F4A7C15
@@ -119,31 +119,39 @@ def met_elsewhere(key: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndar
     return order[np.repeat(several, np.diff(np.append(heads, len(k))))]
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs packed by bucket; bucket -1 holds runs that equal one of a smaller id in the same part."""
-    for batch in batches:
-        ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
-            text, key, content, start, count, left, right = runs_of(values, offsets)
-            ids = ids_all[lo : lo + n][text]
-            order, again = repeats_within(key, content, ids)
-            bucket = np.where(again, -1, (key[order] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-            by = np.lexsort((start[order], ids[order], bucket))
-            order, bucket = order[by], bucket[by]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-            rows = [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b for b, _ in rows], pa.int32()),
-                    pa.array([ids[o].tobytes() for _, o in rows], pa.binary()),
-                    pa.array([b"" if b < 0 else pack40(key[o]) for b, o in rows], pa.binary()),
-                    pa.array([b"" if b < 0 else pack40(content[o]) for b, o in rows], pa.binary()),
-                    pa.array([start[o].astype("<i4").tobytes() for _, o in rows], pa.binary()),
-                    pa.array([count[o].astype(np.uint8).tobytes() for _, o in rows], pa.binary()),
-                    *(pa.array([b"" if b < 0 else x[o].astype("<u2").tobytes() for b, o in rows], pa.binary()) for x in (left, right)),
-                ],
-                ["bucket", "ids", "keys", "contents", "starts", "lengths", "lefts", "rights"],
-            )
+def _run_batches(bits: int):
+    """Runs packed by one of 2**bits buckets; bucket -1 holds runs that equal one of a smaller id in the same part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _packed_runs(batch, bits)
+
+    return pack
+
+
+def _packed_runs(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
+    ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
+        text, key, content, start, count, left, right = runs_of(values, offsets)
+        ids = ids_all[lo : lo + n][text]
+        order, again = repeats_within(key, content, ids)
+        bucket = np.where(again, -1, (key[order] >> np.uint64(64 - bits)).astype(np.int64))
+        by = np.lexsort((start[order], ids[order], bucket))
+        order, bucket = order[by], bucket[by]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+        rows = [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([b for b, _ in rows], pa.int32()),
+                pa.array([ids[o].tobytes() for _, o in rows], pa.binary()),
+                pa.array([b"" if b < 0 else pack40(key[o]) for b, o in rows], pa.binary()),
+                pa.array([b"" if b < 0 else pack40(content[o]) for b, o in rows], pa.binary()),
+                pa.array([start[o].astype("<i4").tobytes() for _, o in rows], pa.binary()),
+                pa.array([count[o].astype(np.uint8).tobytes() for _, o in rows], pa.binary()),
+                *(pa.array([b"" if b < 0 else x[o].astype("<u2").tobytes() for b, o in rows], pa.binary()) for x in (left, right)),
+            ],
+            ["bucket", "ids", "keys", "contents", "starts", "lengths", "lefts", "rights"],
+        )
 
 
 def _settled(bucket: int, blobs: list[list[bytes]]) -> pa.RecordBatch:
@@ -312,7 +320,9 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = lookup_join(docs.filter(f"doc_id is not null and octet_length(body) >= {DEPTH}"), odd, ["doc_id"], "left", ["doc_id"]).filter("lo is null or sha = lo").drop("lo")
     texts = lookup_join(texts, first, ["sha"], "left", ["doc_id"]).filter("first is null or doc_id = first").select("doc_id", "sha", "body")
 
-    runs = texts.select("doc_id", "body").mapInArrow(_run_batches, RUNS)
+    total = prints.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = min(20, max(BUCKET_BITS, int(np.ceil(np.log2(max(total, 1) / BUCKET_TEXT)))))  # so a bucket does not grow with the corpus
+    runs = texts.select("doc_id", "body").mapInArrow(_run_batches(bits), RUNS)
     dealt = runs.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("ids"))).sortWithinPartitions("bucket")
     found = staged(dealt.mapInArrow(_settle_batches, "doc_id long, start int, strings int, key long"), "substring-runs")
 
