@@ -10,9 +10,8 @@ they are linked at `threshold` (0.8) or more. Short texts have smaller samples,
 
 Equal word sequences are one node. In a bucket of equal sketches each node is compared with the bucket's leader, so a
 bucket of any size gives as many comparisons as members. Members of a bucket that then lie in different components are
-compared across these if they share two sketches, in random cells that grow until none is left, so no link is lost because a
-leader lay between. At the least k-mer overlap that the threshold allows (a Jaccard similarity of 2/3) two texts share
-one of the 96 sketches but for 0.02 % of pairs, and two but for 0.2 %.
+compared across these, in random cells that grow until none is left, so no link is lost because a leader lay between. At the
+least k-mer overlap that the threshold allows (a Jaccard similarity of 2/3) 0.3 % of pairs share none of the sketches.
 
 Defined cases: null and empty texts, and texts without words, are in a class of their own; null ids have class null; rows
 that share an id count as one document; an empty table gives an empty result. Ties in hash order fall to the smaller hash
@@ -34,12 +33,11 @@ from strataflow.llm.components import components
 
 K = 5
 THRESHOLD = 0.8
-SKETCHES, SAMPLE = 96, 6
+SKETCHES, SAMPLE = 64, 6
 SHORT, SHORT_SKETCHES, SHORT_SAMPLE = 24, 16, 2  # texts of up to SHORT k-mers
 LEAST_LONG = 16  # texts from here on have the long sketches too: 0.8 * (SHORT + 1) is above it
 LEADER_ROWS = 256
-FIRST_CELL, CELL_GROWTH = 8, 16
-SHARED = 2  # sketches that nodes of different components must share to be compared, of long texts
+FIRST_CELL, CELL_GROWTH = 4, 16
 PART_BYTES = 1 << 19  # of text at a time: a task holds about 40 times that
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -267,7 +265,6 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Buckets that hold several components: their nodes are dealt at random into cells, small ones first, and compared
     # across components within a cell. Components that belong together meet early and the bucket drops out; what stays
     # apart goes on to larger cells, until a cell is the whole bucket and every pair across components has been compared.
-    sketched = staged(nodes.filter("rep = doc_id").groupBy("rep").agg(F.first("keys").alias("keys")), "omh-keys")
     cell = FIRST_CELL
     while True:
         classed = lookup_join(met, groups.withColumnsRenamed({"id": "rep"}), ["rep"], "left", ["bucket"]).withColumn("class_id", F.coalesce("class_id", "rep"))
@@ -276,13 +273,11 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         if spread.isEmpty():
             break
         rows = lookup_join(classed, spread, ["bucket"], "inner", ["rep"])
-        rows = lookup_join(rows, sketched, ["rep"], "left", ["bucket"], most=BROADCAST_LISTS)
         rows = staged(rows.withColumn("cell", F.pmod(F.xxhash64("rep", F.lit(cell)), F.ceil(F.col("n") / cell))), "omh-mixed")
         x, y = rows.alias("x"), rows.alias("y")
         near = (F.col("x.kmers") >= threshold * F.col("y.kmers")) & (F.col("y.kmers") >= threshold * F.col("x.kmers"))
         apart = (F.col("x.class_id") != F.col("y.class_id")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.rep") != F.col("x.leader")) & (F.col("y.rep") != F.col("y.leader"))
-        alike = (F.least("x.kmers", "y.kmers") < LEAST_LONG) | (F.size(F.array_intersect("x.keys", "y.keys")) >= SHARED)
-        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & apart & near & alike).select(F.col("x.rep").alias("leader"), F.col("y.rep").alias("member"))
+        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & apart & near).select(F.col("x.rep").alias("leader"), F.col("y.rep").alias("member"))
         found = verified(docs, across, threshold)
         if not found.isEmpty():
             links = links.unionByName(found)
