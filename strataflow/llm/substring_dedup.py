@@ -3,8 +3,8 @@
 A byte goes if a string of `DEPTH` bytes that covers it also starts in a document with a smaller id. Every such string has
 one anchor: the q-gram in it with the smallest hash (the leftmost of equals), which is the same wherever the string
 stands. Neighbouring strings with one anchor form a run, so a text has about one run per 17 bytes and only runs travel:
-  1. Runs are bucketed by their anchor's q-gram. Runs that are equal as a whole need no more: all but the smallest id's
-     are repeats. Equal runs within one part of a task are settled before the shuffle.
+  1. Runs are bucketed by their anchor's q-gram. Runs that are equal as a whole (by 128 bits of two hashes of their bytes)
+     need no more: all but the smallest id's are repeats. Equal runs within one part of a task are settled before the shuffle.
   2. Of anchors shared by different runs that agree on one side too, the bytes around go to their bucket, where bucket-pointer refinement sorts all
      strings by their first DEPTH bytes: buckets of 8-grams, a bucket's pointer being its place in the order, are refined
      by the pointers 8, 16 and 18 bytes further on, each pass using those that the one before has moved.
@@ -35,7 +35,8 @@ PART_BYTES = 1 << 20  # of text at a time: a task holds about 150 times that
 BUCKET_BITS, BUCKET_TEXT = 8, 4 << 20  # buckets at least, and bytes of text for each beyond that
 POSITION_BITS = 28
 _A = np.uint64(0xD1342543DE82EF95)
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _CHECK_BASE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+_CHECK = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))  # a number for each byte
 _LOW40 = np.uint64((1 << 40) - 1)
 SIDE = (DEPTH - Q) // 2  # a string around an anchor reaches this far at least to one side of it
 RUNS = "bucket int, ids binary, keys binary, contents binary, starts binary, lengths binary, lefts binary, rights binary"
@@ -43,10 +44,10 @@ RUNS = "bucket int, ids binary, keys binary, contents binary, starts binary, len
 
 
 def runs_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, key, content, start, strings, left, right) of every run: the anchor's hash, a hash of all the run's bytes and the anchor's place in them, the first string's start within its text, the number of strings, and short hashes of the anchor with SIDE bytes to its left and right (0 where the run does not reach so far)."""
+    """(text, key, content, check, start, strings, left, right) of every run: the anchor's hash, two independent hashes of all the run's bytes and the anchor's place in them, the first string's start within its text, the number of strings, and short hashes of the anchor with SIDE bytes to its left and right (0 where the run does not reach so far)."""
     n = len(values)
     none = np.zeros(0, np.int64)
-    empty = (none, none.astype(np.uint64), none.astype(np.uint64), none, none, none.astype(np.uint16), none.astype(np.uint16))
+    empty = (none, *[none.astype(np.uint64)] * 3, none, none, none.astype(np.uint16), none.astype(np.uint16))
     if n < DEPTH:
         return empty
     h = mixed(values.astype(np.uint64) + np.uint64(1))
@@ -80,11 +81,14 @@ def runs_of(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     unshift = _powers(pow(_BASE, -1, 1 << 64), n)
     part = lambda a, b: mixed((sums[b] - sums[a]) * unshift[a])
     content = mixed(part(starts, stop) + (at - starts).astype(np.uint64) * _A + (ends - starts).astype(np.uint64))
+    checks = np.concatenate([[np.uint64(0)], np.cumsum(_CHECK[values] * _powers(_CHECK_BASE, n), dtype=np.uint64)])
+    check = (checks[stop] - checks[starts]) * _powers(pow(_CHECK_BASE, -1, 1 << 64), n)[starts]
+    check = mixed(mixed(check) + (at - starts).astype(np.uint64) * np.uint64(_BASE) + (ends - starts).astype(np.uint64))
     short = lambda x, ok: np.where(ok, 1 + (x % np.uint64(65535)), 0).astype(np.uint16)
     left = short(part(np.maximum(at - SIDE, 0), at + Q), at - starts >= SIDE)
     right = short(part(at, np.minimum(at + Q + SIDE, n)), stop - at - Q >= SIDE)
     text = owner[starts]
-    return text, h[at], content, starts - offsets[:-1][text], ends - starts, left, right
+    return text, h[at], content, check, starts - offsets[:-1][text], ends - starts, left, right
 
 
 def pack40(x: np.ndarray) -> bytes:
@@ -98,11 +102,11 @@ def unpack40(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def repeats_within(key: np.ndarray, content: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, content, id), and in that order whether a run equals one with a smaller id."""
-    order = np.lexsort((ids, content, key))
-    k, c, i = key[order], content[order], ids[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
+def repeats_within(key: np.ndarray, content: np.ndarray, check: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, content, check, id), and in that order whether a run equals one with a smaller id."""
+    order = np.lexsort((ids, check, content, key))
+    k, c, d, i = key[order], content[order], check[order], ids[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, bool)
     least = i[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else i
     return order, i > least
 
@@ -132,9 +136,9 @@ def _run_batches(bits: int):
 def _packed_runs(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
     ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
     for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
-        text, key, content, start, count, left, right = runs_of(values, offsets)
+        text, key, content, check, start, count, left, right = runs_of(values, offsets)
         ids = ids_all[lo : lo + n][text]
-        order, again = repeats_within(key, content, ids)
+        order, again = repeats_within(key, content, check, ids)
         bucket = np.where(again, -1, (key[order] >> np.uint64(64 - bits)).astype(np.int64))
         by = np.lexsort((start[order], ids[order], bucket))
         order, bucket = order[by], bucket[by]
@@ -145,7 +149,7 @@ def _packed_runs(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
                 pa.array([b for b, _ in rows], pa.int32()),
                 pa.array([ids[o].tobytes() for _, o in rows], pa.binary()),
                 pa.array([b"" if b < 0 else pack40(key[o]) for b, o in rows], pa.binary()),
-                pa.array([b"" if b < 0 else pack40(content[o]) for b, o in rows], pa.binary()),
+                pa.array([b"" if b < 0 else np.stack([content[o], check[o]], 1).astype("<u8").tobytes() for b, o in rows], pa.binary()),
                 pa.array([start[o].astype("<i4").tobytes() for _, o in rows], pa.binary()),
                 pa.array([count[o].astype(np.uint8).tobytes() for _, o in rows], pa.binary()),
                 *(pa.array([b"" if b < 0 else x[o].astype("<u2").tobytes() for b, o in rows], pa.binary()) for x in (left, right)),
@@ -162,12 +166,12 @@ def _settled(bucket: int, blobs: list[list[bytes]]) -> pa.RecordBatch:
     if bucket < 0:
         out, key, shown = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
     else:
-        k, c = unpack40(b"".join(b[1] for b in blobs)), unpack40(b"".join(b[2] for b in blobs))
-        order, again = repeats_within(k, c, ids)
+        k, c = unpack40(b"".join(b[1] for b in blobs)), np.frombuffer(b"".join(b[2] for b in blobs), "<u8").reshape(-1, 2)
+        order, again = repeats_within(k, c[:, 0], c[:, 1], ids)
         k2, c2, i2 = k[order], c[order], ids[order]
         heads = np.flatnonzero(np.concatenate([[True], k2[1:] != k2[:-1]]))
         size = np.diff(np.append(heads, len(k2)))
-        varied = np.maximum.reduceat(c2, heads) != np.minimum.reduceat(c2, heads)
+        varied = (c2[heads] != c2[heads + size - 1]).any(1)
         several = np.maximum.reduceat(i2, heads) != np.minimum.reduceat(i2, heads)
         unclear = np.repeat(varied & several, size) & ~again
         where = np.flatnonzero(unclear)

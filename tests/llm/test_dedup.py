@@ -210,6 +210,16 @@ def test_substrings_of_ids_with_two_texts(spark, monkeypatch):
     assert got[2, len(a + b)] == len(least) and got[1, len(a)] == got[1, len(b)] == 0
 
 
+def test_substrings_of_equal_short_hashes(spark, monkeypatch):
+    """Runs with one q-gram whose content hashes agree in their low 40 bits, but not their bytes; each in a task of its own."""
+    pair = [(1, "chleaalmbcngbeffkfgcjlakihnjjpolkjoineaiamglpkifnj"), (2, "chleaalmbcngbeffbabcgcdomppdefcfhohbpjfnmcmnepccjp")]
+    runs = [substring_dedup.runs_of(np.frombuffer(t.encode(), np.uint8), np.array([0, 50])) for _, t in pair]
+    low = np.uint64((1 << 40) - 1)
+    assert runs[0][1] == runs[1][1] and runs[0][2] & low == runs[1][2] & low
+    docs = spark.createDataFrame(pair[:1], "doc_id long, text string").union(spark.createDataFrame(pair[1:], "doc_id long, text string"))
+    assert [r.n_removed for r in op5(spark, docs, monkeypatch).collect()] == [0, 0]
+
+
 def test_bucket_pointers_sort_strings():
     rng = np.random.default_rng(2)
     text = rng.choice(np.frombuffer(b"ab", np.uint8), 3000)
