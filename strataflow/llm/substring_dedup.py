@@ -9,6 +9,9 @@ stands. Neighbouring strings with one anchor form a run, so a text has about one
      strings by their first DEPTH bytes: buckets of 8-grams, a bucket's pointer being its place in the order, are refined
      by the pointers 8, 16 and 18 bytes further on, each pass using those that the one before has moved.
   3. Each text's covered bytes are merged into spans and cut out.
+No key is held whole by one task: runs of a q-gram that a sample finds in more than HOT_RUNS different surroundings are
+bucketed by their content hash instead, and a q-gram with more than HOT_CONTEXTS unclear runs, which are counted, is not
+refined: its strings are compared by 128 bits of hashes, dealt by these. The sample decides only where runs go.
 Texts that equal one with a smaller id go whole and take no part.
 
 Defined cases: a null text is empty; texts below DEPTH bytes keep all; null ids take no part and keep all; rows repeated
@@ -33,11 +36,15 @@ from strataflow.llm.order_minhash import _powers, binary_parts, mixed
 DEPTH, Q = 50, 16
 PART_BYTES = 1 << 20  # of text at a time: a task holds about 150 times that
 BUCKET_BITS, BUCKET_TEXT = 8, 4 << 20  # buckets at least, and bytes of text for each beyond that
+BUCKET_RUNS = 250_000  # that many are in BUCKET_TEXT
 POSITION_BITS = 28
 _A = np.uint64(0xD1342543DE82EF95)
 _BASE, _CHECK_BASE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _CHECK = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))  # a number for each byte
 _LOW40 = np.uint64((1 << 40) - 1)
+HOT_RUNS, HOT_CONTEXTS = 500_000, 12_000  # of one q-gram in one task
+SAMPLE, PIECE = 64, 1 << 16  # one of SAMPLE pieces of text is looked at for hot q-grams
+HOT_BUCKET = 1 << 24  # buckets from here on hold runs of hot q-grams
 SIDE = (DEPTH - Q) // 2  # a string around an anchor reaches this far at least to one side of it
 RUNS = "bucket int, ids binary, keys binary, contents binary, starts binary, lengths binary, lefts binary, rights binary"
 
@@ -123,43 +130,74 @@ def met_elsewhere(key: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndar
     return order[np.repeat(several, np.diff(np.append(heads, len(k))))]
 
 
-def _run_batches(bits: int):
-    """Runs packed by one of 2**bits buckets; bucket -1 holds runs that equal one of a smaller id in the same part."""
+def _run_batches(bits: int, hot: np.ndarray, hot_bits: int):
+    """Runs packed by one of 2**bits buckets of their key, or 2**hot_bits of their content for the sorted keys in hot; bucket -1 holds runs that equal one of a smaller id in the same part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _packed_runs(batch, bits)
+            yield from _packed_runs(batch, bits, hot, hot_bits)
 
     return pack
 
 
-def _packed_runs(batch: pa.RecordBatch, bits: int) -> Iterator[pa.RecordBatch]:
+def _top(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _packed_runs(batch: pa.RecordBatch, bits: int, hot: np.ndarray, hot_bits: int) -> Iterator[pa.RecordBatch]:
     ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
     for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
         text, key, content, check, start, count, left, right = runs_of(values, offsets)
         ids = ids_all[lo : lo + n][text]
-        order, again = repeats_within(key, content, check, ids)
-        bucket = np.where(again, -1, (key[order] >> np.uint64(64 - bits)).astype(np.int64))
-        by = np.lexsort((start[order], ids[order], bucket))
-        order, bucket = order[by], bucket[by]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-        rows = [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([b for b, _ in rows], pa.int32()),
-                pa.array([ids[o].tobytes() for _, o in rows], pa.binary()),
-                pa.array([b"" if b < 0 else pack40(key[o]) for b, o in rows], pa.binary()),
-                pa.array([b"" if b < 0 else np.stack([content[o], check[o]], 1).astype("<u8").tobytes() for b, o in rows], pa.binary()),
-                pa.array([start[o].astype("<i4").tobytes() for _, o in rows], pa.binary()),
-                pa.array([count[o].astype(np.uint8).tobytes() for _, o in rows], pa.binary()),
-                *(pa.array([b"" if b < 0 else x[o].astype("<u2").tobytes() for b, o in rows], pa.binary()) for x in (left, right)),
-            ],
-            ["bucket", "ids", "keys", "contents", "starts", "lengths", "lefts", "rights"],
-        )
+        bucket = _top(key, bits)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            bucket[is_hot] = HOT_BUCKET + _top(content[is_hot], hot_bits)
+        yield _packed(bucket, ids, key, content, check, start, count, left, right)
+
+
+def _packed(bucket: np.ndarray, ids: np.ndarray, key: np.ndarray, content: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    order, again = repeats_within(key, content, check, ids)
+    bucket = np.where(again, -1, bucket[order])
+    by = np.lexsort((start[order], ids[order], bucket))
+    order, bucket = order[by], bucket[by]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    rows = [(int(bucket[a]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([b for b, _ in rows], pa.int32()),
+            pa.array([ids[o].tobytes() for _, o in rows], pa.binary()),
+            pa.array([b"" if b < 0 else pack40(key[o]) for b, o in rows], pa.binary()),
+            pa.array([b"" if b < 0 else np.stack([content[o], check[o]], 1).astype("<u8").tobytes() for b, o in rows], pa.binary()),
+            pa.array([start[o].astype("<i4").tobytes() for _, o in rows], pa.binary()),
+            pa.array([count[o].astype(np.uint8).tobytes() for _, o in rows], pa.binary()),
+            *(pa.array([b"" if b < 0 else x[o].astype("<u2").tobytes() for b, o in rows], pa.binary()) for x in (left, right)),
+        ],
+        ["bucket", "ids", "keys", "contents", "starts", "lengths", "lefts", "rights"],
+    )
+
+
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, runs: how many different runs of each key every part has."""
+    for batch in batches:
+        for _, _, values, offsets in binary_parts(batch, "body", PART_BYTES):
+            _, key, content, check, *_ = runs_of(values, offsets)
+            order, again = repeats_within(key, content, check, np.arange(len(key)))
+            keys, runs = np.unique(key[order][~again], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(runs, pa.int64())], ["key", "runs"])
+
+
+def hot_keys(texts: DataFrame, sample: int, most: int) -> tuple[np.ndarray, int]:
+    """Sorted keys that a sample finds in more than `most` different runs, and the runs that they have by it. There are at most total runs / most of them."""
+    pieces = F.expr(f"filter(sequence(0L, (octet_length(body) - 1) div {PIECE}), i -> pmod(xxhash64(doc_id, i), {sample}) = 0)")
+    cut = texts.withColumn("i", F.explode(pieces)).select("doc_id", F.expr(f"substring(body, cast(i * {PIECE} + 1 as int), {PIECE})").alias("body"))
+    counted = cut.mapInArrow(_key_counts, "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
+    found = counted.filter(F.col("runs") * sample > most).collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64)), sample * sum(r["runs"] for r in found)
 
 
 def _settled(bucket: int, blobs: list[list[bytes]]) -> pa.RecordBatch:
-    """Rows doc_id, start, strings, key of one bucket: repeats (no key), and runs whose anchor others share (key)."""
+    """Rows doc_id, start, strings, key of one bucket: repeats (no key), and runs whose anchor others share (key); in buckets of hot keys all that are left."""
     ids = np.frombuffer(b"".join(b[0] for b in blobs), np.int64)
     start = np.frombuffer(b"".join(b[3] for b in blobs), "<i4")
     count = np.frombuffer(b"".join(b[4] for b in blobs), np.uint8)
@@ -168,6 +206,10 @@ def _settled(bucket: int, blobs: list[list[bytes]]) -> pa.RecordBatch:
     else:
         k, c = unpack40(b"".join(b[1] for b in blobs)), np.frombuffer(b"".join(b[2] for b in blobs), "<u8").reshape(-1, 2)
         order, again = repeats_within(k, c[:, 0], c[:, 1], ids)
+        if bucket >= HOT_BUCKET:
+            out, shown = order, ~again
+            key = (k[order] | (np.uint64(1) << np.uint64(63))).astype(np.int64)
+            return _settled_rows(ids[out], start[out], count[out], key, shown)
         k2, c2, i2 = k[order], c[order], ids[order]
         heads = np.flatnonzero(np.concatenate([[True], k2[1:] != k2[:-1]]))
         size = np.diff(np.append(heads, len(k2)))
@@ -182,7 +224,11 @@ def _settled(bucket: int, blobs: list[list[bytes]]) -> pa.RecordBatch:
         keep = again | unclear
         out, shown = order[keep], unclear[keep]
         key = (k2[keep] | (np.uint64(bucket) << np.uint64(40))).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(start[out].astype(np.int32)), pa.array(count[out].astype(np.int32)), pa.array(key, mask=~shown)], ["doc_id", "start", "strings", "key"])
+    return _settled_rows(ids[out], start[out], count[out], key, shown)
+
+
+def _settled_rows(ids: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray, shown: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key, mask=~shown)], ["doc_id", "start", "strings", "key"])
 
 
 def _settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +332,40 @@ def _refine_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _refine_bucket(*held)
 
 
+def string_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the DEPTH bytes from each place."""
+    n = len(values) - DEPTH + 1
+    out = []
+    for numbers, base in ((mixed(np.arange(256, dtype=np.uint64) + np.uint64(300)), _BASE), (_CHECK, _CHECK_BASE)):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(numbers[values] * _powers(base, len(values)), dtype=np.uint64)])
+        out.append(mixed((sums[DEPTH:] - sums[:n]) * _powers(pow(base, -1, 1 << 64), n)))
+    return out[0], out[1]
+
+
+def _string_batches(bits: int):
+    """The strings of contexts, packed like runs by one of 2**bits buckets of their hash."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, values, offsets in binary_parts(batch, "bytes", PART_BYTES // 8):  # a context has 20 times its bytes in strings
+                count = np.diff(offsets) - DEPTH + 1
+                owner = np.repeat(np.arange(n), count)
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                content, check = (x[offsets[:-1][owner] + nth] for x in string_hashes(values))
+                ids = batch.column("doc_id").to_numpy()[lo : lo + n][owner]
+                start = batch.column("start").to_numpy()[lo : lo + n][owner] + nth
+                none = np.zeros(len(ids), np.uint64)
+                yield _packed(_top(content, bits), ids, none, content, check, start, none + np.uint64(1), none, none)
+
+    return pack
+
+
+def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, strings of the strings that have a smaller id's equal."""
+    for batch in _settle_batches(batches):
+        yield batch.filter(batch.column("key").is_null()).select(["doc_id", "start", "strings"])
+
+
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, spans (start, end), kept text of rows with their covered strings."""
     for batch in batches:
@@ -311,6 +391,21 @@ def meeting(texts: DataFrame, lists: DataFrame) -> DataFrame:
     return some.join(lists.hint("merge"), "doc_id").select("doc_id", "body", "runs")
 
 
+def bucket_bits(rows: int) -> int:
+    return min(20, max(BUCKET_BITS, int(np.ceil(np.log2(max(rows, 1) / BUCKET_RUNS)))))
+
+
+def by_bucket(runs: DataFrame) -> DataFrame:
+    """One bucket's rows in one task, one after the other; bucket -1 is spread."""
+    return runs.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("ids"))).sortWithinPartitions("bucket")
+
+
+def contexts_of(texts: DataFrame, unclear: DataFrame) -> DataFrame:
+    """key, doc_id, start, bytes of unclear runs."""
+    lists = unclear.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings", "key")).alias("runs"))
+    return meeting(texts, staged(lists, "substring-unclear")).mapInArrow(_context_batches, "key long, doc_id long, start int, bytes binary")
+
+
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(prints, cut): doc_id, n_bytes, sha, whole (goes as a copy) of every row; doc_id, sha, edges (starts and ends of removed spans in turn), kept (bytes left) of rows that lose a part."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
@@ -326,15 +421,21 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     total = prints.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(20, max(BUCKET_BITS, int(np.ceil(np.log2(max(total, 1) / BUCKET_TEXT)))))  # so a bucket does not grow with the corpus
-    runs = texts.select("doc_id", "body").mapInArrow(_run_batches(bits), RUNS)
-    dealt = runs.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.xxhash64("ids"))).sortWithinPartitions("bucket")
-    found = staged(dealt.mapInArrow(_settle_batches, "doc_id long, start int, strings int, key long"), "substring-runs")
-
-    unclear = found.filter("key is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings", "key")).alias("runs"))
-    contexts = meeting(texts, staged(unclear, "substring-unclear"))
-    contexts = contexts.mapInArrow(_context_batches, "key long, doc_id long, start int, bytes binary")
+    hot, n_hot = hot_keys(texts.select("doc_id", "body"), SAMPLE, HOT_RUNS)
+    runs = texts.select("doc_id", "body").mapInArrow(_run_batches(bits, hot, bucket_bits(n_hot)), RUNS)
+    found = staged(by_bucket(runs).mapInArrow(_settle_batches, "doc_id long, start int, strings int, key long"), "substring-runs")
+
+    unclear = found.filter("key is not null")
+    many = staged(unclear.groupBy("key").agg(F.count("*").alias("runs")).filter(F.col("runs") > HOT_CONTEXTS), "substring-hot")
+    n_many = many.agg(F.sum("runs")).first()[0] or 0
+    many = many.select("key")
+    contexts = contexts_of(texts, lookup_join(unclear, many, ["key"], "left_anti", ["doc_id"]) if n_many else unclear)
     sorted_contexts = contexts.repartition("key").sortWithinPartitions("key")
     more = staged(sorted_contexts.mapInArrow(_refine_batches, "doc_id long, start int, strings int"), "substring-more")
+    if n_many:
+        contexts = contexts_of(texts, lookup_join(unclear, many, ["key"], "left_semi", ["doc_id"]))
+        strings = contexts.mapInArrow(_string_batches(bucket_bits(n_many * (DEPTH - Q + 1))), RUNS)
+        more = more.unionByName(staged(by_bucket(strings).mapInArrow(_settle_strings, "doc_id long, start int, strings int"), "substring-strings"))
 
     covered = found.filter("key is null").select("doc_id", "start", "strings").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
     cut = meeting(texts, staged(covered, "substring-covered"))

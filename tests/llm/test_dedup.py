@@ -220,6 +220,54 @@ def test_substrings_of_equal_short_hashes(spark, monkeypatch):
     assert [r.n_removed for r in op5(spark, docs, monkeypatch).collect()] == [0, 0]
 
 
+def test_substrings_split_hot_keys(spark, monkeypatch):
+    """The q-grams at the edges of a passage with as many surroundings as texts: no task holds all runs or contexts of one."""
+    passage, most = prose(50, 12), 15
+    rows = [(i, prose(1000 + i, 6) + passage + prose(2000 + i, 1 + i % 5)) for i in range(60)] + [(100 + i, "=" * 60 + str(i) + passage[:70]) for i in range(20)]
+    settle, refine = substring_dedup._settle_batches, substring_dedup._refine_batches
+    unpack = substring_dedup.unpack40
+
+    def few(met, key, what):
+        met.setdefault(key, set()).add(what)
+        if len(met[key]) > most:
+            raise ValueError("a task holds a hot key")
+
+    def guarded_settle(batches):
+        counts = {}
+
+        def watched():
+            for batch in batches:
+                for bucket, keys, contents in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "contents")), strict=True):
+                    for k, key in enumerate([] if bucket < 0 else unpack(keys).tolist()):
+                        if key:  # strings have none
+                            few(counts, (bucket, key), contents[len(contents) * 5 * k // len(keys) :][:5])
+                yield batch
+
+        yield from settle(watched())
+
+    def guarded_refine(batches):
+        counts = {}
+
+        def watched():
+            for batch in batches:
+                for key, data in zip(batch.column("key").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                    few(counts, key, data)
+                yield batch
+
+        yield from refine(watched())
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(substring_dedup, "_refine_batches", guarded_refine)
+    monkeypatch.setattr(substring_dedup, "HOT_CONTEXTS", most, raising=False)
+    got = {r.doc_id: tuple(r)[1:] for r in op5(spark, docs, monkeypatch).collect()}
+    assert got == brute_substrings(rows)
+    monkeypatch.setattr(substring_dedup, "_settle_batches", guarded_settle)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1, raising=False)
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", most, raising=False)
+    got = {r.doc_id: tuple(r)[1:] for r in op5(spark, docs, monkeypatch).collect()}
+    assert got == brute_substrings(rows)
+
+
 def test_bucket_pointers_sort_strings():
     rng = np.random.default_rng(2)
     text = rng.choice(np.frombuffer(b"ab", np.uint8), 3000)
