@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at line ends and after . ! ? ; before a blank), each is normalised (lower case, runs of
-other characters than a-z and 0-9 become one blank), and mapped to the number of a known licence sentence. A rule is an
+A text is normalised (lower case, runs of other characters than a-z and 0-9 become one blank) with its line ends kept, and
+cut after . ! ? ; before a blank and at lines without letters or digits. A known licence sentence is found where it fills
+one or more whole lines of such a part, so wrapped sentences are found as well as those on one line, and where a line
+starts within another's, the longer is taken. Each is mapped to its number. A rule is an
 ordered list of such numbers; it matches where its numbers follow one another among the text's known sentences.
 
 Defined cases: null and empty texts have no sentences; rows are independent, so null and repeated ids are kept; sentences
@@ -53,22 +55,33 @@ def numbered() -> tuple[list[str], list[tuple[str, list[int]]]]:
     return list(known), rules
 
 
-#: Each known sentence holds one of these, so texts without any are passed over; a test checks the list against RULES.
+#: Each known sentence, as written or normalised, holds one of these; a test checks the list against RULES.
 ANCHORS = ("licen", "permission", "redistribut", "copyright", "free software", "free and unencumbered", "contributors", "version 2", "2.0.", "mpl was", "rights reserved", "cc0", "cc by", "free\\s+software")
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, "([.!?;])[ \\t\\r\\n]+", "$1\n"), "\n+")
+#: The same without blanks between words, whatever these are in the text: texts without any are passed over.
+WORDS = "licen|permission|redistribut|copyright|software|contributors|mpl|reserved|cc0|2[^a-z0-9]+0"
+CUT = "\u0001"
+
+
+def normal_lines(text: Column) -> Column:
+    """The text in normal form, its lines parted by a line end and its parts by CUT. No pattern scans a stretch more than once."""
+    out = F.translate(F.lower(text), CUT, "|")
+    for pattern, by in (("[.!?;][ \\t\\r\\n]+", CUT), (f"[^a-z0-9\\n{CUT}]+", " "), (" ?\\n ?", "\n"), ("\\n\\n+", CUT), (f" ?\\n?{CUT}[ \\n{CUT}]*", CUT)):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
 
 
 def license_findings(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentence_ids (array of int, in text order), licenses (array of names, sorted) of rows with a known sentence."""
     known, rules = numbered()
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.filter(F.lower("text").rlike("|".join(a.replace(".", "\\.") if "\\" not in a else a for a in ANCHORS)))
+    rows = rows.filter(F.lower("text").rlike(WORDS))
     numbers = F.create_map(*(x for i, s in enumerate(known, 1) for x in (F.lit(s), F.lit(i))))
-    norm = F.transform(sentences(F.col("text")), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(norm, lambda s: F.try_element_at(numbers, s)), lambda i: i.isNotNull())
+    longest = sorted(known, key=len, reverse=True)
+    pattern = "(?<![a-z0-9 ])(?:" + "|".join(x.replace(" ", "[ \\n]") for x in longest) + ")(?![a-z0-9 ])"
+    met = F.regexp_extract_all(normal_lines(F.col("text")), F.lit(pattern), F.lit(0))
+    ids = F.transform(met, lambda s: F.element_at(numbers, F.translate(s, "\n", " ")))
     found = rows.select("doc_id", ids.alias("sentence_ids")).filter(F.size("sentence_ids") > 0)
     trail = found.withColumn("trail", F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(",")))
     hits = F.array(*(F.when(F.col("trail").contains("," + ",".join(map(str, seq)) + ","), F.lit(name)) for name, seq in rules))

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -232,6 +234,37 @@ def test_license_query_equals_sql(spark, duck):
     assert rows_of(license_rules.op7_license_rules(spark, DATA).toPandas()) == rows_of(duck.execute(license_rules.OP7_SQL).df())
 
 
+def test_license_sentences_over_lines_and_odd_blanks(spark):
+    """Notices wrapped as files wrap them, against a search of word lists that shares no code."""
+    assert all(re.search(license_rules.WORDS, x) for x in license_rules.numbered()[0])
+    rules = license_rules.RULES
+    rows, want = [], {}
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "Apache-2.0"):
+        for variant in rules[name]:
+            for width, lead in ((70, ""), (76, " * "), (40, "# ")):
+                text = f"Copyright 2020 Someone\n{lead}\n" + f"\n{lead}\n".join(textwrap.fill(x, width, initial_indent=lead, subsequent_indent=lead) for x in variant) + f"\n{lead}\nint main;"
+                rows.append((len(rows), text))
+    for blank in ("  ", "\t", "\u00a0", "\n", "\r\n"):
+        rows.append((len(rows), f"Mine.\n\nAll rights{blank}reserved."))
+    rows.append((len(rows), "All rights\n\nreserved. Not all rights\nreserved."))
+    for i, text in rows:
+        parts, part = [], []
+        for line in text.lower().split("\n"):
+            if not any(c.isascii() and c.isalnum() for c in line):
+                parts, part = [*parts, part], []
+                continue
+            bits = re.split(r"(?<=[.!?;])[ \t\r]+|(?<=[.!?;])$", line)
+            for bit in bits[:-1]:
+                parts, part = [*parts, [*part, bit]], []
+            part = [*part, bits[-1]] if bits[-1] else part
+        words = [re.findall("[a-z0-9]+", " ".join(p)) for p in [*parts, part]]
+        words = [w for w in words if w]
+        named = {n for n, variants in rules.items() for v in variants for s in [[re.findall("[a-z0-9]+", x.lower()) for x in v]] if any(words[k : k + len(s)] == s for k in range(len(words)))}
+        want[i] = sorted(named)
+    got = {r.doc_id: r.licenses for r in license_rules.license_findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: n for i, n in want.items() if n} and sum(map(bool, want.values())) >= len(rows) - 1
+
+
 def test_license_rules(spark, awkward, nothing):
     known, rules = license_rules.numbered()
     import re
