@@ -9,13 +9,19 @@ stays within a band of (1 - threshold) * longer length around the diagonal. Thei
 they are linked at `threshold` (0.8) or more. Short texts have smaller samples, so that few k-mers suffice.
 
 Equal word sequences are one node. In a bucket of equal sketches each node is compared with the bucket's leader, so a
-bucket of any size gives as many comparisons as members. Members of a bucket that then lie in different components are
-compared across these, in random cells that grow until none is left, so no link is lost because a leader lay between. At the
-least k-mer overlap that the threshold allows (a Jaccard similarity of 2/3) 0.3 % of pairs share none of the sketches.
+bucket of any size gives as many comparisons as members. Members that then lie in another component than their leader may
+still be linked with other members of it. For these
+  - a node of which more than the allowed part of the labelled k-mers stand in no other text in question can't be linked;
+  - of any two nodes under one leader, what both share is bounded by the leader's k-mers that neither lost (a bit map of
+    `BINS` parts of the leader) and by the k-mers outside of the leader that others have too.
+Both bounds are exact, so pairs that pass them are aligned, all others can't be linked, and no link within a bucket is lost
+because a leader lay between. Pairs are formed in cells of `CELL` by `CELL` nodes, only between components, and never
+within one. At the least k-mer overlap that the threshold allows (a Jaccard similarity of 2/3) 0.3 % of pairs share none of
+the sketches.
 
 Defined cases: null and empty texts, and texts without words, are in a class of their own; null ids have class null; rows
 that share an id count as one document; an empty table gives an empty result. Ties in hash order fall to the smaller hash
-value of the k-mer. Only the id and text column are read.
+value of the k-mer. A task holds about 40 times the longest text. Only the id and text column are read.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import BROADCAST_LISTS, lookup_join, staged, table
+from strataflow.llm.common import BROADCAST_ROWS, lookup_join, staged, table
 from strataflow.llm.components import components
 
 K = 5
@@ -37,7 +43,8 @@ SKETCHES, SAMPLE = 64, 6
 SHORT, SHORT_SKETCHES, SHORT_SAMPLE = 24, 16, 2  # texts of up to SHORT k-mers
 LEAST_LONG = 16  # texts from here on have the long sketches too: 0.8 * (SHORT + 1) is above it
 LEADER_ROWS = 256
-FIRST_CELL, CELL_GROWTH = 4, 16
+CELL = 512
+BINS = 256
 PART_BYTES = 1 << 19  # of text at a time: a task holds about 40 times that
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -180,9 +187,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def chain_length(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Longest chain of labelled k-mers in both that rises in both, each at most band places off the diagonal."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+def chain_length(i: np.ndarray, j: np.ndarray, band: int) -> int:
+    """Longest chain of shared k-mers, at places i and j, that rises in both, each at most band places off the diagonal."""
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
     j = j[np.argsort(i)]
@@ -198,53 +204,115 @@ def chain_length(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return len(tails)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """chain / longer length, or 0 if the lengths alone keep it below the threshold."""
+def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[float, np.ndarray]:
+    """chain / longer length, or 0 if the lengths or the shared k-mers alone keep it below the threshold; and the places in a of what is shared."""
     longer = max(len(a), len(b))
-    if min(len(a), len(b)) < threshold * longer or not longer:
-        return 0.0
-    return chain_length(a, b, int(np.ceil((1 - threshold) * longer)) + 1) / longer
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not longer or min(len(a), len(b), len(i)) < threshold * longer:
+        return 0.0, i
+    return chain_length(i, j, int(np.ceil((1 - threshold) * longer)) + 1) / longer, i
+
+
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    return aligned(a, b, threshold)[0]
+
+
+def lost_bins(n: int, shared: np.ndarray) -> np.ndarray:
+    """Which of BINS parts of n places hold one that is not shared, as four integers."""
+    lost = np.ones(n, bool)
+    lost[shared] = False
+    at = np.flatnonzero(lost)
+    bins = np.zeros(BINS, np.uint8)
+    bins[at if n <= BINS else at * BINS // n] = 1
+    return np.packbits(bins).view("<i8")
+
+
+COMPARED = "leader long, member long, linked boolean, n_leader int, n_member int, shared int, l0 long, l1 long, l2 long, l3 long"
 
 
 def _compare(threshold: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by leader: the leader's own first, then its members; only the leader is held."""
-        leader, held = None, None
+        leader, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             for lo, n, values, offsets in binary_parts(batch, "body"):
                 words, owner = word_hashes(values, offsets)
                 kmers, at = labelled_kmers(words, owner, n)
-                a, b = [], []
+                out = []
                 rows = zip(batch.column("leader").slice(lo, n).to_pylist(), batch.column("member").slice(lo, n).to_pylist(), strict=True)
                 for k, (x, y) in enumerate(rows):
                     own = kmers[at[k] : at[k + 1]]
                     if y is None:
                         leader, held = x, own.copy()
-                    elif x == leader and similarity(held, own, threshold) >= threshold:
-                        a.append(x)
-                        b.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    elif x == leader:
+                        score, shared = aligned(held, own, threshold)
+                        out.append((x, y, score >= threshold, len(held), len(own), len(shared), *lost_bins(len(held), shared).tolist()))
+                columns = list(zip(*out, strict=True)) or [[]] * 10
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in COMPARED.split(", ")])
 
     return compare
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (leader, member) of distinct ids whose texts align; docs(doc_id, body) has each id's text.
+def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """COMPARED of pairs (leader, member) of distinct ids; docs(doc_id, body) has each id's text.
 
     A leader's text goes out once for every LEADER_ROWS members, each member's once a pair.
     """
     pairs = staged(pairs.distinct(), "omh-pairs")
-    counts = pairs.groupBy("leader").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / LEADER_ROWS).cast("int")
-    placed = pairs.join(counts, "leader").withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
-    members = staged(placed.groupBy(F.col("member").alias("doc_id")).agg(F.collect_list(F.struct("leader", "block")).alias("to")), "omh-members")
-    leaders = staged(counts.select(F.col("leader").alias("doc_id"), blocks.alias("blocks")), "omh-leaders")
-    sent = lookup_join(docs, members, ["doc_id"], "inner", ["doc_id"], most=BROADCAST_LISTS).select("doc_id", "body", F.explode("to").alias("to"))
-    sent = sent.select(F.col("to.leader").alias("leader"), F.col("to.block").alias("block"), F.col("doc_id").alias("member"), "body")
-    heads = lookup_join(docs, leaders, ["doc_id"], "inner", ["doc_id"])
-    heads = heads.select(F.col("doc_id").alias("leader"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("member"), "body")
-    dealt = heads.unionByName(sent).repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("member").asc_nulls_first())
-    return staged(dealt.mapInArrow(_compare(threshold), "a long, b long"), "omh-links")
+    leaders = staged(pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_ROWS).cast("int").alias("blocks")), "omh-leaders")
+    placed = staged(lookup_join(pairs, leaders, ["leader"], "inner", ["member"]).select(F.col("member").alias("doc_id"), "leader", F.expr("pmod(xxhash64(member), blocks)").cast("int").alias("block")), "omh-placed")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return docs.join(F.broadcast(rows), "doc_id")
+        some = lookup_join(docs, rows.select("doc_id").distinct(), ["doc_id"], "left_semi", ["doc_id"])
+        return some.join(rows, "doc_id")
+
+    members = with_text(placed).select("leader", "block", F.col("doc_id").alias("member"), "body")
+    heads = with_text(leaders.withColumnsRenamed({"leader": "doc_id"})).select(F.col("doc_id").alias("leader"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("member"), "body")
+    dealt = heads.unionByName(members).repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("member").asc_nulls_first())
+    return staged(dealt.mapInArrow(_compare(threshold), COMPARED), "omh-compared")
+
+
+def _kmer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, n, values, offsets in binary_parts(batch, "body"):
+            kmers, at = labelled_kmers(*word_hashes(values, offsets), n)
+            ids = np.repeat(batch.column("doc_id").to_numpy()[lo : lo + n], np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kmers.view(np.int64))], ["doc_id", "kmer"])
+
+
+def own_kmers(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """member, own: how many labelled k-mers of a text stand in no other text of ids(doc_id); rows with one at least."""
+    kmers = lookup_join(docs, ids, ["doc_id"], "left_semi", ["doc_id"]).mapInArrow(_kmer_batches, "doc_id long, kmer long")
+    single = kmers.groupBy("kmer").agg(F.min("doc_id").alias("member"), F.max("doc_id").alias("last")).filter("member = last")
+    return staged(single.groupBy("member").agg(F.count("*").cast("int").alias("own")), "omh-own")
+
+
+def crossing(docs: DataFrame, met: DataFrame, groups: DataFrame, threshold: float) -> DataFrame | None:
+    """Pairs (leader, member) of nodes that met(COMPARED) has under one leader, that lie in different components and pass the bounds; None if no member is apart from its leader."""
+    of = groups.withColumnsRenamed({"id": "member", "class_id": "x"})
+    classed = lookup_join(met, of, ["member"], "left", ["leader"]).withColumn("x", F.coalesce("x", "member"))
+    classed = lookup_join(classed, groups.withColumnsRenamed({"id": "leader", "class_id": "y"}), ["leader"], "left", ["member"])
+    classed = staged(classed.withColumn("apart", F.col("x") != F.coalesce("y", "leader")).withColumnRenamed("x", "class_id").drop("y"), "omh-classed")
+    active = staged(classed.filter("apart").select("leader").distinct(), "omh-active")
+    if active.isEmpty():
+        return None
+    pool = lookup_join(classed, active, ["leader"], "left_semi", ["member"])
+    ids = staged(pool.select(F.col("member").alias("doc_id")).unionByName(active.withColumnsRenamed({"leader": "doc_id"})).distinct(), "omh-ids")
+    pool = lookup_join(pool, own_kmers(docs, ids), ["member"], "left", ["leader"]).withColumn("open", F.expr("n_member - coalesce(own, 0)"))
+    pool = staged(pool.filter(F.col("open") / F.col("n_member") >= threshold).withColumn("outside", F.expr("open - shared")), "omh-open")
+    cells = staged(pool.groupBy("leader").agg(F.ceil(F.count("*") / CELL).cast("int").alias("ny"), F.ceil(F.count_if("apart") / CELL).cast("int").alias("nx")).filter("nx > 0"), "omh-cells")
+    dealt = lookup_join(pool, cells, ["leader"], "inner", ["member"])
+    y = dealt.withColumn("i", F.explode(F.expr("sequence(0, nx - 1)"))).withColumn("j", F.expr("cast(pmod(xxhash64(member), ny) as int)")).alias("y")
+    x = dealt.filter("apart").withColumn("i", F.expr("cast(pmod(xxhash64(member), nx) as int)")).withColumn("j", F.explode(F.expr("sequence(0, ny - 1)"))).alias("x")
+    between = F.expr("x.class_id != y.class_id and (not y.apart or x.member < y.member)")
+    kept = F.expr("x.n_leader - " + " - ".join(f"bit_count(x.l{k} | y.l{k})" for k in range(4)) + " + least(x.outside, y.outside)")
+    bound = F.least(kept, F.col("x.open"), F.col("y.open"), F.col("x.n_member"), F.col("y.n_member"))
+    near = bound / F.greatest("x.n_member", "y.n_member") >= threshold
+    pairs = x.join(y, F.expr("x.leader = y.leader and x.i = y.i and x.j = y.j") & between & near)
+    return pairs.select(F.col("x.member").alias("leader"), F.col("y.member").alias("member"))
 
 
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -254,35 +322,19 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = sig.filter("kmers > 0 and doc_id is not null").groupBy("kmers", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same = staged(same, "omh-same")
     nodes = lookup_join(sig, same, ["kmers", "fp1", "fp2"], "left", ["doc_id"]).withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    reps = nodes.filter("rep = doc_id").select("rep", "kmers", F.explode("keys").alias("bucket"))
+    reps = nodes.filter("rep = doc_id").select("rep", F.explode("keys").alias("bucket"))
     # the leader is the member whose mixed id is least, in all buckets alike, so a class has few leaders
     first = reps.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("leader"))).alias("x"), F.max(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("y"))
     shared = staged(first.filter("x.leader != y.rep").select("bucket", "x.leader"), "omh-buckets")
-    met = staged(lookup_join(reps, shared, ["bucket"], "inner", ["rep"]).select("bucket", "leader", "rep", "kmers"), "omh-met")
-    links = verified(docs, met.filter("rep != leader").select("leader", F.col("rep").alias("member")), threshold)
+    pairs = lookup_join(reps, shared, ["bucket"], "inner", ["rep"]).filter("rep != leader").select("leader", F.col("rep").alias("member"))
+    met = compared(docs, pairs, threshold)
+    links = met.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
     groups = components(links)
-
-    # Buckets that hold several components: their nodes are dealt at random into cells, small ones first, and compared
-    # across components within a cell. Components that belong together meet early and the bucket drops out; what stays
-    # apart goes on to larger cells, until a cell is the whole bucket and every pair across components has been compared.
-    cell = FIRST_CELL
-    while True:
-        classed = lookup_join(met, groups.withColumnsRenamed({"id": "rep"}), ["rep"], "left", ["bucket"]).withColumn("class_id", F.coalesce("class_id", "rep"))
-        spread = classed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.count("*").alias("n")).filter(f"lo < hi and n > {2 if cell == FIRST_CELL else cell // CELL_GROWTH}")
-        spread = staged(spread.select("bucket", "n"), "omh-spread")
-        if spread.isEmpty():
-            break
-        rows = lookup_join(classed, spread, ["bucket"], "inner", ["rep"])
-        rows = staged(rows.withColumn("cell", F.pmod(F.xxhash64("rep", F.lit(cell)), F.ceil(F.col("n") / cell))), "omh-mixed")
-        x, y = rows.alias("x"), rows.alias("y")
-        near = (F.col("x.kmers") >= threshold * F.col("y.kmers")) & (F.col("y.kmers") >= threshold * F.col("x.kmers"))
-        apart = (F.col("x.class_id") != F.col("y.class_id")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.rep") != F.col("x.leader")) & (F.col("y.rep") != F.col("y.leader"))
-        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cell") == F.col("y.cell")) & apart & near).select(F.col("x.rep").alias("leader"), F.col("y.rep").alias("member"))
-        found = verified(docs, across, threshold)
+    more = crossing(docs, met, groups, threshold)
+    if more is not None:
+        found = compared(docs, more, threshold).filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
         if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = components(links)
-        cell *= CELL_GROWTH
+            groups = components(links.unionByName(found))
 
     out = lookup_join(nodes.select("doc_id", "rep"), groups.withColumnsRenamed({"id": "rep"}), ["rep"], "left", ["doc_id"])
     found = staged(out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id")), "omh-classes")
