@@ -2,21 +2,28 @@
 
 Layout of a store (a folder of Parquet tables):
   chunks/    address (BLAKE2b-128 of the bytes), ids (packed little-endian ids), uses: each different chunk once
-  recipes/   one row a document in ascending doc_id order: doc_id, start, n_tokens, n_chunks, addresses, sizes, root
-  manifest/  one row a recipe file part: part, first, n_documents, n_tokens, root (Merkle root of its documents' roots)
+  recipes/   one row a document in ascending doc_id order: doc_id, start, n_tokens, n_chunks, addresses, sizes, root; one folder a part
+  manifest/  one row a part: part, first, n_documents, n_tokens, root (Merkle root of its rows)
+  head/      one row: parts, n_documents, n_tokens, root (Merkle root of the parts' roots)
 
 A document's ids are cut where a rolling hash of the last `WINDOW` ids has its low bits zero, so an edit moves only the
-cuts near it and equal passages give equal chunks. A document's root is the Merkle root of its chunks' addresses. Readers
-recompute every address from the stored bytes and every root from the addresses, and fail if one differs or is absent.
+cuts near it and equal passages give equal chunks. A document's root is the Merkle root of its chunks' addresses; the leaf
+of its row in the part's tree covers doc_id, start, n_tokens and root. Readers recompute every address from the stored
+bytes, every root from what is below it and the running totals, and fail if anything differs or is absent.
+
+Words that a task has not met are encoded by the tokenizers library's model; texts are normalised and cut as lexer says.
 
 Defined cases: a null or empty text is the end id alone; null ids come first in the order, rows that share an id are
-ordered by root; equal rows are each written; an empty table gives an empty store.
+ordered by root; equal rows are each written; an empty table gives an empty store; a long text is encoded and cut whole,
+in memory that grows with the text; only the id and text column are read.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -25,29 +32,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataflow.llm.bpe_automaton import _WORKER, Lexer, _slices, forget, tokenizer_spec, vocabulary
+from strataflow.llm.bpe_automaton import parts, tokenizer_spec, vocabulary
 from strataflow.llm.common import shared_dir, staged, table
+from strataflow.llm.lexer import Lexer
 
 WINDOW = 16
 MEAN_CHUNK = 256
 MAX_CHUNK = 4096
 END_ID = 1
-CACHE = 300_000
-RECIPE = "doc_id long, start long, n_tokens long, n_chunks int, addresses array<binary>, sizes array<int>, root binary"
-ENCODED = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, chunks array<binary>"
-
-
-def library_lexer(spec: str, kind: str) -> Lexer:
-    """One for each task, encoding words that it has not met lately by the tokenizers library."""
-    key = ("library", kind, hash(spec))
-    if key not in _WORKER:
-        _WORKER[key] = Lexer(spec, kind, cache=CACHE)
-    return _WORKER[key]
+MET = 200_000  # chunks that a task remembers to have sent
+ROW = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, root binary"
+RECIPE = "doc_id long, start long, n_tokens long, n_chunks int, addresses array<binary>, sizes array<int>, root binary, part int"
+PART = "part int, first long, n_documents long, n_tokens long, root binary"
+HEAD = "parts long, n_documents long, n_tokens long, root binary"
 
 
-def cuts(ids: np.ndarray, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
-    """Ends of the chunks of one document; the last is its length."""
-    n = len(ids)
+def cuts(ids: np.ndarray, ends: np.ndarray | None = None, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
+    """Ends of the chunks of documents that lie one after the other; ends: those of the documents (one, by default)."""
+    ends = np.array([len(ids)]) if ends is None else ends
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     factor, width = np.uint64(0xD6E8FEB86659FD93), 1
@@ -55,16 +57,18 @@ def cuts(ids: np.ndarray, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> np.n
         h = h[:-width] * factor + h[width:]
         factor, width = np.uint64(int(factor) ** 2 % 2**64), 2 * width
     if width < WINDOW:
-        ends = np.zeros(0, np.int64)
+        found = np.zeros(0, np.int64)
     else:
         h ^= h >> np.uint64(32)
-        ends = np.flatnonzero(h & np.uint64(mean - 1) == 0) + WINDOW
-    ends = np.union1d(ends, [n])
-    gaps = np.diff(ends, prepend=0)
+        found = np.flatnonzero(h & np.uint64(mean - 1) == 0) + WINDOW
+        document = np.searchsorted(ends, found)  # the window must lie within one
+        found = found[found - np.concatenate([[0], ends])[document] >= WINDOW]
+    found = np.union1d(found, ends[ends > 0])
+    gaps = np.diff(found, prepend=0)
     if gaps.max(initial=0) > most:  # far cuts at fixed distances from the last one
-        extra = [np.arange(e - g + most, e, most) for e, g in zip(ends, gaps, strict=True) if g > most]
-        ends = np.union1d(ends, np.concatenate(extra))
-    return ends
+        extra = [np.arange(e - g + most, e, most) for e, g in zip(found, gaps, strict=True) if g > most]
+        found = np.union1d(found, np.concatenate(extra))
+    return found
 
 
 def address(data: bytes) -> bytes:
@@ -80,47 +84,37 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def encoded_chunks(documents: DataFrame, path: str, id_col: str, text_col: str, end_id: int, kind: str) -> DataFrame:
-    """doc_id, n_tokens, addresses, sizes, chunks; a chunk that the task has met before is null in chunks."""
+    """doc_id, n_tokens, addresses, sizes, root, chunks; a chunk that the task has met before is null in chunks."""
     spec = documents.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
     width = np.dtype(kind).itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexer = library_lexer(spec.value, kind)
-        end, met = lexer.pack([end_id]), set()
-        try:
-            for batch in batches:
-                for part in _slices(batch, "text"):
-                    counts, addresses, sizes, chunks = [], [], [], []
-                    for text in part.column("text").to_pylist():
-                        data = lexer.encode(text) + end
-                        at, a, s, c = 0, [], [], []
-                        for stop in cuts(np.frombuffer(data, kind)).tolist():
-                            chunk = data[at * width : stop * width]
-                            key = address(chunk)
-                            a.append(key)
-                            s.append(stop - at)
-                            c.append(None if key in met else chunk)
-                            if len(met) > 500_000:  # chunks met again are then sent again, and dropped by their address
-                                met.clear()
-                            met.add(key)
-                            at = stop
-                        counts.append(at)
-                        addresses.append(a)
-                        sizes.append(s)
-                        chunks.append(c)
-                    binary = pa.list_(pa.binary())
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(addresses, binary), pa.array(sizes, pa.list_(pa.int32())), pa.array(chunks, binary)], ["doc_id", "n_tokens", "addresses", "sizes", "chunks"])
-        finally:
-            forget()
+        lexer, met = Lexer(spec.value, kind), set()
+        for batch in batches:
+            for part in parts(batch, "text"):
+                offsets, values = lexer.encode(part.column("text").to_pylist())
+                ids = np.insert(values, offsets[1:], end_id).astype(kind)
+                ends = offsets[1:] + np.arange(1, len(offsets))
+                stops = cuts(ids, ends)
+                sizes = np.diff(stops, prepend=0)
+                data = ids.tobytes()
+                chunks = [data[(b - n) * width : b * width] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
+                keys = [address(x) for x in chunks]
+                sent: list[bytes | None] = []
+                for key, chunk in zip(keys, chunks, strict=True):
+                    sent.append(None if key in met else chunk)
+                    met.add(key)
+                if len(met) > MET:  # chunks met again are then sent again, and dropped by their address
+                    met.clear()
+                each = pa.array(np.concatenate([[0], np.searchsorted(stops, ends, side="right")]), pa.int32())
+                lists = [pa.ListArray.from_arrays(each, pa.array(x, t)) for x, t in ((keys, pa.binary()), (sizes, pa.int32()), (sent, pa.binary()))]
+                bounds = each.to_pylist()
+                roots = [merkle_root(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                names = ["doc_id", "n_tokens", "addresses", "sizes", "root", "chunks"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), lists[0], lists[1], pa.array(roots, pa.binary()), lists[2]], names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(encode, ENCODED)
-
-
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        roots = pa.array([merkle_root(x) for x in batch.column("addresses").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, roots], [*batch.schema.names, "root"])
+    return rows.mapInArrow(encode, f"{ROW}, chunks array<binary>")
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,38 +132,63 @@ def write_store(documents: DataFrame, folder: str, path: str, id_col: str = "doc
     spark = documents.sparkSession
     raw = staged(encoded_chunks(documents, path, id_col, text_col, end_id, kind), "store-encoded")
     flat = raw.select(F.explode(F.arrays_zip("addresses", "chunks")).alias("x")).select("x.addresses", "x.chunks")
+    # a hot chunk gives one row a task: the others of a task are counted before the shuffle
     unique = flat.groupBy(F.col("addresses").alias("address")).agg(F.first("chunks", ignorenulls=True).alias("ids"), F.count("*").alias("uses"))
     unique.write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
-    kept = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, root binary"
-    rooted = raw.select("doc_id", "n_tokens", "addresses", "sizes").mapInArrow(_roots, kept)
-    parts = max(1, min(rooted.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = rooted.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    placed = staged(ranged.mapInArrow(_positions, f"{kept}, local long").withColumn("part", F.spark_partition_id()), "store-placed")
+    rows = raw.select("doc_id", "n_tokens", "addresses", "sizes", "root")
+    n_parts = max(1, min(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = rows.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
+    placed = staged(ranged.mapInArrow(_positions, f"{ROW}, local long").withColumn("part", F.spark_partition_id()), "store-placed")
     # one row a part, and their number is that of the partitions, whatever the number of documents
     totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_documents"))
-    base = totals.withColumn("first", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    recipes = placed.join(F.broadcast(base.select("part", "first")), "part").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", F.size("addresses").alias("n_chunks"), "addresses", "sizes", "root", "part")
+    in_order = Window.orderBy("part")
+    before = F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    base = staged(totals.select((F.row_number().over(in_order) - 1).alias("part"), F.col("part").alias("partition"), before.alias("first"), "n_documents", "n_tokens"), "store-parts")
+    numbered = placed.withColumnRenamed("part", "partition").join(F.broadcast(base.select("part", "partition", "first")), "partition")
+    recipes = numbered.select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", F.size("addresses").alias("n_chunks"), "addresses", "sizes", "root", "part")
     recipes.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/recipes")
-    roots = placed.select("part", "local", "root").repartition("part").sortWithinPartitions("part", "local").mapInArrow(_part_roots, "part int, root binary")
-    base.join(roots, "part").write.parquet(f"{folder}/manifest")
+    manifest = base.select("part", "first", "n_documents", "n_tokens").join(_part_roots(recipes.select("part", "doc_id", "start", "n_tokens", "root")).select("part", "root"), "part")
+    manifest.select("part", "first", "n_documents", "n_tokens", "root").write.parquet(f"{folder}/manifest")
+    _head(spark.read.schema(PART).parquet(f"{folder}/manifest")).write.parquet(f"{folder}/head")
+
 
+def _rows_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, first, n_documents, n_tokens, root of each part, whose rows come in order: 16 bytes a document are held, for one part at a time."""
+    part, first, tokens, leaves = None, 0, 0, []
+
+    def out() -> pa.RecordBatch:
+        names = ["part", "first", "n_documents", "n_tokens", "root"]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([len(leaves)]), pa.array([tokens]), pa.array([merkle_root(leaves)], pa.binary())], names)
 
-def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Root of each part from its documents' roots, in order: 16 bytes a document are held, for one part at a time."""
-    part, leaves = None, []
-    out = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([merkle_root(leaves)], pa.binary())], ["part", "root"])
     for batch in batches:
-        for p, root in zip(batch.column("part").to_pylist(), batch.column("root").to_pylist(), strict=True):
+        for p, doc, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "start", "n_tokens", "root")), strict=True):
             if p != part and leaves:
                 yield out()
                 leaves = []
-            part = p
-            leaves.append(root)
+            if not leaves:
+                part, first, tokens = p, start, 0
+            if start != first + tokens:
+                raise ValueError(f"part {p}: the document at {start} does not follow the one before it")
+            tokens += n
+            leaves.append(struct.pack("<?qqq", doc is None, doc or 0, start, n) + root)
     if leaves:
         yield out()
 
 
+def _part_roots(rows: DataFrame) -> DataFrame:
+    """One row for each part of rows (part, doc_id, start, n_tokens, root), recomputed from them."""
+    return rows.repartition("part").sortWithinPartitions("part", "start").mapInArrow(_rows_root, PART)
+
+
+def _head(manifest: DataFrame) -> DataFrame:
+    """The store's one row, of a manifest with one row a part; these are few, so the driver reads them."""
+    rows = sorted(manifest.collect(), key=lambda r: r["part"])
+    leaves = [struct.pack("<qqqq", r["part"], r["first"], r["n_documents"], r["n_tokens"]) + bytes(r["root"]) for r in rows]
+    total = [(len(rows), sum(r["n_documents"] for r in rows), sum(r["n_tokens"] for r in rows), merkle_root(leaves))]
+    return manifest.sparkSession.createDataFrame(total, HEAD)
+
+
 # ---- reading
 
 
@@ -194,11 +213,14 @@ def _operators() -> np.ndarray:
     return np.array(ops, np.uint64)
 
 
+@cache
+def _shift_tables() -> np.ndarray:
+    return _operators()
+
+
 def shifted_crc(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     """CRC-32 of bytes with crc, moved before `zeros` more bytes: crc(a + b) = shifted(crc(a), len(b)) ^ crc(b)."""
-    ops = _WORKER.setdefault("crc", None)
-    if ops is None:
-        ops = _WORKER["crc"] = _operators()
+    ops = _shift_tables()
     out = crc.astype(np.uint64)
     k = 0
     while len(zeros) and zeros.max() >> k:
@@ -225,10 +247,11 @@ def _checked_chunks(kind: str):
 
 def _checked_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, root, n, sizes in zip(*(batch.column(c).to_pylist() for c in ("addresses", "root", "n_tokens", "sizes")), strict=True):
+        all_sizes = batch.column("sizes").to_pylist()
+        for key, root, n, sizes in zip(*(batch.column(c).to_pylist() for c in ("addresses", "root", "n_tokens")), all_sizes, strict=True):
             if merkle_root(key) != root or sum(sizes) != n:
                 raise ValueError("a recipe does not match its root")
-        after = [(sum(x) - np.cumsum(x)).tolist() for x in batch.column("sizes").to_pylist()]
+        after = [(sum(x) - np.cumsum(x)).tolist() for x in all_sizes]
         names = ["doc_id", "start", "n_tokens", "n_chunks", "addresses", "sizes"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(after, pa.list_(pa.int64()))], [*names, "after"])
 
@@ -236,33 +259,54 @@ def _checked_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _crc_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms = shifted_crc(batch.column("crc").to_numpy(), 4 * batch.column("after").to_numpy())
-        yield pa.RecordBatch.from_arrays([batch.column("start"), batch.column("doc_id"), batch.column("n_tokens"), batch.column("n_chunks"), pa.array(terms.astype(np.int64))], ["start", "doc_id", "n_tokens", "n_chunks", "term"])
+        names = ["start", "doc_id", "n_tokens"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(terms.astype(np.int64))], [*names, "term"])
+
+
+def verify(spark: SparkSession, folder: str) -> None:
+    """Raises ValueError unless recipes, manifest and head agree: recipes give each part's row again, these the head."""
+    manifest = spark.read.schema(PART).parquet(f"{folder}/manifest")
+    heads = spark.read.schema(HEAD).parquet(f"{folder}/head").collect()
+    if len(heads) != 1 or tuple(heads[0]) != tuple(_head(manifest).first()):
+        raise ValueError("the manifest does not match the head")
+    recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes")
+    columns = PART.replace(" int", "").replace(" long", "").replace(" binary", "").split(", ")
+    found = _part_roots(recipes.select("part", "doc_id", "start", "n_tokens", "root"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in columns]
+    bad = found.alias("x").join(manifest.alias("y"), F.expr("x.part = y.part"), "full").filter(~F.expr("true").eqNullSafe(same[0] & same[1] & same[2] & same[3] & same[4]))
+    if wrong := bad.select(F.coalesce("x.part", "y.part").alias("part")).first():
+        raise ValueError(f"the recipes of part {wrong['part']} do not match the manifest")
 
 
 def references(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each chunk of each document, with the ids after it; recipes are checked against their roots."""
     recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes")  # an empty store has no file to tell it
     checked = recipes.select("doc_id", "start", "n_tokens", "n_chunks", "addresses", "sizes", "root").mapInArrow(_checked_recipes, "doc_id long, start long, n_tokens long, n_chunks int, addresses array<binary>, sizes array<int>, after array<long>")
-    flat = checked.select("doc_id", "start", "n_tokens", "n_chunks", F.posexplode(F.arrays_zip("addresses", "sizes", "after")).alias("nth", "x"))
-    return flat.select("doc_id", "start", "n_tokens", "n_chunks", "nth", F.col("x.addresses").alias("address"), F.col("x.sizes").alias("size"), F.col("x.after").alias("after"))
+    flat = checked.select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("addresses", "sizes", "after")).alias("nth", "x"))
+    return flat.select("doc_id", "start", "n_tokens", "nth", F.col("x.addresses").alias("address"), F.col("x.sizes").alias("size"), F.col("x.after").alias("after"))
+
+
+def present(column: str, kind: str):
+    """The column, or an error where a recipe's chunk was not found."""
+    return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit("absent chunk "), F.hex("address"))).cast(kind))
 
 
 def read_digests(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, without moving its ids.
 
     Each stored chunk is read, checked and reduced to its CRC-32, which is joined to the recipes and combined by length
-    shifts. A document whose chunks are not all found fails the job.
+    shifts. An absent chunk, recipe or part fails the read.
     """
+    verify(spark, folder)
     crcs = spark.read.parquet(f"{folder}/chunks").select("address", "ids").mapInArrow(_checked_chunks(kind), "address binary, crc long")
-    found = references(spark, folder).join(crcs, "address").select("start", "doc_id", "n_tokens", "n_chunks", "crc", "after")
-    terms = found.mapInArrow(_crc_terms, "start long, doc_id long, n_tokens long, n_chunks int, term long")
-    whole = terms.groupBy("start", "doc_id", "n_tokens", "n_chunks").agg(F.bit_xor("term").alias("ids_crc32"), F.count("*").alias("n"))
-    ok = F.when(F.col("n") == F.col("n_chunks"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a chunk is absent")).cast("long"))
-    return whole.select("doc_id", "start", "n_tokens", ok.alias("ids_crc32"))
+    found = references(spark, folder).join(crcs, "address", "left").select("start", "doc_id", "n_tokens", present("crc", "long").alias("crc"), "after")
+    terms = found.mapInArrow(_crc_terms, "start long, doc_id long, n_tokens long, term long")
+    return terms.groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("term").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_documents(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFrame:
-    """doc_id, start, ids (array of int) of every document, put together from its chunks; chunks are checked first."""
+    """doc_id, start, ids (array of int) of every document, put together from its chunks; everything is checked as by read_digests."""
+    verify(spark, folder)
     chunks = spark.read.parquet(f"{folder}/chunks").select("address", "ids")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +318,10 @@ def read_documents(spark: SparkSession, folder: str, kind: str = "<u2") -> DataF
                 ids.append(np.frombuffer(data, kind).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(ids, pa.list_(pa.int32()))], ["address", "ids"])
 
-    found = references(spark, folder).join(chunks.mapInArrow(unpack, "address binary, ids array<int>"), "address")
-    lists = found.groupBy("start", "doc_id", "n_tokens", "n_chunks").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("x"))
-    ids = F.flatten(F.col("x.ids"))
-    return lists.select("doc_id", "start", F.when(F.size(ids) == F.col("n_tokens"), ids).otherwise(F.raise_error(F.lit("a chunk is absent")).cast("array<int>")).alias("ids"))
+    found = references(spark, folder).join(chunks.mapInArrow(unpack, "address binary, ids array<int>"), "address", "left")
+    found = found.withColumn("ids", present("ids", "array<int>"))
+    lists = found.groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("x"))
+    return lists.select("doc_id", "start", F.flatten(F.col("x.ids")).alias("ids"))
 
 
 def op8_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
