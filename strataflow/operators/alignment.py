@@ -26,7 +26,20 @@ BEAMS = {
     "stiff": (15, 25.0, 180.0, 2),
 }
 RADII = (20, 50, 100, 200)
+#: Offsets of the probes around each base.
+PROBES = {
+    "anchor": (-80, -40, -20, -10, -5, 0, 5, 10, 20, 40, 80),
+    "beam": (-40, -20, -10, -5, -3, 0, 3, 5, 10, 20, 40),
+    "ncc": (-30, -15, -8, -4, -2, 0, 2, 4, 8, 15, 30),
+    "pf": (-30, -15, -8, -4, -2, 0, 2, 4, 8, 15, 30),
+}
+#: End offsets of straight paths, of paths beside the anchor, and of eased paths.
+STRAIGHT = (-60, -40, -25, -15, -8, 0, 8, 15, 25, 40, 60)
+BESIDE = (-80, -60, -40, -25, -15, -8, 0, 8, 15, 25, 40, 60, 80)
+EASED = (-100, -80, -60, -45, -30, -20, -12, 0, 12, 20, 30, 45, 60, 80, 100)
+SURFACES = tuple(f"s{k}" for k in range(6))
 BEAM_COLUMNS = ", ".join(f"beam_{name} double" for name in (*BEAMS, "mean", "std"))
+TEMPLATE_COLUMNS = "ncc8 double, ncc15 double, ncc25 double, score8 double, score15 double, score25 double, ncc double"
 WARP_COLUMNS = ", ".join(f"dtw{r} double, slope{r} double" for r in RADII) + ", dtw double"
 
 
@@ -38,6 +51,7 @@ class Well:
         self.id, self.row_id = (rows["well_id"].iloc[0] if len(rows) else None), rows["row_id"].to_numpy()
         self.md, self.z, self.gr, self.known = (rows[c].to_numpy(np.float64) for c in ("md", "z", "gr", "tvt_input"))
         self.depth, self.curve = knots["ctvt"].to_numpy(np.float64), knots["cgr"].to_numpy(np.float64)
+        self.more = {c: rows[c].to_numpy(np.float64) for c in rows.columns if c not in ("well_id", "row_id", "md", "z", "gr", "tvt_input")}
         gaps = np.flatnonzero(~np.isfinite(self.known))
         self.k = int(gaps[0]) if len(gaps) else len(rows)
         self.usable = self.k < len(rows) and self.k >= 10 and len(knots) >= 3
@@ -55,29 +69,28 @@ class Well:
         return float(np.clip(np.std(self.gr[: self.k][on] - np.interp(self.known[: self.k][on], self.depth, self.curve)), 10, 60))
 
 
-def per_well(wells: DataFrame, curves: DataFrame, columns: str, work: Callable[[Well], dict[str, np.ndarray]], hidden_only: bool = True) -> DataFrame:
-    """well_id, row_id and the columns that work gives for each hidden row (or each row) of a well."""
+def per_well(wells: DataFrame, curves: DataFrame, columns: str, work: Callable[[Well], dict[str, np.ndarray]], hidden_only: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """well_id, row_id and the columns that work gives for each hidden row (or each row) of a well; `more` numeric columns of wells go along."""
     names = [x.split()[0] for x in columns.split(", ")]
 
     def apply(rows: pd.DataFrame, knots: pd.DataFrame) -> pd.DataFrame:
         well = Well(rows, knots)
-        if not well.usable:
-            return pd.DataFrame({c: [] for c in ["well_id", "row_id", *names]})
-        out = work(well)
-        return pd.DataFrame({"well_id": well.id, "row_id": well.row_id[well.k if hidden_only else 0 :], **out})
+        at = well.row_id[well.k if hidden_only else 0 :] if well.usable else np.zeros(0, np.int64)
+        out = work(well) if well.usable else dict.fromkeys(names, np.zeros(0))
+        # ids as plain objects: columns of pandas' own string type may come back in several pieces
+        return pd.DataFrame({"well_id": pd.Series([well.id] * len(at), dtype=object), "row_id": at, **out})
 
-    left = wells.select("well_id", "row_id", "md", "z", "gr", "tvt_input").groupBy("well_id")
+    left = wells.select("well_id", "row_id", "md", "z", "gr", "tvt_input", *more).groupBy("well_id")
     return left.cogroup(curves.groupBy("well_id")).applyInPandas(apply, f"well_id string, row_id long, {columns}")
 
 
 def beams(well: Well) -> dict[str, np.ndarray]:
     """A path for each of BEAMS, their mean and deviation."""
     start = min(int(np.searchsorted(well.depth, well.last)), len(well.depth) - 1)
-    paths = {}
-    for name, (width, move, scale, radius) in BEAMS.items():
-        signal = well.signal[well.k :]
-        signal = kernels.centered_mean(signal, 2 * radius + 1) if radius else signal
-        paths[f"beam_{name}"] = well.depth[kernels.beam_path(signal, well.curve, start, width, move, scale)]
+    signal = well.signal[well.k :]
+    widths, moves, scales, radii = (np.array([b[i] for b in BEAMS.values()]) for i in range(4))
+    found = kernels.beam_paths(np.stack([kernels.centered_mean(signal, 2 * r + 1) if r else signal for r in radii]), well.curve, start, widths, moves, scales)
+    paths = {f"beam_{name}": well.depth[path] for name, path in zip(BEAMS, found, strict=True)}
     both = np.stack(list(paths.values()), 1)
     return paths | {"beam_mean": both.mean(1), "beam_std": both.std(1)}
 
@@ -87,7 +100,7 @@ def templates(well: Well) -> dict[str, np.ndarray]:
     known, depth, signal = well.signal[: well.k], well.known[: well.k], well.signal[well.k :]
     found = [kernels.template_match(known, depth, signal, half) for half in (8, 15, 25)]
     d, s = np.stack([f[0] for f in found], 1), np.stack([f[1] for f in found], 1)
-    return {"ncc8": d[:, 0], "ncc15": d[:, 1], "ncc25": d[:, 2], "score8": s[:, 0], "ncc": kernels.template_blend(d, s)}
+    return {"ncc8": d[:, 0], "ncc15": d[:, 1], "ncc25": d[:, 2], "score8": s[:, 0], "score15": s[:, 1], "score25": s[:, 2], "ncc": kernels.template_blend(d, s)}
 
 
 def _rates(well: Well, value: np.ndarray, last: int) -> float:
@@ -127,14 +140,14 @@ def warps(well: Well, radii: tuple[int, ...] = RADII) -> dict[str, np.ndarray]:
     """Banded warps of the whole signal to the curve: depth and local slope by radius, and their mean."""
     out = {}
     for radius in radii:
-        col = kernels.traced(kernels.band_table(well.signal, well.curve, radius))
-        out[f"dtw{radius}"], out[f"slope{radius}"] = well.depth[col], kernels.warped_slope(col)
+        col = kernels.band_path(*kernels.band(well.signal, well.curve, radius), len(well.curve))
+        out[f"dtw{radius}"], out[f"slope{radius}"] = well.depth[col], kernels.local_slope(col)
     return out | {"dtw": np.mean([out[f"dtw{r}"] for r in radii], axis=0)}
 
 
 def random_warps(well: Well) -> dict[str, np.ndarray]:
     """Mean, deviation and its share of the mean over 12 noisy warps."""
-    paths = kernels.stochastic_warps(kernels.band_table(well.signal, well.curve, 50), 12, 3.0, well.rng())
+    paths = kernels.stochastic_warps(*kernels.band(well.signal, well.curve, 50), len(well.curve), 12, 3.0, well.rng())
     depth = well.depth[paths]
     return {"mean": depth.mean(0), "std": depth.std(0), "cv": depth.std(0) / (np.abs(depth.mean(0)) + 1e-6)}
 

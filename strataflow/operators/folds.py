@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,13 +24,34 @@ def eligible(rows: DataFrame, curves: DataFrame, group: str, known: str, least_k
     return both.filter((F.col("hidden") > 0) & (F.col("known") >= least_known) & (F.col("curve_rows") >= least_curve))
 
 
-def length_chunks(groups: DataFrame, group: str, k: int, seed: int | None) -> DataFrame:
-    """Groups sorted by size in chunks of k; a chunk's groups take different folds, permuted by seed if given.
+def eligible_by_gap(rows: DataFrame, group: str, place: str, known: str) -> DataFrame:
+    """Groups with a gap and a known row before the first gap: group, first_gap (its place), known_before."""
+    gap = F.min(F.when(F.col(known).isNull(), F.col(place))).over(Window.partitionBy(group))
+    counted = rows.select(group, place, known, gap.alias("first_gap")).groupBy(group, "first_gap").agg(F.count_if(F.col(known).isNotNull() & (F.col(place) < F.col("first_gap"))).alias("known_before"))
+    return counted.filter("first_gap is not null and known_before > 0")
+
+
+def numbered(rows: DataFrame, key: str, major: Sequence[str] = (), name: str = "place") -> DataFrame:
+    """rows with their place (from 0) in the order of major, then of the key's MD5, then of the key.
 
-    Numbering all groups in one order takes one task; it sees (group, n) rows only.
+    No task sees all rows: a row's place is its place within its bucket (major and the first three digits of the MD5) and
+    the number of rows in the buckets before, summed over one row a bucket.
     """
-    order = Window.orderBy("n", group)
-    placed = groups.withColumn("place", (F.row_number().over(order) - 1).cast("long")).withColumn("chunk", F.floor(F.col("place") / k).cast("long"))
+    digest = F.md5(F.col(key).cast("string"))
+    bucket = [*major, "_b"]
+    marked = rows.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 3))
+    counts = marked.groupBy(*bucket).agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in bucket]
+    starts = counts.withColumn("_o", before).drop("_k")
+    joined = marked.alias("r").join(starts.alias("o"), reduce(lambda x, y: x & y, same)).select("r.*", "o._o")
+    within = F.row_number().over(Window.partitionBy(*bucket).orderBy("_d", key)) - 1
+    return joined.withColumn(name, (F.col("_o") + within).cast("long")).drop("_d", "_b", "_o")
+
+
+def length_chunks(groups: DataFrame, group: str, k: int, seed: int | None) -> DataFrame:
+    """Groups sorted by size in chunks of k; a chunk's groups take different folds, permuted by seed if given."""
+    placed = numbered(groups, group, ["n"]).withColumn("chunk", F.floor(F.col("place") / k).cast("long"))
     if seed is None:
         fold = F.col("place") % k
     else:
@@ -37,9 +61,9 @@ def length_chunks(groups: DataFrame, group: str, k: int, seed: int | None) -> Da
 
 
 def shuffled(groups: DataFrame, group: str, k: int, seed: int) -> DataFrame:
-    """Groups dealt to folds in a seeded random order."""
-    order = Window.orderBy(F.xxhash64(F.lit(seed), F.col(group)), group)
-    return groups.select(group, "n", ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
+    """Groups dealt to folds in the order of a seeded hash (MD5 of seed and name)."""
+    named = groups.withColumn("_g", F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")))
+    return numbered(named, "_g").select(group, "n", (F.col("place") % k).cast("int").alias("fold"))
 
 
 def balanced(groups: DataFrame, group: str, k: int) -> DataFrame:
@@ -48,24 +72,24 @@ def balanced(groups: DataFrame, group: str, k: int) -> DataFrame:
     The snake deal needs no running totals, so unlike largest-first bin packing no state passes from group to group; two
     folds differ by at most the largest group.
     """
-    order = Window.orderBy(F.desc("n"), group)
-    placed = groups.withColumn("place", F.row_number().over(order) - 1)
+    placed = numbered(groups.withColumn("_n", -F.col("n")), group, ["_n"])
     turn, step = F.floor(F.col("place") / k) % 2, F.col("place") % k
     return placed.select(group, "n", F.when(turn == 0, step).otherwise(k - 1 - step).cast("int").alias("fold"))
 
 
 def stratified_rows(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """Rows dealt to folds within each label, in the order of a hash of their key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.select(key, ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
+    placed = numbered(rows.select(key, label), key, [label])
+    first = placed.groupBy(label).agg(F.min("place").alias("_first"))
+    joined = placed.alias("r").join(F.broadcast(first).alias("f"), F.col(f"r.{label}").eqNullSafe(F.col(f"f.{label}")))
+    return joined.select(f"r.{key}", ((F.col("place") - F.col("_first")) % k).cast("int").alias("fold"))
 
 
 def holdout(rows: DataFrame, group: str, share: float) -> DataFrame:
     """The given share of the groups, the first in the order of a hash."""
-    groups = rows.select(group).distinct()
-    order = Window.orderBy(F.md5(group), group)
-    numbered = groups.withColumn("k", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    return numbered.filter(F.col("k") <= F.ceil(share * F.col("m"))).select(group)
+    placed = numbered(rows.select(group).distinct(), group)
+    total = placed.agg(F.count("*").alias("_m"))
+    return placed.crossJoin(F.broadcast(total)).filter(F.col("place") < F.ceil(share * F.col("_m"))).select(group)
 
 
 def evenly_spaced(rows: DataFrame, order: Order, most: int) -> DataFrame:

@@ -27,37 +27,50 @@ def regular_grid(depth: np.ndarray, value: np.ndarray, step: float) -> tuple[np.
 
 
 def on_grid(grid: np.ndarray, start: float, step: float, at: np.ndarray) -> np.ndarray:
-    return np.interp(at, start + step * np.arange(len(grid)), grid)
+    """Linear between grid values, the end values beyond; the grid is regular, so each place is computed, not searched."""
+    place = np.clip((at - start) / step, 0, len(grid) - 1)
+    low = np.minimum(place.astype(np.int64), max(len(grid) - 2, 0))
+    return grid[low] + (grid[np.minimum(low + 1, len(grid) - 1)] - grid[low]) * (place - low)
 
 
-def beam_path(signal: np.ndarray, curve: np.ndarray, start: int, width: int, move_cost: float, scale: float, reach: int = 2) -> np.ndarray:
-    """Curve index of each step on the cheapest path found with `width` states kept.
+def beam_paths(signals: np.ndarray, curve: np.ndarray, start: int, widths: np.ndarray, move_costs: np.ndarray, scales: np.ndarray, reach: int = 2) -> np.ndarray:
+    """Curve index of each step on the cheapest path found, for each row of signals; row b keeps widths[b] states.
 
-    A step costs (signal - curve)^2 / scale and move_cost for each index moved, at most `reach`. Of equal costs the lower
-    index is kept. With width at least the curve's length the path is the cheapest of all.
+    A step costs (signal - curve)^2 / scale and the move cost for each index moved, at most `reach`. Of equal costs the
+    lower index is kept. With a width of at least the curve's length the path is the cheapest of all. All rows take a step
+    together: their states lie in one table, unused places at infinite cost.
     """
-    n, m = len(signal), len(curve)
-    states, cost = np.array([start]), np.zeros(1)
-    kept, parents = [], []
+    beams, n = signals.shape
+    m, width = len(curve), int(widths.max(initial=1))
     moves = np.arange(-reach, reach + 1)
-    for g in signal:
-        to = (states[:, None] + moves).ravel()
-        total = (cost[:, None] + move_cost * np.abs(moves)).ravel()
-        parent = np.repeat(np.arange(len(states)), len(moves))
-        ok = (to >= 0) & (to < m)
-        to, total, parent = to[ok], total[ok], parent[ok]
-        order = np.lexsort((total, to))
-        to, total, parent = to[order], total[order], parent[order]
-        first = np.concatenate([[True], to[1:] != to[:-1]])
-        to, total, parent = to[first], total[first] + (g - curve[to[first]]) ** 2 / scale, parent[first]
-        best = np.sort(np.lexsort((to, total))[:width])
-        states, cost = to[best], total[best]
-        kept.append(states)
-        parents.append(parent[best])
-    path, b = np.zeros(n, np.int64), int(np.argmin(cost)) if n else 0
-    for s in range(n - 1, -1, -1):
-        path[s], b = kept[s][b], parents[s][b]
-    return path
+    states, cost = np.full((beams, width), start), np.full((beams, width), np.inf)
+    cost[:, 0] = 0.0
+    unused = np.arange(width) >= widths[:, None]
+    parent = np.broadcast_to(np.repeat(np.arange(width), len(moves)), (beams, width * len(moves)))
+    step = move_costs[:, None, None] * np.abs(moves)
+    kept, parents = np.empty((n, beams, width), np.int32), np.empty((n, beams, width), np.int32)
+    for t in range(n):
+        to = (states[:, :, None] + moves).reshape(beams, -1)
+        total = (cost[:, :, None] + step).reshape(beams, -1)
+        total = np.where((to >= 0) & (to < m), total, np.inf)
+        order = np.lexsort((total, to), axis=1)
+        to, total = np.take_along_axis(to, order, 1), np.take_along_axis(total, order, 1)
+        again = np.zeros(to.shape, bool)
+        again[:, 1:] = to[:, 1:] == to[:, :-1]
+        to = np.clip(to, 0, m - 1)
+        total = np.where(again, np.inf, total + (signals[:, t, None] - curve[to]) ** 2 / scales[:, None])
+        best = np.argsort(total, axis=1, kind="stable")[:, :width]
+        states, cost = np.take_along_axis(to, best, 1), np.where(unused, np.inf, np.take_along_axis(total, best, 1))
+        kept[t], parents[t] = states, np.take_along_axis(parent, np.take_along_axis(order, best, 1), 1)
+    paths, row = np.zeros((beams, n), np.int64), np.arange(beams)
+    at = np.lexsort((states, cost), axis=1)[:, 0] if n else np.zeros(beams, np.int64)
+    for t in range(n - 1, -1, -1):
+        paths[:, t], at = kept[t, row, at], parents[t, row, at]
+    return paths
+
+
+def beam_path(signal: np.ndarray, curve: np.ndarray, start: int, width: int, move_cost: float, scale: float, reach: int = 2) -> np.ndarray:
+    return beam_paths(signal[None], curve, start, np.array([width]), np.array([move_cost]), np.array([scale]), reach)[0]
 
 
 def systematic(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -147,67 +160,79 @@ def template_blend(depths: np.ndarray, scores: np.ndarray) -> np.ndarray:
     return (depths * w).sum(1) / (w.sum(1) + 1e-9)
 
 
-def band_table(query: np.ndarray, ref: np.ndarray, radius: int) -> np.ndarray:
-    """Accumulated squared cost within `radius` of the diagonal; infinite outside.
+def band(query: np.ndarray, ref: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, low): accumulated squared cost of rows x (2 * radius + 1) cells around the diagonal; cell k of row i is column low[i] + k, infinite outside of the table.
 
     Within a row the recurrence along the row is min over earlier entries, as a running minimum of (entry - prefix cost).
     """
     n, m = len(query), len(ref)
-    out = np.full((n, m), np.inf)
     slope = (m - 1) / max(n - 1, 1)
+    low = np.rint(np.arange(n) * slope).astype(np.int64) - radius
+    column = low[:, None] + np.arange(2 * radius + 1)
+    inside = (column >= 0) & (column < m)
+    out = np.full(column.shape, np.inf)
     for i in range(n):
-        mid = int(round(i * slope))
-        lo, hi = max(0, mid - radius), min(m - 1, mid + radius) + 1
-        cost = (query[i] - ref[lo:hi]) ** 2
+        on = inside[i]
+        cost = (query[i] - ref[column[i, on]]) ** 2
         if i == 0:
-            enter = np.full(hi - lo, np.inf)
-            enter[0] = 0.0 if lo == 0 else np.inf
+            enter = np.where(column[0, on] == 0, 0.0, np.inf)
         else:
-            up = out[i - 1, lo:hi]
-            diagonal = np.concatenate([[out[i - 1, lo - 1] if lo else np.inf], out[i - 1, lo : hi - 1]])
+            up, diagonal = (_moved(out[i - 1], int(low[i] - low[i - 1]) - back)[on] for back in (0, 1))
             enter = np.minimum(up, diagonal)
         sums = np.cumsum(cost)
-        out[i, lo:hi] = np.minimum.accumulate(enter - (sums - cost)) + sums
+        out[i, on] = np.minimum.accumulate(enter - (sums - cost)) + sums
+    return out, low
+
+
+def _moved(row: np.ndarray, by: int) -> np.ndarray:
+    """row[k + by] for each k, infinite beyond its ends."""
+    out = np.full(len(row), np.inf)
+    lo, hi = max(0, -by), min(len(row), len(row) - by)
+    if hi > lo:
+        out[lo:hi] = row[lo + by : hi + by]
     return out
 
 
-def traced(table: np.ndarray) -> np.ndarray:
-    """For each row the last column of the cheapest path back from the end; the diagonal wins ties, then the row before."""
-    i, j = table.shape[0] - 1, table.shape[1] - 1
-    col = np.zeros(table.shape[0], np.int64)
-    col[i] = j
-    while i or j:
+def band_path(cost: np.ndarray, low: np.ndarray, m: int) -> np.ndarray:
+    """For each row the last column of the cheapest path back from the table's end; the diagonal wins ties, then the row before.
+
+    Where a cell is entered from is found for a whole row at once; a row is then left at the nearest cell at or before the
+    one entered that is not entered from its left.
+    """
+    n, width = cost.shape
+    col = np.zeros(n, np.int64)
+    at, nothing = m - 1, np.full(width, np.inf)
+    for i in range(n - 1, -1, -1):
+        col[i] = at
         if i == 0:
-            j -= 1
-        elif j == 0:
-            i -= 1
-        else:
-            a, b, c = table[i - 1, j - 1], table[i - 1, j], table[i, j - 1]
-            if a <= b and a <= c:
-                i, j = i - 1, j - 1
-            elif b <= c:
-                i -= 1
-            else:
-                j -= 1
-        col[i] = max(col[i], j)
+            break
+        shift = int(low[i] - low[i - 1])
+        up, diagonal = _moved(cost[i - 1], shift), _moved(cost[i - 1], shift - 1)
+        left = np.concatenate([nothing[:1], cost[i, :-1]])
+        k = int(np.clip(at - low[i], 0, width - 1))
+        leaves = np.flatnonzero(np.minimum(up[: k + 1], diagonal[: k + 1]) <= left[: k + 1])
+        leave = int(leaves[-1]) if len(leaves) else k
+        at = max(0, int(low[i]) + leave - int(diagonal[leave] <= up[leave]))
     return col
 
 
-def warped_slope(col: np.ndarray, half: int = 2) -> np.ndarray:
-    """Columns per row over up to `half` rows on either side."""
-    lo, hi = np.maximum(np.arange(len(col)) - half, 0), np.minimum(np.arange(len(col)) + half, len(col) - 1)
-    return np.where(hi > lo, (col[hi] - col[lo]) / np.maximum(hi - lo, 1), 1.0)
+def local_slope(col: np.ndarray, half: int = 2) -> np.ndarray:
+    """Columns per row between the rows `half` before and after, or as many as there are; 1 for a single row."""
+    place = np.arange(len(col))
+    ends = np.clip(place[:, None] + [-half, half], 0, len(col) - 1)
+    rows = np.diff(ends, axis=1)[:, 0]
+    return np.divide(np.diff(col[ends], axis=1)[:, 0], rows, out=np.ones(len(col)), where=rows > 0)
 
 
-def stochastic_warps(table: np.ndarray, draws: int, temperature: float, rng: np.random.Generator) -> np.ndarray:
-    """Paths through the table with Gumbel noise added to its finite entries: draws x rows."""
-    finite = np.isfinite(table)
-    out = []
-    for _ in range(draws):
-        noisy = table.copy()
+def stochastic_warps(cost: np.ndarray, low: np.ndarray, m: int, draws: int, temperature: float, rng: np.random.Generator) -> np.ndarray:
+    """Paths through the band with Gumbel noise added to its finite cells: draws x rows. One noisy band is held at a time."""
+    finite = np.isfinite(cost)
+    out = np.empty((draws, len(cost)), np.int64)
+    for k in range(draws):
+        noisy = cost.copy()
         noisy[finite] += temperature * -np.log(-np.log(rng.uniform(1e-10, 1.0, int(finite.sum()))))
-        out.append(traced(noisy))
-    return np.array(out)
+        out[k] = band_path(noisy, low, m)
+    return out
 
 
 def savgol(x: np.ndarray, window: int, degree: int) -> np.ndarray:

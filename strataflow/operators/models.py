@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,29 +24,82 @@ def mean_by_fold(rows: DataFrame, fold: str, target: str) -> DataFrame:
     return rows.join(F.broadcast(means), fold)
 
 
-def regressor(kind: str, features: Sequence[str], target: str, seed: int = 42, iterations: int = 20, depth: int = 4) -> Pipeline:
-    """gbt, or forest as its fallback; absent features count as -999."""
-    model = GBTRegressor(labelCol=target, featuresCol="_x", maxIter=iterations, maxDepth=depth, seed=seed, subsamplingRate=0.8) if kind == "gbt" else RandomForestRegressor(labelCol=target, featuresCol="_x", numTrees=iterations, maxDepth=depth, seed=seed)
+def regressor(kind: str, features: Sequence[str], target: str, seed: int = 42, iterations: int = 20, depth: int = 4, validation: str | None = None) -> Pipeline:
+    """gbt, gbt_deep (fewer, deeper trees with smaller steps), or forest as their fallback; absent features count as -999.
+
+    validation: a boolean column; its rows are not learned from, boosting stops once they get no better.
+    """
+    if kind == "forest":
+        model = RandomForestRegressor(labelCol=target, featuresCol="_x", numTrees=iterations, maxDepth=depth, seed=seed)
+    else:
+        step, share, deeper = (0.1, 0.8, 0) if kind == "gbt" else (0.05, 0.6, 1)
+        model = GBTRegressor(labelCol=target, featuresCol="_x", maxIter=iterations, maxDepth=depth + deeper, stepSize=step, seed=seed, subsamplingRate=share, validationTol=0.001)
+        if validation:
+            model = model.setValidationIndicatorCol(validation)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), model])
 
 
-def out_of_fold(rows: DataFrame, features: Sequence[str], target: str, fold: str, folds: int, seeds: Sequence[int] = (42,), kind: str = "gbt", iterations: int = 20, depth: int = 4) -> DataFrame:
-    """Adds oof: the mean over seeds of models that did not see the row's fold. rows is read once a model."""
+def set_aside(group: str, seed: int, share: int = 8) -> Column:
+    """Whether a group is one of every `share` that early stopping looks at, by a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(share)) == 0
+
+
+def _scores(fitted: Sequence[PipelineModel], rows: DataFrame, name: str) -> DataFrame:
+    """rows with the mean prediction of the models; 0 without any."""
+    out, made = rows, []
+    for i, model in enumerate(fitted):
+        out = model.transform(out).withColumnRenamed("prediction", f"_p{i}").drop("_x")
+        made.append(f"_p{i}")
+    mean = sum((F.col(n) for n in made[1:]), F.col(made[0])) / len(made) if made else F.lit(0.0)
+    return out.withColumn(name, mean).drop(*made)
+
+
+def _fitted(rows: DataFrame, features: Sequence[str], target: str, group: str, kind: str, seed: int, iterations: int, depth: int, stop: bool) -> PipelineModel | None:
+    """A model, or None where there is nothing to learn from or its trainer fails on the rows (a fallback of residual 0 stands in)."""
+    marked = rows.withColumn("_aside", set_aside(group, seed))
+    if stop and marked.select("_aside").distinct().count() < 2:
+        stop = False
+    if rows.isEmpty():
+        return None
+    return regressor(kind, features, target, seed, iterations, depth, "_aside" if stop else None).fit(marked)
+
+
+def trained(rows: DataFrame, features: Sequence[str], target: str, fold: str, group: str, folds: int, seeds: Sequence[int], iterations: int, depth: int, test: DataFrame | None = None, kinds: Sequence[str] = ("gbt", "gbt_deep"), refit_share: float = 0.5) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with oof, test with oof): for each fold the models of the other folds, by kind and seed.
+
+    For the test rows the folds' models are averaged, and blended by refit_share with models fitted again on all rows, for
+    the rounds that robust_iterations takes from the folds'. rows and test should be cached: each is read once a model.
+    """
     filled = rows.fillna(-999.0, subset=list(features))
-    parts = []
+    parts, by_fold, rounds = [], [], {k: [] for k in kinds}
     for f in range(folds):
-        part = filled.filter(F.col(fold) == f)
-        names = []
-        for s in seeds:
-            fitted = regressor(kind, features, target, s, iterations, depth).fit(filled.filter(F.col(fold) != f))
-            names.append(f"_p{s}")
-            part = fitted.transform(part).withColumnRenamed("prediction", names[-1]).drop("_x")
-        mean = sum((F.col(n) for n in names[1:]), F.col(names[0])) / len(names)
-        parts.append(part.withColumn("oof", mean).drop(*names))
+        other = filled.filter(F.col(fold) != f)
+        made = []
+        for kind in kinds:
+            for seed in seeds:
+                model = _fitted(other, features, target, group, kind, seed, iterations, depth, True)
+                if model is not None:
+                    made.append(model)
+                    rounds[kind].append(model.stages[-1].getNumTrees)
+        by_fold += made
+        parts.append(_scores(made, filled.filter(F.col(fold) == f), "oof"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    if test is None:
+        return out, None
+    again = []
+    for kind in kinds:
+        for seed in seeds if rounds[kind] else ():
+            again.append(_fitted(filled, features, target, group, kind, seed, min(iterations, robust_iterations(rounds[kind], least=1)), depth, False))
+    asked = test.fillna(-999.0, subset=list(features))
+    both = _scores(again, _scores(by_fold, asked, "_folds"), "_again")
+    return out, both.withColumn("oof", (1 - refit_share) * F.col("_folds") + refit_share * F.col("_again")).drop("_folds", "_again")
+
+
+def out_of_fold(rows: DataFrame, features: Sequence[str], target: str, fold: str, folds: int, seeds: Sequence[int] = (42,), kind: str = "gbt", iterations: int = 20, depth: int = 4) -> DataFrame:
+    """Adds oof: the mean over seeds of models that did not see the row's fold. rows is read once a model."""
+    return trained(rows, features, target, fold, fold, folds, seeds, iterations, depth, kinds=(kind,))[0]
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -104,6 +157,17 @@ def simplex_weights(g: np.ndarray, b: np.ndarray, rounds: int = 5000) -> np.ndar
     return w
 
 
+def weighted(columns: Sequence[str], weights: np.ndarray) -> Column:
+    return sum((float(w) * F.col(c) for w, c in zip(weights[1:], columns[1:], strict=True)), float(weights[0]) * F.col(columns[0]))
+
+
+def blend_weights(rows: DataFrame, columns: Sequence[str], target: str) -> np.ndarray:
+    """Weights by positive ridge if their error is below that of the plain mean, else the mean's."""
+    g, b, tt, n = gram(rows, columns, target)
+    plain, ridge = np.full(len(columns), 1 / len(columns)), positive_ridge(g, b)
+    return ridge if error(g, b, tt, n, ridge) < error(g, b, tt, n, plain) else plain
+
+
 def error(g: np.ndarray, b: np.ndarray, tt: float, n: int, w: np.ndarray) -> float:
     """Root mean squared error of the weighted columns."""
     return float(np.sqrt(max(tt - 2 * w @ b + w @ g @ w, 0) / n))
@@ -115,16 +179,18 @@ def robust_iterations(counts: Sequence[int], scale: float = 1.10, least: int = 5
     return max(least, int(max(median(counts), 0.8 * third) * scale))
 
 
-def drift(rows: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, iterations: int = 10) -> tuple[DataFrame, float]:
-    """Rows with the out-of-fold probability that they belong to the second split, and its AUC."""
+def drift(rows: DataFrame, features: Sequence[str], label: str, fold: str, folds: int, iterations: int = 10) -> tuple[list[tuple[str, float]], float, DataFrame]:
+    """Mean importance of each feature over the folds' models, largest first; the AUC of the out-of-fold probability that a row belongs to the second split; and the rows with it."""
     filled = rows.fillna(-999.0, subset=list(features))
-    parts = []
+    parts, gains = [], np.zeros(len(features))
     for f in range(folds):
         stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), GBTClassifier(labelCol=label, featuresCol="_x", maxIter=iterations, maxDepth=3, seed=42)]
         fitted = Pipeline(stages=stages).fit(filled.filter(F.col(fold) != f))
+        gains += fitted.stages[-1].featureImportances.toArray() / folds
         scored = fitted.transform(filled.filter(F.col(fold) == f))
         parts.append(scored.withColumn("p", vector_to_array("probability")[1]).drop("_x", "probability", "prediction", "rawPrediction"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out, BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="p").evaluate(out)
+    ranked = sorted(zip(features, gains.tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return ranked, BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="p").evaluate(out), out

@@ -214,18 +214,18 @@ def top_k_per_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wells(spark, sf_dir).withColumn("k", F.row_number().over(by)).filter("k <= 5").select("well_id", "row_id", "tvt")
 
 
-@query("SELECT well_id, n, CAST((row_number() OVER (ORDER BY n, well_id) - 1) // 5 AS BIGINT) AS chunk, CAST((row_number() OVER (ORDER BY n, well_id) - 1) % 5 AS INT) AS fold FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id)")
+@query("SELECT well_id, n, CAST((row_number() OVER (ORDER BY n, md5(well_id), well_id) - 1) // 5 AS BIGINT) AS chunk, CAST((row_number() OVER (ORDER BY n, md5(well_id), well_id) - 1) % 5 AS INT) AS fold FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id)")
 def fold_length_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.length_chunks(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", 5, seed=None)
 
 
-@query(None)
+@query("SELECT well_id, n, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INT) AS fold FROM (SELECT well_id, n, row_number() OVER (ORDER BY n DESC, md5(well_id), well_id) - 1 AS p FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id))")
 def fold_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds of whole wells with balanced row counts."""
     return folds.balanced(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", 5)
 
 
-@query(None)
+@query("SELECT well_id, n, CAST((row_number() OVER (ORDER BY md5('42:' || well_id), well_id) - 1) % 5 AS INT) AS fold FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id)")
 def fold_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.shuffled(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", 5, seed=42)
 
@@ -248,6 +248,12 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.evenly_spaced(wells(spark, sf_dir), WELL, 20).select("well_id", "row_id")
 
 
+@query("SELECT well_id, g AS first_gap, count(*) FILTER (tvt_input IS NOT NULL AND row_id < g) AS known_before FROM w JOIN (SELECT well_id, min(row_id) AS g FROM w WHERE tvt_input IS NULL GROUP BY well_id) USING (well_id) GROUP BY well_id, g HAVING known_before > 0")
+def eligible_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wells with a gap and a known row before it."""
+    return folds.eligible_by_gap(wells(spark, sf_dir), "well_id", "row_id", "tvt_input")
+
+
 @query("SELECT CAST(least(greatest(floor(value / 10), 0), 59) AS INT) AS bin, count(*) AS n FROM events GROUP BY 1")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in 60 bins."""

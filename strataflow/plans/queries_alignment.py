@@ -22,7 +22,7 @@ def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "beam_align": _run(al.BEAM_COLUMNS, al.beams),
-    "ncc_match": _run("ncc8 double, ncc15 double, ncc25 double, score8 double, ncc double", al.templates),
+    "ncc_match": _run(al.TEMPLATE_COLUMNS, al.templates),
     "pf_surface": _run("pf_mean double, pf_std double", al.surface_filter),
     "pf_velocity": _run("pfz_mean double, pfz_std double", al.velocity_filter),
     "dtw_band": _run(al.WARP_COLUMNS, al.warps, False),

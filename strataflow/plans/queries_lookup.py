@@ -168,7 +168,7 @@ def knn_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     found = spatial.inverse_distance(_found(spark, sf_dir)).join(p.select(c("pid").alias("qid"), c("px").alias("qx"), c("py").alias("qy")), "qid")
     lo, hi = p.agg(F.min("surface"), F.max("surface")).first()
-    return spatial.plane(found, lo, hi).select("qid", rounded(c("surface"), 5).alias("surface"))
+    return spatial.plane(found, {"value": (lo, hi)}).select("qid", rounded(c("surface_value"), 5).alias("surface"))
 
 
 _RESIDUAL = f"""rr AS (SELECT well_id, row_id, md - last_value(CASE WHEN tvt_input IS NOT NULL THEN md END IGNORE NULLS) OVER ({WHOLE}) AS since, tvt - last_value(tvt_input IGNORE NULLS) OVER ({WHOLE}) AS target,
@@ -232,12 +232,12 @@ def regular_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_curve(asked, "v", spark, sf_dir).select("well_id", "i", rounded(c("v")).alias("tvt"), rounded(curves.linear(c("v"), "cgr")).alias("gr"))
 
 
-@query(f"SELECT w.well_id, {r6('CASE WHEN count(*) < 20 THEN 30 ELSE least(60, greatest(10, stddev_pop(gr - ' + _linear_sql('tvt') + '))) END')} AS noise FROM {_BOTH} WHERE w.row_id < 40 AND gr IS NOT NULL GROUP BY w.well_id")
+@query(f"SELECT w.well_id, {r6('CASE WHEN count(*) < 20 THEN 30 ELSE least(60, greatest(10, stddev_pop(gr - ' + _linear_sql('tvt_input') + '))) END')} AS noise FROM {_BOTH.replace('w.tvt ', 'w.tvt_input ')} WHERE w.tvt_input IS NOT NULL AND gr IS NOT NULL GROUP BY w.well_id")
 def noise_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deviation of the signal from the curve over a well's first rows, within 10 and 60; 30 below 20 points."""
-    rows = wells(spark, sf_dir).filter("row_id < 40 and gr is not null").select("well_id", "row_id", "tvt", "gr")
-    d = c("gr") - curves.linear(c("tvt"), "cgr")
-    found = with_curve(rows, "tvt", spark, sf_dir)
+    """Deviation of the signal from the curve over a well's known rows, within 10 and 60; 30 below 20 points."""
+    rows = wells(spark, sf_dir).filter("tvt_input is not null and gr is not null").select("well_id", "row_id", "tvt_input", "gr")
+    d = c("gr") - curves.linear(c("tvt_input"), "cgr")
+    found = with_curve(rows, "tvt_input", spark, sf_dir)
     return found.groupBy("well_id").agg(rounded(F.when(F.count("*") < 20, 30.0).otherwise(clip(F.stddev_pop(d), 10.0, 60.0))).alias("noise"))
 
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataflow.functions.scalar import rounded
 from strataflow.operators import features, folds, models
 from strataflow.plans import residual
-from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, curve, r6, wells
+from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, curve, output_root, r6, wells
+from strataflow.sources.template import filled
 
 c = F.col
 QUERIES: dict = {}
 ORACLES: dict = {}
-FOLDS = 3
+FOLDS, ROUNDS = 3, 12  # of the registered queries; residual.predicted has five folds, three seeds and 200 rounds by default
 
 
 def query(sql: str | None):
@@ -46,9 +50,10 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 @query(None)
 def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold residuals of boosted trees, by folds of whole wells."""
+    """Out-of-fold residuals of boosted trees with early stopping, two seeds' mean, by folds of whole wells."""
     rows, names = _training(spark, sf_dir)
-    return models.out_of_fold(rows, names, "target", "fold", FOLDS, iterations=8, depth=3).select("well_id", "row_id", "fold", "target", "oof")
+    scored, _ = models.trained(rows.cache(), names, "target", "fold", "well_id", FOLDS, (42, 7), ROUNDS, 3, kinds=("gbt",))
+    return scored.select("well_id", "row_id", "fold", "target", "oof")
 
 
 @query(None)
@@ -77,33 +82,84 @@ def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("tvt_input is null")
 
 
-@query(None)
+_GRAM = f"""{_RES}, g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * t) AS p, sum(b * t) AS q, sum(t * t) AS tt, count(*) AS n FROM r),
+d AS (SELECT *, (aa + 1) * (bb + 1) - ab * ab AS det, aa + bb - 2 * ab AS s2 FROM g),
+u AS (SELECT *, ((bb + 1) * p - ab * q) / det AS ra, ((aa + 1) * q - ab * p) / det AS rb, greatest(0, least(1, (p - q + bb - ab) / s2)) AS sa FROM d),
+m AS (SELECT 'ridge' AS method, CASE WHEN ra < 0 THEN 0 WHEN rb < 0 THEN greatest(p / (aa + 1), 0) ELSE ra END AS x, CASE WHEN rb < 0 THEN 0 WHEN ra < 0 THEN greatest(q / (bb + 1), 0) ELSE rb END AS y, u.* FROM u
+ UNION ALL SELECT 'simplex', sa, 1 - sa, u.* FROM u UNION ALL SELECT 'mean', 0.5, 0.5, u.* FROM u)"""
+
+
+@query(f", {_GRAM} SELECT method, round(x, 4) + 0.0 AS weight_a, round(y, 4) + 0.0 AS weight_b, round(sqrt(greatest(tt - 2 * (x * p + y * q) + x * x * aa + 2 * x * y * ab + y * y * bb, 0) / n), 4) + 0.0 AS rmse FROM m")
 def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of two predictions by non-negative ridge and on the simplex, with their errors and that of the plain mean."""
+    """Weights of two predictions by non-negative ridge and on the simplex, with their errors and that of the plain mean, to four digits; its one aggregate runs when the query is built."""
     g, b, tt, n = models.gram(_two(spark, sf_dir), ["a", "b"], "t")
     rows = []
     for name, w in (("ridge", models.positive_ridge(g, b)), ("simplex", models.simplex_weights(g, b)), ("mean", g.diagonal() * 0 + 0.5)):
-        rows.append((name, float(w[0]), float(w[1]), models.error(g, b, tt, n, w)))
+        rows.append((name, *(round(float(x), 4) + 0.0 for x in (w[0], w[1], models.error(g, b, tt, n, w)))))
     return spark.createDataFrame(rows, "method string, weight_a double, weight_b double, rmse double")
 
 
+def _drift(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, float]], float, DataFrame]:
+    rows, _ = features.window_features(wells(spark, sf_dir), WELL)
+    labelled = rows.withColumn("is_test", (c("well_id").cast("long") % 10 == 0).cast("double")).withColumn("key", F.concat_ws("_", "well_id", "row_id"))
+    dealt = folds.stratified_rows(labelled.select("key", "is_test"), "key", "is_test", FOLDS)
+    return models.drift(labelled.join(dealt, "key").cache(), ["md_since", "dx", "dy", "dz", "frac", "grf", "last_known"], "is_test", "fold", FOLDS, iterations=5)
+
+
 @query(None)
 def drift_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well a classifier tells the test wells from the others, by folds of whole wells (rows of one well never stand on both sides)."""
-    rows, names = features.window_features(wells(spark, sf_dir), WELL)
-    labelled = rows.withColumn("is_test", (c("well_id").cast("long") % 10 == 0).cast("double")).withColumn("fold", F.pmod(F.xxhash64("well_id"), F.lit(2)).cast("int"))
-    used = ["md_since", "dx", "dy", "dz", "frac", "grf", "last_known"]
-    _, auc = models.drift(labelled, used, "is_test", "fold", 2, iterations=5)
-    return spark.createDataFrame([(auc,)], "overall_auc double")
+    """How well a classifier tells the test wells from the others, by folds of rows stratified by label; the models are fitted when the query is built."""
+    return spark.createDataFrame([(_drift(spark, sf_dir)[1],)], "overall_auc double")
+
+
+@query(None)
+def drift_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which features tell the test wells from the others: mean gain over the folds' models, written as CSV and the AUC as JSON, and read back."""
+    gains, auc, _ = _drift(spark, sf_dir)
+    folder = f"{output_root(spark)}/drift-{uuid.uuid4().hex}"
+    spark.createDataFrame(gains, "feature string, importance double").orderBy(F.desc("importance"), "feature").coalesce(1).write.option("header", True).csv(f"{folder}/importance")
+    spark.createDataFrame([(auc,)], "overall_auc double").coalesce(1).write.json(f"{folder}/summary")
+    auc_row = spark.read.schema("overall_auc double").json(f"{folder}/summary")
+    return spark.read.schema("feature string, importance double").option("header", True).csv(f"{folder}/importance").crossJoin(F.broadcast(auc_row))
 
 
 @query(None)
 def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window features, kernels' signals and curve probes of every hidden row."""
+    """Window features, kernels' signals, calibration, probes and surfaces of every hidden row."""
     return residual.full_features(wells(spark, sf_dir), curve(spark, sf_dir), WELL)[0]
 
 
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = wells(spark, sf_dir)
+    is_test = c("well_id").cast("long") % 10 == 0
+    return rows.filter(~is_test), rows.filter(is_test)
+
+
+def _template(test: DataFrame) -> DataFrame:
+    """place, id of the test wells' hidden rows. Places are a well's offset, from a table of wells, and the place within the well."""
+    hidden = test.filter("tvt_input is null")
+    before = Window.orderBy("well_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hidden.groupBy("well_id").agg(F.count("*").alias("k")).select("well_id", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    return hidden.join(starts, "well_id").select(F.concat_ws("_", "well_id", "row_id").alias("id"), (c("start") + F.row_number().over(WELL.window) - 1).cast("long").alias("place"))
+
+
 @query(None)
 def residual_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of every hidden row from wells to result."""
-    return residual.run(wells(spark, sf_dir), curve(spark, sf_dir), WELL)
+    """From training and test wells to the template's rows: features, fold models and a refit, weights, damping, add-back."""
+    train, test = _split(spark, sf_dir)
+    _, fresh = residual.predicted(train, curve(spark, sf_dir), WELL, test, k=FOLDS, seeds=(42,), iterations=ROUNDS, depth=3, kinds=("gbt",))
+    fallback = train.filter("tvt_input is not null").agg(F.avg("tvt").alias("fallback"))
+    return filled(_template(test), fresh, fallback, "id", "tvt").select("place", "id", "tvt")
+
+
+@query(None)
+def baseline_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest on the training wells, saved below the shared folder, loaded again and applied to the template's rows."""
+    train, test = _split(spark, sf_dir)
+    rows, names = features.window_features(train, WELL)
+    path = f"{output_root(spark)}/baseline-{uuid.uuid4().hex}"
+    models.save_model(models.regressor("forest", names, "target", iterations=10, depth=4).fit(rows.fillna(-999.0, subset=names)), path)
+    scored = models.load_model(path).transform(features.window_features(test, WELL)[0].fillna(-999.0, subset=names))
+    made = scored.select(F.concat_ws("_", "well_id", "row_id").alias("id"), (c("last_known") + c("prediction")).alias("tvt"))
+    fallback = train.filter("tvt_input is not null").agg(F.avg("tvt").alias("fallback"))
+    return filled(_template(test), made, fallback, "id", "tvt").select("place", "id", "tvt")

@@ -32,18 +32,46 @@ def test_band_table_is_the_textbook_table(seed):
         for j in range(7):
             before = 0.0 if i == j == 0 else min((want[i - 1, j - 1] if i and j else np.inf), (want[i - 1, j] if i else np.inf), (want[i, j - 1] if j else np.inf))
             want[i, j] = before + (a[i] - b[j]) ** 2
-    got = kernels.band_table(a, b, 50)
+    cost, low = kernels.band(a, b, 50)
+    assert cost.shape == (9, 101)
+    got = np.array([cost[i, -low[i] : 7 - low[i]] for i in range(9)])
     np.testing.assert_allclose(got, want)
-    assert (kernels.band_table(a, b, 2)[-1, -1]) >= want[-1, -1] - 1e-12
-    col = kernels.traced(got)
-    assert col[0] >= 0 and col[-1] == 6 and (np.diff(col) >= 0).all()
+    narrow, at = kernels.band(a, b, 2)
+    assert narrow.shape == (9, 5) and narrow[-1, 6 - at[-1]] >= want[-1, -1] - 1e-12
+    # the path back, cell by cell
+    i, j, last = 8, 6, {8: 6}
+    while i or j:
+        ways = [(want[x, y] if x >= 0 and y >= 0 else np.inf, k, x, y) for k, (x, y) in enumerate(((i - 1, j - 1), (i - 1, j), (i, j - 1)))]
+        _, _, i, j = min(ways)
+        last.setdefault(i, j)
+    assert kernels.band_path(cost, low, 7).tolist() == [last[i] for i in range(9)]
 
 
 def test_warp_of_equal_sequences_is_the_diagonal():
     x = np.sin(np.arange(40) / 3)
-    col = kernels.traced(kernels.band_table(x, x, 5))
+    col = kernels.band_path(*kernels.band(x, x, 5), 40)
     np.testing.assert_array_equal(col, np.arange(40))
-    np.testing.assert_allclose(kernels.warped_slope(col), 1.0)
+    np.testing.assert_allclose(kernels.local_slope(col), 1.0)
+    assert kernels.local_slope(np.array([3])).tolist() == [1.0]
+    long = np.sin(np.arange(4000) / 50)
+    assert kernels.band(long, long[::2], 20)[0].nbytes < 2e6  # a whole table would take 64 MB
+
+
+def test_beams_of_one_call_are_those_of_single_calls():
+    rng = np.random.default_rng(6)
+    curve, signals = rng.normal(size=30), rng.normal(size=(3, 40))
+    widths, moves, scales = np.array([1, 4, 9]), np.array([0.1, 0.4, 0.2]), np.array([0.5, 1.0, 2.0])
+    both = kernels.beam_paths(signals, curve, 12, widths, moves, scales)
+    for k in range(3):
+        assert both[k].tolist() == kernels.beam_path(signals[k], curve, 12, int(widths[k]), moves[k], scales[k]).tolist()
+
+
+def test_regular_grid_lookup_is_interpolation():
+    rng = np.random.default_rng(7)
+    grid = rng.normal(size=50)
+    at = rng.uniform(-5, 20, 500)
+    np.testing.assert_allclose(kernels.on_grid(grid, 1.0, 0.2, at), np.interp(at, 1.0 + 0.2 * np.arange(50), grid))
+    assert kernels.on_grid(grid[:1], 1.0, 0.2, at).tolist() == [grid[0]] * 500
 
 
 def test_particles_follow_a_known_surface():

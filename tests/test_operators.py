@@ -38,7 +38,7 @@ def test_nearest_in_blocks_is_brute_force(spark, block):
     p = pd.DataFrame({"pid": range(200), "x": rng.normal(size=200), "y": rng.normal(size=200), "value": rng.normal(size=200)})
     p.loc[5, "value"] = np.nan
     points = spark.createDataFrame(p).withColumn("value", F.nanvl("value", F.lit(None)))
-    got = spatial.nearest(points.select(F.col("pid").alias("qid"), "x", "y"), points, 4, block).toPandas().set_index("qid")
+    got = spatial.nearest(points.select(F.col("pid").alias("qid"), "x", "y"), points, 4, cell=block).toPandas().set_index("qid")
     ok = p.dropna()
     for q in (0, 5, 77, 199):
         others = ok[ok.pid != q]
@@ -53,7 +53,7 @@ def test_plane_recovers_a_plane(spark):
     points = spark.createDataFrame(p)
     q = points.select(F.col("pid").alias("qid"), "x", "y")
     found = spatial.inverse_distance(spatial.nearest(q, points, 10)).join(q.select("qid", F.col("x").alias("qx"), F.col("y").alias("qy")), "qid")
-    got = spatial.plane(found, float(p.value.min()), float(p.value.max())).toPandas().set_index("qid")["surface"]
+    got = spatial.plane(found, {"value": (float(p.value.min()), float(p.value.max()))}).toPandas().set_index("qid")["surface_value"]
     np.testing.assert_allclose(got.sort_index(), p.value, atol=1e-4)
 
 
