@@ -5,10 +5,11 @@ its zeros are ignored. Both masks together hit every window of 13 words in which
 mask alone misses some; the pair was found by trying all masks of six words, and a test goes through all 78 places of two
 substitutions). Seed hashes of the benchmark are joined with those of all documents. A hit proposes how the item would lie in the text; the words around it
 are aligned with the item's that way, and a window of `WINDOW` words with at most `SUBSTITUTIONS` differences must be
-found. An item shorter than a window must occur whole and unchanged.
+found. An item shorter than a window must occur whole and unchanged; one shorter than a mask has its whole word sequence
+as its seed, and documents are hashed by as many words where items of that length exist.
 
-Defined cases: null and empty texts hold nothing; null item texts are ignored; items of fewer words than a mask spans
-(8) are never reported, since so few words prove nothing; rows that share an id are one document, null ids are one too;
+Defined cases: null and empty texts hold nothing; null item texts, and items without a word, are ignored; a long text is
+one row, whose words are held as arrays; rows that share an id are one document, null ids are one too;
 null item ids are ignored, items that share an id are one, repeated texts are reported under each of their ids; an empty table gives an empty result. Only the id and text column of
 either table are read. Text is not shuffled: the benchmark's seeds are broadcast after a count (SEED_ROWS), beyond it the
 documents' seed hashes are shuffled; texts with hits are met by a second scan.
@@ -31,29 +32,39 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
-def seeds(words: DataFrame) -> DataFrame:
+def seeds(words: DataFrame, short: list[int], whole: bool = False) -> DataFrame:
     """key, at (first word, from 0) and the other columns of rows with an array `words`, which is left behind.
 
+    short: the lengths below a mask's at which word sequences are hashed too; of items (`whole`) only the entire sequence.
     Hashes are made inside the row's arrays, so that what is exploded is narrow however long a text is.
     """
     hashed = words.select(*(c for c in words.columns if c != "words"), F.transform("words", lambda w: F.xxhash64(w)).alias("_w"))
     keys = []
-    for i, mask in enumerate(MASKS):
+    for i, mask in enumerate([*MASKS, *("1" * n for n in short)]):
         ones = ", ".join(f"get(_w, p + {k})" for k, bit in enumerate(mask) if bit == "1")
-        made = F.expr(f"transform(sequence(0, size(_w) - {len(mask)}), p -> xxhash64({i}, {ones}))")
-        keys.append(F.when(F.size("_w") >= len(mask), made).otherwise(F.array().cast("array<bigint>")).alias(f"_k{i}"))
+        made = F.expr(f"transform(sequence(0, size(_w) - {len(mask)}), p -> xxhash64({i if i < len(MASKS) else 100 + len(mask)}, {ones}))")
+        fits = F.size("_w") == len(mask) if whole and i >= len(MASKS) else F.size("_w") >= len(mask)
+        keys.append(F.when(fits, made).otherwise(F.array().cast("array<bigint>")).alias(f"_k{i}"))
     kept = [c for c in hashed.columns if c != "_w"]
     both = hashed.select(*kept, *keys)
-    flat = both.select(*kept, F.size("_k0").alias("_n"), F.posexplode(F.concat("_k0", "_k1")).alias("_p", "key"))
-    return flat.select(*kept, "key", F.when(F.col("_p") < F.col("_n"), F.col("_p")).otherwise(F.col("_p") - F.col("_n")).alias("at"))
+    ends, at = F.lit(0), F.col("_p")
+    for i in range(len(keys) - 1):  # a key's place among those of its mask
+        ends = ends + F.size(f"_k{i}")
+        both = both.withColumn(f"_e{i}", ends)
+    flat = both.select(*kept, *(f"_e{i}" for i in range(len(keys) - 1)), F.posexplode(F.concat(*(f"_k{i}" for i in range(len(keys))))).alias("_p", "key"))
+    for i in range(len(keys) - 1):
+        at = F.when(F.col("_p") >= F.col(f"_e{i}"), F.col("_p") - F.col(f"_e{i}")).otherwise(at)
+    return flat.select(*kept, "key", at.alias("at"))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """doc_id, item_id, first_word, end_word: the span of a document's words within verified windows of an item."""
     items = staged(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")), "items")
-    known = staged(seeds(items).withColumnRenamed("at", "item_at"), "seeds")
+    # at most as many rows as a mask has words
+    short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).filter(F.col("n").between(1, len(MASKS[0]) - 1)).distinct().collect())
+    known = staged(seeds(items, short, whole=True).withColumnRenamed("at", "item_at"), "seeds")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = seeds(docs.select("doc_id", words_of(F.col("text")).alias("words")))
+    found = seeds(docs.select("doc_id", words_of(F.col("text")).alias("words")), short)
     small = known.limit(SEED_ROWS + 1).count() <= SEED_ROWS
     hits = found.join(F.broadcast(known) if small else known, "key")
     # a hit proposes a diagonal: where the item would start in the document; diagonals are few for each pair
