@@ -72,26 +72,22 @@ def fingerprints(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds h1, h2 to rows whose column body is binary."""
+    """h1, h2 instead of the binary column body."""
     for batch in batches:
         body = batch.column("body").cast(pa.large_binary())
         offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
         data = body.buffers()[2]
         values = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         h = fingerprints(values, offsets)
-        kept = [n for n in batch.schema.names if n != "body"] if "_drop" in batch.schema.names else batch.schema.names
-        kept = [n for n in kept if n != "_drop"]
+        kept = [n for n in batch.schema.names if n != "body"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(x.astype(np.int64)) for x in h)], [*kept, "h1", "h2"])
 
 
-def fingerprinted(docs: DataFrame, huge_bytes: int = HUGE_BYTES, with_body: bool = False) -> DataFrame:
-    """doc_id, n_bytes, sha (binary), h1, h2 of each row of docs(doc_id, body); body too if asked for (not for huge rows' pieces)."""
+def fingerprinted(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
+    """doc_id, n_bytes, sha (binary), h1, h2 of each row of docs(doc_id, body)."""
     rows = docs.withColumn("n_bytes", F.octet_length("body").cast("long"))
-    plain = rows.filter(F.col("n_bytes") <= huge_bytes)
     sha = F.unhex(F.sha2("body", 256))
-    if with_body:
-        return plain.select("doc_id", "n_bytes", "body").mapInArrow(_hash_batches, "doc_id long, n_bytes long, body binary, h1 long, h2 long")
-    small = plain.select("doc_id", "n_bytes", sha.alias("sha"), "body", F.lit(True).alias("_drop")).mapInArrow(_hash_batches, "doc_id long, n_bytes long, sha binary, h1 long, h2 long")
+    small = rows.filter(F.col("n_bytes") <= huge_bytes).select("doc_id", "n_bytes", sha.alias("sha"), "body").mapInArrow(_hash_batches, "doc_id long, n_bytes long, sha binary, h1 long, h2 long")
     return small.unionByName(huge_fingerprints(rows.filter(F.col("n_bytes") > huge_bytes), sha, huge_bytes))
 
 
@@ -101,7 +97,7 @@ def huge_fingerprints(rows: DataFrame, sha, huge_bytes: int) -> DataFrame:
     A row is known by its id, length and digest; rows repeated in full are counted at piece 0 and given back.
     """
     pieces = rows.select("doc_id", "n_bytes", sha.alias("sha"), "body", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / huge_bytes))).alias("piece"))
-    pieces = pieces.select("doc_id", "n_bytes", "sha", "piece", F.expr(f"substring(body, cast(piece * {huge_bytes} + 1 as int), {huge_bytes})").alias("body"), F.lit(True).alias("_drop"))
+    pieces = pieces.select("doc_id", "n_bytes", "sha", "piece", F.expr(f"substring(body, cast(piece * {huge_bytes} + 1 as int), {huge_bytes})").alias("body"))
     hashed = pieces.repartition("sha", "piece").mapInArrow(_hash_batches, "doc_id long, n_bytes long, sha binary, piece long, h1 long, h2 long")
     tail = F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - (F.col("piece") + 1) * huge_bytes)
     once = hashed.groupBy("doc_id", "n_bytes", "sha", "piece").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.count("*").alias("rows"))
@@ -118,17 +114,18 @@ def _shift_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), batch.column("sha"), *moved, batch.column("rows")], ["doc_id", "n_bytes", "sha", "h1", "h2", "rows"])
 
 
-def confirmed(docs: DataFrame, groups: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
+def confirmed(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """KEY of those groups in which any chunk differs between texts (a collision of fingerprints).
 
-    Texts of groups are cut into chunks; min and max of the chunks at one place agree only if all are equal. The partial
-    aggregate sees copies first, so a group's bytes are shuffled once a map task at most.
+    Texts of groups, which are found again by length and digest, are cut into chunks; min and max of the chunks at one
+    place agree only if all are equal. The partial aggregate sees copies first, so a group's bytes are shuffled once a map
+    task at most.
     """
-    keys = groups.select(*KEY)
-    bodies = lookup_join(fingerprinted(docs, huge_bytes, with_body=True), keys, KEY, "left_semi", ["doc_id"])
-    n = F.greatest(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / COMPARE_BYTES))
-    chunks = bodies.select(*KEY, "body", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("nth"))
-    chunks = chunks.select(*KEY, "nth", F.expr(f"substring(body, cast(nth * {COMPARE_BYTES} + 1 as int), {COMPARE_BYTES})").alias("chunk"))
+    members = staged(lookup_join(prints, groups.select(*KEY), KEY, "left_semi", ["doc_id"]).select(*KEY, "sha").distinct(), "exact-members")
+    rows = docs.select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.unhex(F.sha2("body", 256)).alias("sha"), "body")
+    bodies = lookup_join(rows, members, ["n_bytes", "sha"], "inner", ["doc_id"])
+    cut = F.expr(f"transform(sequence(0L, greatest(0L, (n_bytes - 1) div {COMPARE_BYTES})), i -> substring(body, cast(i * {COMPARE_BYTES} + 1 as int), {COMPARE_BYTES}))")
+    chunks = bodies.select(*KEY, F.posexplode(cut).alias("nth", "chunk"))
     ends = chunks.groupBy(*KEY, "nth").agg(F.min("chunk").alias("least"), F.max("chunk").alias("greatest"))
     return ends.filter(F.col("least") != F.col("greatest")).select(*KEY).distinct()
 
@@ -136,16 +133,15 @@ def confirmed(docs: DataFrame, groups: DataFrame, huge_bytes: int = HUGE_BYTES)
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE_BYTES) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256. See the module for the defined cases.
 
-    Texts above huge_bytes, too large to lie in one comparison row, are told apart by SHA-256 besides the fingerprint;
-    so are the members of a group in which the chunkwise comparison found a difference.
+    Members of a group in which the chunkwise comparison found a difference are told apart by their SHA-256.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     prints = staged(fingerprinted(docs, huge_bytes), "exact-prints")
     groups = staged(prints.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "exact-groups")
-    collided = staged(confirmed(docs, groups.filter(F.col("n_bytes") <= huge_bytes), huge_bytes), "exact-collided").withColumn("apart", F.lit(True))
-    # groups of one need no lookup; of the others a collided or huge one is keyed by its digest too
+    collided = staged(confirmed(docs, prints, groups), "exact-collided").withColumn("apart", F.lit(True))
+    # groups of one need no lookup; of the others a collided one is keyed by its digest too
     marked = lookup_join(prints, collided, KEY, "left", ["doc_id"])
-    marked = marked.withColumn("sub", F.when(F.col("apart") | (F.col("n_bytes") > huge_bytes), F.col("sha"))).drop("apart")
+    marked = marked.withColumn("sub", F.when(F.col("apart"), F.col("sha"))).drop("apart")
     sub = F.coalesce("sub", F.lit(b""))
     sizes = staged(marked.groupBy(*KEY, sub.alias("sub")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "exact-sizes")
     out = lookup_join(marked.withColumn("sub", sub), sizes, [*KEY, "sub"], "left", ["doc_id"])
