@@ -10,6 +10,7 @@ chosen by a hash of the id, so the fit costs the same at any size; scores are gi
 
 Defined cases: null and empty texts have zero statistics and get the score of such texts; null ids are scored and count
 as not held out; unlabelled rows and null labels are not learned from; a repeated labelled id takes its largest label;
+equal raw scores have equal probabilities; a task holds about 40 times the longest text, of which all is counted;
 without any usable label every score is 0.5. An empty table gives an empty result. Only the id and text column of the
 documents and the id and label column of the labels are read.
 """
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.llm import text_stats
 from strataflow.llm.common import staged, table
 from strataflow.llm.text_stats import STATS, matrix, stats_batches
 
@@ -68,15 +70,17 @@ def expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def pooled(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression by pooled adjacent violators; inputs sorted by score. Block centres and their means."""
-    blocks: list[list[float]] = []  # weight, weighted label, weighted score
-    for s, y, w in zip(score.tolist(), label.tolist(), weight.tolist(), strict=True):
-        blocks.append([w, y, s * w])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    x = np.array([b[2] / b[0] for b in blocks])
-    # half a success and half a failure each keep the ends off 0 and 1
-    return x, np.array([(b[1] + 0.5) / (b[0] + 1) for b in blocks])
+    rows = [list(r) for r in zip(weight.tolist(), label.tolist(), (score * weight).tolist(), weight.tolist(), strict=True)]
+    # pooled twice: half a success and half a failure in each block of the first time keep the ends off 0 and 1
+    for prior in (0.5, 0.0):
+        blocks: list[list[float]] = []  # weight and label, both with what was added, weighted score, weight
+        for row in rows:
+            blocks.append(row)
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+                last = blocks.pop()
+                blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+        rows = [[w + 2 * prior, y + prior, x, n] for w, y, x, n in blocks]
+    return np.array([x / n for _, _, x, n in rows]), np.array([y / w for w, y, _, _ in rows])
 
 
 def _sums(mean: np.ndarray, scale: np.ndarray):
