@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain.
 
 The vocabulary of toxic texts is counted over the labelled training rows: words and four-letter stems whose document
-frequency in toxic texts is many times that in others. From it each text gets a few statistics (whether, how often and how
+frequency in toxic texts is many times that in others. For each fold of training rows it is counted without them, so what
+they are described by has not seen their labels; equal texts share a fold. From the vocabulary each text gets a few statistics (whether, how often and how
 densely such words occur). A chain of linear models then predicts the categories in order; each later model also takes
 the probabilities of the earlier categories, which for training rows are out-of-fold predictions. The categories are
 `repeated` and `dense` (toxic texts with many, or closely set, toxic words, above the median of toxic rows) and last
@@ -9,8 +10,8 @@ the probabilities of the earlier categories, which for training rows are out-of-
 
 Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1, at most `max_rows` of them, chosen by a hash of
 the id; every row is scored. Defined cases: null and empty texts hold no words; null ids are scored; unlabelled rows and
-null labels are not learned from; a repeated labelled id takes its largest label; without any toxic training row every
-score is 0. An empty table gives an empty result. Only the id and text column, and the labels' id and label column, are
+null labels are not learned from; a repeated labelled id takes its largest label; equal texts with both labels count as
+toxic; long texts are counted whole; without any toxic training row every score is 0. An empty table gives an empty result. Only the id and text column, and the labels' id and label column, are
 read.
 """
 
@@ -42,26 +43,33 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:STEM] + "-" for w in words if len(w) > STEM + 1}
 
 
-def vocabulary(rows: DataFrame, ratio: float = RATIO, support: float = SUPPORT, terms: int = TERMS) -> dict[str, float]:
-    """Log ratio by term, for the `terms` strongest; rows: text, label. Equal texts count once."""
+def vocabularies(rows: DataFrame, ratio: float = RATIO, support: float = SUPPORT, terms: int = TERMS) -> list[dict[str, float]]:
+    """Log ratio by term, for the `terms` strongest: of all rows, then of all but each fold; rows: text, label, fold. Equal texts, which share a fold, count once."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
                 found = list(terms_of(text))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([label] * len(found), pa.int32())], ["term", "label"])
-
-    once = rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    once = staged(once.select("text", "label"), "toxic-texts")
-    sizes = once.agg(F.count("*").alias("n"), F.sum("label").alias("k")).first()
-    n, k = sizes["n"], sizes["k"] or 0
-    if not k:
-        return {}
-    counted = once.mapInArrow(explode, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    strength = F.log((F.col("a") + 0.5) / (k + 1)) - F.log((F.col("b") + 0.5) / (n - k + 1))
-    kept = counted.filter(F.col("a") >= max(3, support * k)).withColumn("w", strength).filter(F.col("w") >= float(np.log(ratio)))
-    return {r["term"]: r["w"] for r in kept.orderBy(F.desc("w"), "term").limit(terms).collect()}
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([label] * len(found), pa.int32()), pa.array([fold] * len(found), pa.int32())], ["term", "label", "fold"])
+
+    once = rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label"), F.first("fold").alias("fold"))
+    once = staged(once.select("text", "label", "fold"), "toxic-texts")
+    sizes = {r["fold"]: (r["n"], r["k"]) for r in once.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()}
+    inside = lambda f, x: F.sum(F.when(F.col("fold") == f, x).otherwise(0))
+    by_fold = [inside(f, x).alias(f"{name}{f}") for f in range(FOLDS) for name, x in (("a", F.col("label")), ("b", 1 - F.col("label")))]
+    counted = once.mapInArrow(explode, "term string, label int, fold int").groupBy("term").agg(*by_fold)
+    least = " + ".join(f"a{f}" for f in range(FOLDS))
+    counted = staged(counted.filter(f"{least} >= 3"), "toxic-terms")
+    out = []
+    for left_out in (None, *range(FOLDS)):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        n, k = (sum(sizes.get(f, (0, 0))[i] or 0 for f in folds) for i in range(2))
+        a, b = (F.expr(" + ".join(f"{x}{f}" for f in folds)) for x in "ab")
+        strength = F.log((a + 0.5) / (k + 1)) - F.log((b + 0.5) / (n - k + 1))
+        kept = counted.filter(a >= max(3, support * k)).withColumn("w", strength).filter(F.col("w") >= float(np.log(ratio)))
+        out.append({r["term"]: r["w"] for r in kept.orderBy(F.desc("w"), "term").limit(terms).select("term", "w").collect()} if k else {})
+    return out
 
 
 def features(text: str, weights: dict[str, float]) -> list[float]:
@@ -128,27 +136,33 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     n = known.count()
     if n > max_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
-    weights = vocabulary(rows.join(known, "doc_id"))
-    sent = spark.sparkContext.broadcast(weights)  # TERMS entries at most
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    train = staged(rows.join(known, "doc_id").withColumn("fold", fold), "toxic-rows")
+    weights = vocabularies(train)
+    sent = spark.sparkContext.broadcast(weights)  # FOLDS + 1 times TERMS entries at most
+
+    def described(batch: pa.RecordBatch, folds: list[int]) -> np.ndarray:
+        """Features by the whole vocabulary (fold -1), or by the one that was counted without the row's fold."""
+        texts = batch.column("text").to_pylist()
+        return np.array([features(t, sent.value[1 + f]) for t, f in zip(texts, folds, strict=True)], np.float64).reshape(-1, FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t, sent.value) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, FEATURES)
+            x = described(batch, batch.column("fold").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), lists], ["label", "fold", "x"])
 
-    measured = staged(rows.mapInArrow(measure, "doc_id long, x array<double>"), "toxic-features")
     model = []
-    if weights:
-        train = measured.join(known, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-        model = fit_chain(staged(train.repartition(PARTS, "doc_id"), "toxic-train"))
+    if weights[0]:
+        learned = train.select("text", "label", "fold").mapInArrow(measure, "label int, fold int, x array<double>")
+        model = fit_chain(staged(learned.repartition(PARTS), "toxic-train"))  # so PARTS sums reach the driver, however many rows there are
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = chained(matrix(batch, "x"), model) if model else np.zeros((batch.num_rows, len(CHAIN)))
+            p = chained(described(batch, [-1] * batch.num_rows), model) if model else np.zeros((batch.num_rows, len(CHAIN)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i]) for i in range(len(CHAIN)))], ["doc_id", *CHAIN])
 
-    scored = measured.mapInArrow(score, "doc_id long, repeated double, dense double, toxic double")
+    scored = rows.mapInArrow(score, "doc_id long, repeated double, dense double, toxic double")
     held = F.coalesce(remainder("doc_id") == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "repeated", "dense", F.col("toxic").alias("score"), (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
 
