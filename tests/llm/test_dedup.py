@@ -64,6 +64,21 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert got == {0: (5, 3), 2: (5, 3), 5: (5, 3), 1: (4, 2), 4: (4, 2), 3: (3, 1)}
 
 
+def test_huge_texts_of_equal_fingerprints_are_compared(spark, monkeypatch):
+    """Texts beyond huge_bytes that differ in one byte of the last chunk, or not at all, with fingerprints made equal."""
+    a = prose(9, 40_000)
+    texts = [a, a[:-1] + "#", a, a[:-1] + "#", "#" + a[1:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    combined = exact_dedup.huge_fingerprints
+    monkeypatch.setattr(exact_dedup, "huge_fingerprints", lambda *x: combined(*x).selectExpr("doc_id", "n_bytes", "sha", "1L as h1", "1L as h2"))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, huge_bytes=100_000).collect()}
+    assert got == {0: (2, 2), 2: (2, 2), 1: (3, 2), 3: (3, 2), 4: (4, 1)}
+    monkeypatch.undo()
+    prints = exact_dedup.fingerprinted(docs.selectExpr("doc_id", "cast(text as binary) as body"), 100_000).selectExpr("doc_id", "n_bytes", "sha", "1L as h1", "1L as h2")
+    found = exact_dedup.confirmed(docs.selectExpr("doc_id", "cast(text as binary) as body"), prints, prints.select(*exact_dedup.KEY).distinct())
+    assert found.count() == 1
+
+
 def brute_near(rows, threshold=0.8):
     """Classes by comparing all pairs."""
     def kmers(text):
@@ -131,6 +146,35 @@ def test_near_classes_on_the_table(spark):
     assert got == brute_near([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_large_groups_of_near_copies(spark):
+    rng = random.Random(8)
+    base = prose(50, 120).split()
+
+    def edited(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"w{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    # most are linked with some other, hardly any with all: links must be found between components of one bucket
+    mixed = [(i, edited(rng.choice([1, 2, 3, 3, 4, 5, 8]))) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(spark.createDataFrame(mixed, "doc_id long, text string")).collect()}
+    want = brute_near(mixed)
+    assert len(set(want.values())) > 20 and got == want
+    many = spark.createDataFrame([(i, edited(1)) for i in range(3000)], "doc_id long, text string")
+    assert {r.class_id for r in order_minhash.near_classes(many).collect()} == {0}
+
+
+def test_bounds_of_shared_kmers():
+    rng = np.random.default_rng(4)
+    for n in (30, 256, 700):
+        leader = np.arange(n, dtype=np.uint64)
+        a, b = (np.sort(rng.choice(leader, int(n * f), replace=False)) for f in (0.9, 0.85))
+        la, lb = (order_minhash.lost_bins(n, order_minhash.aligned(leader, x, 0.8)[1]) for x in (a, b))
+        lost = sum(int(x).bit_count() for x in (la | lb).view(np.uint64))
+        assert len(np.intersect1d(a, b)) <= n - lost and (n > 256 or len(np.intersect1d(a, b)) == n - lost)
+
+
 def test_order_matters():
     a = np.arange(1, 200, dtype=np.uint64)
     assert order_minhash.similarity(a, a, 0.8) == 1.0

@@ -16,6 +16,7 @@ from llm_helpers import WORDS, prose
 from strataflow.llm import bpe_automaton as bpe
 from strataflow.llm import chunk_store, decontaminate, exact_dedup, license_rules, order_minhash, quality, registry, toxicity, warc
 from strataflow.llm.common import shared_dir, table
+from strataflow.llm.lexer import Lexer
 
 
 @pytest.fixture(scope="session")
@@ -76,13 +77,24 @@ ODD = ["a", "th", "in", "ing", "'s", "'ll", "'", "S", "Σ", "İ", "ß", "é", "
 
 def test_automaton_is_the_library(library):
     spec = bpe.tokenizer_spec(bpe.vocabulary())
-    lexer, plain = bpe.automaton_lexer(spec), chunk_store.library_lexer(spec, "<u2")
+    lexers = bpe.automaton_lexer(spec, bpe.compiled(spec)), Lexer(spec, "<u2"), Lexer(spec, "<u2", most=50)
     rng = random.Random(5)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(15))) for _ in range(3000)] + ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 18))) for _ in range(2000)]
-    for text in texts:
-        want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(lexer.encode(text), "<i4").tolist() == want, repr(text)
-        assert np.frombuffer(plain.encode(text), "<u2").tolist() == want, repr(text)
+    for lexer in lexers:
+        for part in itertools.batched(texts, 100):
+            offsets, ids = lexer.encode(list(part))
+            for i, text in enumerate(part):
+                assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_odd_characters_are_encoded_whole(library):
+    spec = bpe.tokenizer_spec(bpe.vocabulary())
+    text = "héllo wörld, it's <|endoftext|> 12"
+    for lexer in (bpe.automaton_lexer(spec, bpe.compiled(spec)), Lexer(spec, "<u2")):
+        lexer.known.add("é")
+        lexer.odd.add("é")
+        offsets, ids = lexer.encode(["plain", text, ""])
+        assert offsets.tolist() == [0, 1, len(ids), len(ids)] and ids[1:].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_small_automata_are_greedy_merging():
@@ -123,10 +135,11 @@ def brute_tokens(library, rows):
 
 def test_encoding_and_decoding(spark, library, awkward, nothing):
     path = bpe.vocabulary()
-    run = lambda d: bpe.digests(bpe.decode_documents(bpe.encode_documents(d, path), path))
-    for docs in (awkward, table(spark, DATA, "documents")):
+    once = lambda d: bpe.digests(bpe.encode_documents(d, path, decode=True))
+    twice = lambda d: bpe.digests(bpe.decode_documents(bpe.encode_documents(d, path), path))
+    for run, docs in ((once, awkward), (twice, awkward), (once, table(spark, DATA, "documents"))):
         assert sorted(map(tuple, run(docs).collect()), key=repr) == brute_tokens(library, [(r.doc_id, r.text) for r in docs.collect()])
-    assert run(nothing).count() == 0
+    assert once(nothing).count() == twice(nothing).count() == 0
     odd = spark.createDataFrame([(1, [320, 10**6, None, -1]), (2, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode_documents(odd, path).collect()} == {1: "a</w>", 2: ""}
 
@@ -160,20 +173,34 @@ def test_store(spark, library, awkward, nothing):
 
 
 def test_store_detects_damage(spark):
-    folder, bad = shared_dir(spark, "store"), shared_dir(spark, "store")
-    chunk_store.write_store(table(spark, DATA, "documents").limit(20), folder, bpe.vocabulary())
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{folder}/{part}").write.parquet(f"{bad}/{part}")
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    chunks.withColumn("ids", F.concat("ids", F.lit(b"\0\0"))).write.parquet(f"{bad}/chunks")
-    with pytest.raises(Exception, match="damaged"):
-        chunk_store.read_digests(spark, bad).collect()
-    lost = shared_dir(spark, "store")
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{folder}/{part}").write.parquet(f"{lost}/{part}")
-    chunks.limit(chunks.count() - 1).write.parquet(f"{lost}/chunks")
-    with pytest.raises(Exception, match="absent"):
-        chunk_store.read_digests(spark, lost).collect()
+    folder = shared_dir(spark, "store")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([prose(1, 900), "one chunk", "another", "", prose(2, 50), "last"])], "doc_id long, text string")
+    chunk_store.write_store(docs.repartition(3), folder, bpe.vocabulary())
+    sound = {r.doc_id for r in chunk_store.read_digests(spark, folder).collect()}
+    assert sound == set(range(6))
+    one = spark.read.parquet(f"{folder}/recipes").filter("doc_id = 1").first()
+    part = one["part"]
+
+    def damaged(table_name, change, match):
+        bad = shared_dir(spark, "store")
+        for name in ("chunks", "recipes", "manifest", "head"):
+            rows = spark.read.parquet(f"{folder}/{name}")
+            rows = change(rows) if name == table_name else rows
+            rows.write.partitionBy(*["part"] * (name == "recipes")).parquet(f"{bad}/{name}")
+        for read in (chunk_store.read_digests, chunk_store.read_documents):
+            with pytest.raises(Exception, match=match):
+                read(spark, bad).collect()
+
+    damaged("chunks", lambda d: d.withColumn("ids", F.concat("ids", F.lit(b"\0\0"))), "damaged")
+    damaged("chunks", lambda d: d.filter(F.col("address") != F.lit(bytes(one["addresses"][0]))), "absent")  # of a document of one chunk
+    damaged("recipes", lambda d: d.filter("doc_id != 1"), "follow|manifest")
+    damaged("recipes", lambda d: d.filter("doc_id != 5"), "follow|manifest")
+    damaged("recipes", lambda d: d.filter(f"part != {part}"), "manifest")
+    damaged("recipes", lambda d: d.withColumn("start", F.expr("start + if(doc_id = 5, 1, 0)")), "follow|manifest")
+    damaged("recipes", lambda d: d.withColumn("doc_id", F.expr("if(doc_id = 5, 7, doc_id)")), "manifest")
+    damaged("recipes", lambda d: d.withColumn("addresses", F.expr("reverse(addresses)")), "root")
+    damaged("manifest", lambda d: d.filter(f"part != {part}"), "head")
+    damaged("head", lambda d: d.limit(0), "head")
 
 
 def test_cuts_are_content_defined():
@@ -225,6 +252,42 @@ def test_labels_lang_and_source_are_no_inputs(spark):
 def test_isotonic_regression_pools():
     x, y = quality.pooled(np.array([1.0, 2, 3, 4]), np.array([0.0, 5, 1, 8]), np.array([10.0, 10, 10, 10]))
     assert (np.diff(y) >= 0).all() and len(y) == 3
+    x, y = quality.pooled(np.array([1.0, 2]), np.array([900.0, 1]), np.array([1000.0, 1]))
+    assert (np.diff(y) >= 0).all()
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        weight = rng.integers(1, 50, n).astype(float)
+        x, y = quality.pooled(np.sort(rng.normal(size=n)), np.floor(rng.random(n) * (weight + 1)), weight)
+        assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 < y.min() and y.max() < 1
+
+
+def test_quality_equals_one_matrix(spark):
+    """Sums by partition, folds and calibration against one matrix in memory."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    body, offsets = np.frombuffer(b"".join(t for _, t in texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for _, t in texts])])
+    stats = np.vstack([quality.text_stats.doc_stats(body[a:b], np.array([0, b - a])) for a, b in itertools.pairwise(offsets)]).astype(np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i, _ in texts])
+    on = np.array([known.get(i) is not None for i, _ in texts]) & (fold != 1)
+    y = np.array([known.get(i) or 0 for i, _ in texts], float)
+    mean, scale = stats[on].mean(0), stats[on].std(0)
+    scale = np.where(scale > 1e-9, scale, 1)
+    z = quality.expanded(stats, mean, scale)
+
+    def ridge(rows):
+        penalty = quality.RIDGE * rows.sum() * np.eye(z.shape[1])
+        penalty[-1, -1] = 1e-9 * rows.sum()
+        return np.linalg.solve(z[rows].T @ z[rows] + penalty, z[rows].T @ y[rows])
+
+    raw = np.where(fold == 0, z @ ridge(on & (fold == 2)), z @ ridge(on & (fold == 0)))
+    cell = np.clip(np.floor((raw + 1) / 3 * quality.BINS), 0, quality.BINS - 1)
+    cells = sorted((raw[on & (cell == c)].mean(), y[on & (cell == c)].sum(), float((on & (cell == c)).sum())) for c in set(cell[on]))
+    x, p = quality.pooled(*map(np.array, zip(*cells, strict=True)))
+    want = np.clip(np.interp(z @ ridge(on), x, p), 0, 1)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert np.abs(want - np.array([got[i] for i, _ in texts])).max() < 1e-6
 
 
 # ---- licences and leaks
@@ -290,7 +353,7 @@ def brute_overlaps(docs, items, window=decontaminate.WINDOW, subs=decontaminate.
         for i, u in items:
             v = words(u)
             n, need = min(window, len(v)), (len(v) if len(v) < window else window - subs)
-            if len(v) >= 8 and any(sum(a == b for a, b in zip(w[p : p + n], v[q : q + n], strict=False)) >= need for p in range(len(w) - n + 1) for q in range(len(v) - n + 1)):
+            if v and any(sum(a == b for a, b in zip(w[p : p + n], v[q : q + n], strict=False)) >= need for p in range(len(w) - n + 1) for q in range(len(v) - n + 1)):
                 out.add((d, i))
     return out
 
