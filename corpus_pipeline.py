@@ -46,8 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, by the automaton."""
-    path = bpe_automaton.vocabulary()
-    return bpe_automaton.digests(bpe_automaton.decode_documents(bpe_automaton.encode_documents(docs, path), path))
+    return bpe_automaton.digests(bpe_automaton.encode_documents(docs, bpe_automaton.vocabulary(), decode=True))
 
 
 STAGES = [
