@@ -6,13 +6,13 @@ stands. Neighbouring strings with one anchor form a run, so a text has about one
   1. Runs are bucketed by their anchor's q-gram. Runs that are equal as a whole (by 128 bits of two hashes of their bytes)
      need no more: all but the smallest id's are repeats. Equal runs within one part of a task are settled before the shuffle.
   2. Of anchors shared by different runs that agree on one side too, the bytes around go to their bucket, where bucket-pointer refinement sorts all
-     strings by their first DEPTH bytes: buckets of 8-grams, a bucket's pointer being its place in the order, are refined
-     by the pointers 8, 16 and 18 bytes further on, each pass using those that the one before has moved.
+     strings by their first DEPTH bytes (refined_order); neighbours in the order are then compared byte by byte.
   3. Each text's covered bytes are merged into spans and cut out.
 No key is held whole by one task: runs of a q-gram that a sample finds in more than HOT_RUNS different surroundings are
 bucketed by their content hash instead, and a q-gram with more than HOT_CONTEXTS unclear runs, which are counted, is not
 refined: its strings are compared by 128 bits of hashes, dealt by these. The sample decides only where runs go.
-Texts that equal one with a smaller id go whole and take no part.
+Texts that equal one with a smaller id go whole and take no part. Runs of long texts are found in overlapping pieces of
+PART_BYTES; what is cut out of a text is cut in one task, in memory of a few times the text.
 
 Defined cases: a null text is empty; texts below DEPTH bytes keep all; null ids take no part and keep all; rows repeated
 with the same id and text each get the same result; of rows that share an id but not the text, only the text with the
@@ -43,6 +43,7 @@ _BASE, _CHECK_BASE = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _CHECK = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))  # a number for each byte
 _LOW40 = np.uint64((1 << 40) - 1)
 HOT_RUNS, HOT_CONTEXTS = 500_000, 12_000  # of one q-gram in one task
+WAVES = 8
 SAMPLE, PIECE = 64, 1 << 16  # one of SAMPLE pieces of text is looked at for hot q-grams
 HOT_BUCKET = 1 << 24  # buckets from here on hold runs of hot q-grams
 SIDE = (DEPTH - Q) // 2  # a string around an anchor reaches this far at least to one side of it
@@ -145,10 +146,10 @@ def _top(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _packed_runs(batch: pa.RecordBatch, bits: int, hot: np.ndarray, hot_bits: int) -> Iterator[pa.RecordBatch]:
-    ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    ids_all, firsts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "first"))
     for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
         text, key, content, check, start, count, left, right = runs_of(values, offsets)
-        ids = ids_all[lo : lo + n][text]
+        ids, start = ids_all[lo : lo + n][text], start + firsts[lo : lo + n][text]
         bucket = _top(key, bits)
         if len(hot):
             is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
@@ -156,6 +157,14 @@ def _packed_runs(batch: pa.RecordBatch, bits: int, hot: np.ndarray, hot_bits: in
         yield _packed(bucket, ids, key, content, check, start, count, left, right)
 
 
+def in_pieces(texts: DataFrame, size: int = PART_BYTES) -> DataFrame:
+    """doc_id, first, body: texts of more than `size` bytes cut so that each string of DEPTH bytes starts in one piece, and lies in it."""
+    cut = F.expr(f"transform(sequence(0L, (octet_length(body) - {DEPTH}) div {size}), i -> struct(i * {size} as first, substring(body, cast(i * {size} + 1 as int), {size + DEPTH - 1}) as body))")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("body").alias("body")))
+    parts = F.when(F.octet_length("body") <= size, whole).otherwise(cut)
+    return texts.select("doc_id", F.explode(parts).alias("x")).select("doc_id", "x.first", "x.body")
+
+
 def _packed(bucket: np.ndarray, ids: np.ndarray, key: np.ndarray, content: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     order, again = repeats_within(key, content, check, ids)
     bucket = np.where(again, -1, bucket[order])
@@ -259,36 +268,64 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in runs], pa.int64()), pa.array([doc] * len(runs), pa.int64()), pa.array([r["start"] for r in runs], pa.int32()), pa.array(data, pa.binary())], ["key", "doc_id", "start", "bytes"])
 
 
-def refined_buckets(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A number for each start, equal for equal strings of DEPTH bytes, by bucket-pointer refinement.
+def refined_order(text: np.ndarray, waves: int = WAVES) -> tuple[np.ndarray, np.ndarray]:
+    """(order, pointer) of all suffixes by at least their first DEPTH bytes, by bucket-pointer refinement; beyond its end the text counts as zeros.
 
-    A bucket's pointer is the index of its first suffix in the order; refining a bucket moves its suffixes' pointers to
-    the first index of their new bucket. Single suffixes keep theirs and are not sorted again.
+    Suffixes start in buckets of their Q-grams. A bucket's pointer is the index of its first suffix in the order. A bucket
+    is refined by sorting its suffixes by the pointers Q bytes further on; the new buckets get their pointers at once and
+    are refined by those another Q bytes further on, before the next buckets have their turn, which then sort by the
+    pointers already moved. `waves` tells in how many turns the first buckets are taken.
     """
-    n = len(text) - 7
-    grams = np.lib.stride_tricks.sliding_window_view(text, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    pointer = np.empty(n, np.int64)
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(DEPTH + 2 * Q, np.uint8)])
+    grams = np.lib.stride_tricks.sliding_window_view(padded, 8)[: n + 8].copy().view(">u8").ravel().astype(np.uint64)
+    order = np.lexsort((grams[8:], grams[:n]))
+    first = grams[order]
+    second = grams[order + 8]
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    pointer = np.full(n + DEPTH + Q, -1, np.int64)  # suffixes beyond the end come first
     pointer[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    known = 8
-    for shift in (8, 16, DEPTH - 32):
-        sizes = np.bincount(pointer, minlength=n)
-        active = np.flatnonzero(sizes[pointer] > 1) if known < 32 else starts[sizes[pointer[starts]] > 1]
-        active = active[active + shift < n]
-        later = pointer[active + shift]
-        by = np.lexsort((later, pointer[active]))
-        a, p, q = active[by], pointer[active][by], later[by]
-        if not len(a):
-            break
-        bucket = np.concatenate([[True], p[1:] != p[:-1]])
-        within = np.arange(len(a)) - np.maximum.accumulate(np.where(bucket, np.arange(len(a)), 0))
-        parts = bucket | np.concatenate([[True], q[1:] != q[:-1]])
-        moved = pointer.copy()
-        moved[a] = p + within[np.maximum.accumulate(np.where(parts, np.arange(len(a)), 0))]
-        pointer, known = moved, known + shift
-    return pointer[starts]
+
+    def refine(lo: int, hi: int, shift: int) -> None:
+        members = order[lo:hi]
+        own = pointer[members]
+        size = np.bincount(own - lo, minlength=hi - lo)
+        places = lo + np.flatnonzero(size[own - lo] > 1)
+        members = order[places]
+        if not len(members):
+            return
+        later = pointer[members + shift]
+        by = np.lexsort((later, pointer[members]))
+        members, later = members[by], later[by]
+        own = pointer[members]
+        order[places] = members
+        head = np.concatenate([[True], (own[1:] != own[:-1]) | (later[1:] != later[:-1])])
+        pointer[members] = np.maximum.accumulate(np.where(head, places, 0))
+        if shift + Q < DEPTH:
+            refine(lo, hi, shift + Q)
+
+    heads = np.flatnonzero(new)
+    cuts = np.unique(heads[np.searchsorted(heads, np.arange(0, n, max(1, -(-n // waves))), side="right") - 1])
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=True):
+        refine(lo, hi, Q)
+    return order, pointer[:n]
+
+
+def equal_strings(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each start, the same for equal strings of DEPTH bytes, which the order puts side by side; neighbours are compared byte by byte."""
+    _, pointer = refined_order(text)
+    by = np.argsort(pointer[starts], kind="stable")
+    ranked = starts[by]
+    new = np.ones(len(ranked), bool)
+    new[1:] = pointer[ranked[1:]] != pointer[ranked[:-1]]
+    view = np.lib.stride_tricks.sliding_window_view(text, DEPTH)
+    apart = np.flatnonzero(new[1:]) + 1
+    for lo in range(0, len(apart), 1 << 15):
+        at = apart[lo : lo + (1 << 15)]
+        new[at] = (view[ranked[at]] != view[ranked[at - 1]]).any(1)
+    group = np.empty(len(starts), np.int64)
+    group[by] = np.cumsum(new)
+    return group
 
 
 def _refine_bucket(ids: list[int], first: list[int], data: list[bytes]) -> pa.RecordBatch:
@@ -299,7 +336,7 @@ def _refine_bucket(ids: list[int], first: list[int], data: list[bytes]) -> pa.Re
     count = sizes - DEPTH + 1
     owner = np.repeat(np.arange(len(data)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    group = refined_buckets(text, offsets[owner] + nth)
+    group = equal_strings(text, offsets[owner] + nth)
     doc = np.array(ids)[owner]
     order = np.lexsort((doc, group))
     g, d = group[order], doc[order]
@@ -422,7 +459,7 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = prints.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(20, max(BUCKET_BITS, int(np.ceil(np.log2(max(total, 1) / BUCKET_TEXT)))))  # so a bucket does not grow with the corpus
     hot, n_hot = hot_keys(texts.select("doc_id", "body"), SAMPLE, HOT_RUNS)
-    runs = texts.select("doc_id", "body").mapInArrow(_run_batches(bits, hot, bucket_bits(n_hot)), RUNS)
+    runs = in_pieces(texts.select("doc_id", "body")).mapInArrow(_run_batches(bits, hot, bucket_bits(n_hot)), RUNS)
     found = staged(by_bucket(runs).mapInArrow(_settle_batches, "doc_id long, start int, strings int, key long"), "substring-runs")
 
     unclear = found.filter("key is not null")
