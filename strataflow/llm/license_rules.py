@@ -7,8 +7,9 @@ starts within another's, the longer is taken. Each is mapped to its number. A ru
 ordered list of such numbers; it matches where its numbers follow one another among the text's known sentences.
 
 Defined cases: null and empty texts have no sentences; rows are independent, so null and repeated ids are kept; sentences
-repeated in a row count each; longer rules win over rules within them only by being reported beside them; an empty table
-gives an empty result. Only the id and text column are read. Nothing is joined or shuffled: the sentences are a literal.
+repeated in a row count each; where a rule's sentences stand within those of a longer rule that matches, only the longer
+one counts; long texts are matched whole, by patterns that scan each stretch once; an empty table gives an empty result.
+Only the id and text column are read, so others never clash. Nothing is joined or shuffled: the sentences are a literal.
 """
 
 from __future__ import annotations
@@ -55,11 +56,17 @@ def numbered() -> tuple[list[str], list[tuple[str, list[int]]]]:
     return list(known), rules
 
 
-#: Each known sentence, as written or normalised, holds one of these; a test checks the list against RULES.
-ANCHORS = ("licen", "permission", "redistribut", "copyright", "free software", "free and unencumbered", "contributors", "version 2", "2.0.", "mpl was", "rights reserved", "cc0", "cc by", "free\\s+software")
+def marks(ids: list[int]) -> str:
+    """Sentence numbers as they stand in a trail."""
+    return "".join(f",{i}," for i in ids)
 
 
-#: The same without blanks between words, whatever these are in the text: texts without any are passed over.
+def longer(rules: list[tuple[str, list[int]]], ids: list[int]) -> list[list[int]]:
+    """The rules' sequences, longest first, that hold ids and more."""
+    return sorted({tuple(seq) for _, seq in rules if len(seq) > len(ids) and marks(ids) in marks(seq)}, key=len, reverse=True)
+
+
+#: Each known sentence holds one of these, without blanks between words, whatever these are in the text: texts without any are passed over.
 WORDS = "licen|permission|redistribut|copyright|software|contributors|mpl|reserved|cc0|2[^a-z0-9]+0"
 CUT = "\u0001"
 
@@ -83,8 +90,15 @@ def license_findings(documents: DataFrame, id_col: str = "doc_id", text_col: str
     met = F.regexp_extract_all(normal_lines(F.col("text")), F.lit(pattern), F.lit(0))
     ids = F.transform(met, lambda s: F.element_at(numbers, F.translate(s, "\n", " ")))
     found = rows.select("doc_id", ids.alias("sentence_ids")).filter(F.size("sentence_ids") > 0)
-    trail = found.withColumn("trail", F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(",")))
-    hits = F.array(*(F.when(F.col("trail").contains("," + ",".join(map(str, seq)) + ","), F.lit(name)) for name, seq in rules))
+    trail = found.withColumn("trail", F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ",,"), F.lit(",")))
+
+    def matched(ids: list[int]) -> Column:
+        left = F.col("trail")
+        for seq in longer(rules, ids):
+            left = F.replace(left, F.lit(marks(seq)), F.lit("-"))
+        return left.contains(marks(ids))
+
+    hits = F.array(*(F.when(matched(seq), F.lit(name)) for name, seq in rules))
     return trail.select("doc_id", "sentence_ids", F.array_sort(F.array_distinct(F.array_compact(hits))).alias("licenses"))
 
 
@@ -96,14 +110,21 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     known, rules = numbered()
     values = ", ".join(f"('{s}', {i})" for i, s in enumerate(known, 1))
-    cases = ", ".join(f"CASE WHEN contains(trail, ',{','.join(map(str, seq))},') THEN '{name}' END" for name, seq in rules)
+
+    def left(ids: list[int]) -> str:
+        out = "trail"
+        for seq in longer(rules, ids):
+            out = f"replace({out}, '{marks(seq)}', '-')"
+        return out
+
+    cases = ", ".join(f"CASE WHEN contains({left(seq)}, '{marks(seq)}') THEN '{name}' END" for name, seq in rules)
     return f"""
 WITH known(sentence, id) AS (VALUES {values}),
 cut AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), '\\n+') AS parts FROM documents),
 flat AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM cut),
 numbered AS (SELECT doc_id, place, id FROM flat JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence),
 trails AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) AS sentence_ids FROM numbered GROUP BY doc_id),
-marked AS (SELECT doc_id, sentence_ids, ',' || sentence_ids || ',' AS trail FROM trails)
+marked AS (SELECT doc_id, sentence_ids, ',' || replace(sentence_ids, ',', ',,') || ',' AS trail FROM trails)
 SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ',') AS licenses FROM marked
 """
 
