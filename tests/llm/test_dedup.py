@@ -314,13 +314,27 @@ def test_substrings_split_hot_keys(spark, monkeypatch):
 
 def test_bucket_pointers_sort_strings():
     rng = np.random.default_rng(2)
-    text = rng.choice(np.frombuffer(b"ab", np.uint8), 3000)
-    text[1000:1200] = text[200:400]
-    starts = np.arange(len(text) - 57)
-    pointer = substring_dedup.refined_buckets(text, starts)
-    strings = [text[s : s + 50].tobytes() for s in starts]
-    first = {}
-    assert all(first.setdefault(s, p) == p for s, p in zip(strings, pointer.tolist(), strict=True)) and len(set(pointer.tolist())) == len(set(strings))
+    for letters, waves in ((b"ab", 8), (b"a", 3), (b"abcdefgh", 1), (b"ab", 50)):
+        text = rng.choice(np.frombuffer(letters, np.uint8), 3000)
+        text[1000:1200] = text[200:400]
+        text[2900:] = text[:100]
+        order, _ = substring_dedup.refined_order(text, waves)
+        suffixes = [text[i : i + 50].tobytes().ljust(50, b"\0") for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(3000)) and suffixes == sorted(suffixes)
+        starts = np.arange(len(text) - 49)
+        group = substring_dedup.equal_strings(text, starts)
+        strings = [text[s : s + 50].tobytes() for s in starts]
+        first = {}
+        assert all(first.setdefault(s, p) == p for s, p in zip(strings, group.tolist(), strict=True)) and len(set(group.tolist())) == len(set(strings))
+
+
+def test_substrings_of_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup.in_pieces, "__defaults__", (500,))
+    base, other = prose(70, 400), prose(71, 60)
+    rows = [(1, base), (2, other + base[450:560] + other[:30]), (3, base[:1040] + "!" + base[1041:]), (4, "#" * 500 + base[960:1030] + "#" * 430), (5, base[:499]), (6, base[:500]), (7, base[1:551])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(len(r.body) for r in substring_dedup.in_pieces(docs.selectExpr("doc_id", "cast(text as binary) as body")).collect()) == 549
+    assert {r.doc_id: tuple(r)[1:] for r in op5(spark, docs, monkeypatch).collect()} == brute_substrings(rows)
 
 
 def test_lookup_join_beyond_the_broadcast(spark):
