@@ -2,7 +2,8 @@
 
 Every stage works on all rows that the one before it kept, and all but the last return the columns of documents. Rows are
 carried through by joining decisions back to them by doc_id; a null id is kept by every filter but the quality score,
-which judges its text like any other.
+which judges its text like any other. Rows repeated with their id stay or go together; of texts that tie, the operator's
+own rule says which stays; null texts count as empty; an empty table gives empty stages. Long texts are treated whole.
 """
 
 from __future__ import annotations
