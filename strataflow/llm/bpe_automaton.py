@@ -33,6 +33,7 @@ from strataflow.llm.common import bounded_batches, table
 from strataflow.llm.lexer import Lexer, byte_chars, list_array
 
 END = 256  # added to a word's last byte where the file marks word ends
+PIECES = 150_000  # a task's pieces: beside the tables, two workers of an executor hold them twice
 WORD_BYTES = 1 << 17  # of words encoded at a time: about 200 times that is held
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -297,7 +298,7 @@ def compiled(spec: str) -> Automaton:
 
 
 def automaton_lexer(spec: str, machine: Automaton) -> Lexer:
-    return Lexer(spec, "<i4", machine.encode_words)
+    return Lexer(spec, "<i4", machine.encode_words, PIECES)
 
 
 def tokenizer_spec(path: str) -> str:
