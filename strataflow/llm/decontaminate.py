@@ -97,3 +97,17 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "do
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: By another way: any window of 13 words with at most two substitutions holds four equal words in a row.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS y FROM benchmark),
+dg AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS pos FROM d)),
+bg AS (SELECT item_id, pos, array_to_string(y[pos:pos + 3], ' ') AS g FROM (SELECT item_id, y, unnest(range(1, len(y) - 2)) AS pos FROM b)),
+short AS (SELECT doc_id, item_id, pos - 1 AS shift FROM (SELECT doc_id, w, item_id, y, unnest(range(1, len(w) - len(y) + 2)) AS pos FROM d, b WHERE len(y) BETWEEN 1 AND 3) WHERE w[pos:pos + len(y) - 1] = y),
+hits AS (SELECT DISTINCT doc_id, item_id, dg.pos - bg.pos AS shift FROM dg JOIN bg USING (g) UNION SELECT * FROM short),
+laid AS (SELECT doc_id, item_id, shift, len(w) AS n, least(13, len(y)) AS size, CASE WHEN len(y) < 13 THEN len(y) ELSE 11 END AS need, len(y) AS m, list_transform(range(1, len(y) + 1), lambda p: CASE WHEN p + shift >= 1 AND w[p + shift] = y[p] THEN 1 ELSE 0 END) AS same FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+found AS (SELECT doc_id, item_id, shift, size, list_filter(range(1, m - size + 2), lambda s: s + shift >= 1 AND s + size - 1 + shift <= n AND list_sum(same[s:s + size - 1]) >= need) AS good FROM laid)
+SELECT doc_id, item_id, CAST(min(list_min(good) + shift - 1) AS BIGINT) AS first_word, CAST(max(list_max(good) + size - 1 + shift) AS BIGINT) AS end_word FROM found WHERE len(good) > 0 GROUP BY doc_id, item_id
+"""
