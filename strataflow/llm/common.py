@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,26 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("strataflow.batchBytes", str(BATCH)))
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back to the system: workers are used again by later tasks, and the C library would else keep what large arrays took."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        glibc = hasattr(libc, "malloc_trim")
+        if glibc:
+            libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays from here on are mapped, and unmapped when freed
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if glibc:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
     bounded_batches(spark)
@@ -52,7 +76,7 @@ def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str,
         return rows.join(F.broadcast(small), list(on), how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-    return salted.join(spread.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:

@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op3_warc_archive": warc.OP3_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_license_rules": license_rules.OP7_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }

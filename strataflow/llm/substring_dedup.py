@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import lookup_join, staged, table
+from strataflow.llm.common import lean, lookup_join, staged, table
 from strataflow.llm.order_minhash import _powers, binary_parts, mixed
 
 DEPTH, Q = 50, 16
-PART_BYTES = 1 << 20  # of text at a time: a task holds about 150 times that
+PART_BYTES = 1 << 19  # of text at a time: a task holds about 150 times that
 BUCKET_BITS, BUCKET_TEXT = 8, 4 << 20  # buckets at least, and bytes of text for each beyond that
 BUCKET_RUNS = 250_000  # that many are in BUCKET_TEXT
 POSITION_BITS = 28
@@ -131,12 +131,12 @@ def met_elsewhere(key: np.ndarray, side: np.ndarray, ids: np.ndarray) -> np.ndar
     return order[np.repeat(several, np.diff(np.append(heads, len(k))))]
 
 
-def _run_batches(bits: int, hot: np.ndarray, hot_bits: int):
+def _run_batches(bits: int, hot: np.ndarray, hot_bits: int, size: int):
     """Runs packed by one of 2**bits buckets of their key, or 2**hot_bits of their content for the sorted keys in hot; bucket -1 holds runs that equal one of a smaller id in the same part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _packed_runs(batch, bits, hot, hot_bits)
+            yield from _packed_runs(batch, bits, hot, hot_bits, size)
 
     return pack
 
@@ -145,11 +145,22 @@ def _top(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _packed_runs(batch: pa.RecordBatch, bits: int, hot: np.ndarray, hot_bits: int) -> Iterator[pa.RecordBatch]:
-    ids_all, firsts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "first"))
-    for lo, n, values, offsets in binary_parts(batch, "body", PART_BYTES):
+def pieces(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, first byte, bytes, offsets) of parts of about `size` bytes; a longer text is cut so that each string of DEPTH bytes starts in one part, and lies in it."""
+    for lo, n, values, offsets in binary_parts(batch, "body", size):
+        if n > 1 or len(values) < size + DEPTH:
+            yield lo, n, 0, values, offsets
+            continue
+        for at in range(0, len(values) - DEPTH + 1, size):
+            part = values[at : at + size + DEPTH - 1]
+            yield lo, 1, at, part, np.array([0, len(part)])
+
+
+def _packed_runs(batch: pa.RecordBatch, bits: int, hot: np.ndarray, hot_bits: int, size: int) -> Iterator[pa.RecordBatch]:
+    ids_all = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, n, at, values, offsets in pieces(batch, size):
         text, key, content, check, start, count, left, right = runs_of(values, offsets)
-        ids, start = ids_all[lo : lo + n][text], start + firsts[lo : lo + n][text]
+        ids, start = ids_all[lo : lo + n][text], start + at
         bucket = _top(key, bits)
         if len(hot):
             is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
@@ -157,14 +168,6 @@ def _packed_runs(batch: pa.RecordBatch, bits: int, hot: np.ndarray, hot_bits: in
         yield _packed(bucket, ids, key, content, check, start, count, left, right)
 
 
-def in_pieces(texts: DataFrame, size: int = PART_BYTES) -> DataFrame:
-    """doc_id, first, body: texts of more than `size` bytes cut so that each string of DEPTH bytes starts in one piece, and lies in it."""
-    cut = F.expr(f"transform(sequence(0L, (octet_length(body) - {DEPTH}) div {size}), i -> struct(i * {size} as first, substring(body, cast(i * {size} + 1 as int), {size + DEPTH - 1}) as body))")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("body").alias("body")))
-    parts = F.when(F.octet_length("body") <= size, whole).otherwise(cut)
-    return texts.select("doc_id", F.explode(parts).alias("x")).select("doc_id", "x.first", "x.body")
-
-
 def _packed(bucket: np.ndarray, ids: np.ndarray, key: np.ndarray, content: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     order, again = repeats_within(key, content, check, ids)
     bucket = np.where(again, -1, bucket[order])
@@ -200,7 +203,7 @@ def hot_keys(texts: DataFrame, sample: int, most: int) -> tuple[np.ndarray, int]
     """Sorted keys that a sample finds in more than `most` different runs, and the runs that they have by it. There are at most total runs / most of them."""
     pieces = F.expr(f"filter(sequence(0L, (octet_length(body) - 1) div {PIECE}), i -> pmod(xxhash64(doc_id, i), {sample}) = 0)")
     cut = texts.withColumn("i", F.explode(pieces)).select("doc_id", F.expr(f"substring(body, cast(i * {PIECE} + 1 as int), {PIECE})").alias("body"))
-    counted = cut.mapInArrow(_key_counts, "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
+    counted = cut.mapInArrow(lean(_key_counts), "key long, runs long").groupBy("key").agg(F.sum("runs").alias("runs"))
     found = counted.filter(F.col("runs") * sample > most).collect()
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64)), sample * sum(r["runs"] for r in found)
 
@@ -440,7 +443,7 @@ def by_bucket(runs: DataFrame) -> DataFrame:
 def contexts_of(texts: DataFrame, unclear: DataFrame) -> DataFrame:
     """key, doc_id, start, bytes of unclear runs."""
     lists = unclear.groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings", "key")).alias("runs"))
-    return meeting(texts, staged(lists, "substring-unclear")).mapInArrow(_context_batches, "key long, doc_id long, start int, bytes binary")
+    return meeting(texts, staged(lists, "substring-unclear")).mapInArrow(lean(_context_batches), "key long, doc_id long, start int, bytes binary")
 
 
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -459,8 +462,8 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = prints.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(20, max(BUCKET_BITS, int(np.ceil(np.log2(max(total, 1) / BUCKET_TEXT)))))  # so a bucket does not grow with the corpus
     hot, n_hot = hot_keys(texts.select("doc_id", "body"), SAMPLE, HOT_RUNS)
-    runs = in_pieces(texts.select("doc_id", "body")).mapInArrow(_run_batches(bits, hot, bucket_bits(n_hot)), RUNS)
-    found = staged(by_bucket(runs).mapInArrow(_settle_batches, "doc_id long, start int, strings int, key long"), "substring-runs")
+    runs = texts.select("doc_id", "body").mapInArrow(lean(_run_batches(bits, hot, bucket_bits(n_hot), PART_BYTES)), RUNS)
+    found = staged(by_bucket(runs).mapInArrow(lean(_settle_batches), "doc_id long, start int, strings int, key long"), "substring-runs")
 
     unclear = found.filter("key is not null")
     many = staged(unclear.groupBy("key").agg(F.count("*").alias("runs")).filter(F.col("runs") > HOT_CONTEXTS), "substring-hot")
@@ -468,15 +471,15 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     many = many.select("key")
     contexts = contexts_of(texts, lookup_join(unclear, many, ["key"], "left_anti", ["doc_id"]) if n_many else unclear)
     sorted_contexts = contexts.repartition("key").sortWithinPartitions("key")
-    more = staged(sorted_contexts.mapInArrow(_refine_batches, "doc_id long, start int, strings int"), "substring-more")
+    more = staged(sorted_contexts.mapInArrow(lean(_refine_batches), "doc_id long, start int, strings int"), "substring-more")
     if n_many:
         contexts = contexts_of(texts, lookup_join(unclear, many, ["key"], "left_semi", ["doc_id"]))
         strings = contexts.mapInArrow(_string_batches(bucket_bits(n_many * (DEPTH - Q + 1))), RUNS)
-        more = more.unionByName(staged(by_bucket(strings).mapInArrow(_settle_strings, "doc_id long, start int, strings int"), "substring-strings"))
+        more = more.unionByName(staged(by_bucket(strings).mapInArrow(lean(_settle_strings), "doc_id long, start int, strings int"), "substring-strings"))
 
     covered = found.filter("key is null").select("doc_id", "start", "strings").unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
     cut = meeting(texts, staged(covered, "substring-covered"))
-    cut = cut.mapInArrow(_cut_batches, "doc_id long, edges array<int>, kept binary")
+    cut = cut.mapInArrow(lean(_cut_batches), "doc_id long, edges array<int>, kept binary")
     whole = lookup_join(prints, first, ["sha"], "left", ["doc_id"])
     whole = lookup_join(whole, odd, ["doc_id"], "left", ["doc_id"])
     whole = whole.withColumn("takes_part", F.expr("doc_id is not null and (lo is null or sha = lo)")).drop("lo")
@@ -501,3 +504,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("whole"), 1).when(cut_here, F.col("spans")).otherwise(0).cast("long").alias("n_spans"),
         F.when(F.col("whole"), F.lit(digest(b""))).when(cut_here, F.lower(F.hex("kept_sha"))).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
+
+
+#: By another way: every string of 50 bytes, in hexadecimal digits, with the smallest document that has it.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+f AS (SELECT k, min(doc_id) AS lo FROM s GROUP BY k),
+r AS (SELECT doc_id, p FROM s JOIN f USING (k) WHERE doc_id > lo),
+g AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, run),
+cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda i: CASE WHEN i = 1 THEN substr(h, 1, 2 * starts[1]) WHEN i = n + 1 THEN substr(h, 2 * stops[n] + 1) ELSE substr(h, 2 * stops[i - 1] + 1, 2 * (starts[i] - stops[i - 1])) END), '') END AS left_hex FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(left_hex)) AS kept_sha256 FROM kept
+"""
