@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import DATA, rows_of
@@ -328,12 +329,17 @@ def test_bucket_pointers_sort_strings():
         assert all(first.setdefault(s, p) == p for s, p in zip(strings, group.tolist(), strict=True)) and len(set(group.tolist())) == len(set(strings))
 
 
+def test_substring_query_equals_sql(spark, duck):
+    assert rows_of(substring_dedup.op5_substring_dedup(spark, DATA).toPandas()) == rows_of(duck.execute(substring_dedup.OP5_SQL).df())
+
+
 def test_substrings_of_long_texts_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup.in_pieces, "__defaults__", (500,))
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 500)
     base, other = prose(70, 400), prose(71, 60)
     rows = [(1, base), (2, other + base[450:560] + other[:30]), (3, base[:1040] + "!" + base[1041:]), (4, "#" * 500 + base[960:1030] + "#" * 430), (5, base[:499]), (6, base[:500]), (7, base[1:551])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert max(len(r.body) for r in substring_dedup.in_pieces(docs.selectExpr("doc_id", "cast(text as binary) as body")).collect()) == 549
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "body": [base.encode()]})
+    assert {len(x[3]) for x in substring_dedup.pieces(batch, 500)} >= {549} and max(len(x[3]) for x in substring_dedup.pieces(batch, 500)) == 549
     assert {r.doc_id: tuple(r)[1:] for r in op5(spark, docs, monkeypatch).collect()} == brute_substrings(rows)
 
 

@@ -389,7 +389,8 @@ def test_leaks(spark, awkward, nothing, monkeypatch, limit):
     assert clean.columns == frame.columns
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.overlaps(nothing, bench).count() == 0 and decontaminate.overlaps(frame, bench.limit(0)).count() == 0
-    assert decontaminate.overlaps(awkward, bench).count() >= 0
+    odd = spark.createDataFrame([(1, "word"), (2, None), (None, "word"), (1, "lonely words without a number")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.first_word, r.end_word) for r in decontaminate.overlaps(awkward, odd).collect()} == {(9, 1, 0, 1), (10, 1, 0, 1), (None, 1, 0, 5)}
 
 
 def test_leaks_on_the_table(spark):
@@ -398,6 +399,33 @@ def test_leaks_on_the_table(spark):
     assert got == brute_overlaps([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_leaks_equal_sql(spark):
+    """Items of all lengths, substitutions, and spans at the ends of texts."""
+    import duckdb
+
+    rng = random.Random(12)
+    items = [(k, prose(700 + k, rng.choice([1, 2, 3, 4, 6, 9, 13, 30]))) for k in range(14)]
+    docs = []
+    for d in range(60):
+        cut = rng.choice(items)[1].split()
+        cut = cut[: rng.choice([len(cut), 12, 15])]
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            cut[rng.randrange(len(cut))] = rng.choice(WORDS)
+        words = prose(800 + d, 40).split()
+        at = rng.choice([0, 13, 40])
+        docs.append((d, "; ".join(words[:at] + cut + words[at:])))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    con.register("benchmark", bench.toPandas())
+    want = con.execute(decontaminate.OP10_SQL).df()
+    assert len(want) > 15 and rows_of(decontaminate.overlaps(frame, bench).toPandas()) == rows_of(want)
+
+
+def test_leaks_query_equals_sql(spark, duck):
+    assert rows_of(decontaminate.op10_decontaminate(spark, DATA).toPandas()) == rows_of(duck.execute(decontaminate.OP10_SQL).df())
+
+
 # ---- pipeline
 
 
