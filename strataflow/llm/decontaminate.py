@@ -75,7 +75,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     again = again.select("doc_id", words_of(F.col("text")).alias("words"), "places").select("doc_id", "words", F.explode("places").alias("p"))
     base = F.greatest(F.lit(0), F.col("p.shift"))
     cut = again.select("doc_id", F.col("p.item_id").alias("item_id"), F.col("p.shift").alias("shift"), base.alias("base"), F.size("words").alias("n"), "words")
-    item_words = items.select("item_id", F.col("words").alias("y")).filter("item_id is not null")
+    # every item with a word has a seed, and at most seven words more than seeds: the count of seeds bounds these too
+    item_words = items.select("item_id", F.col("words").alias("y")).filter("item_id is not null and size(words) > 0")
     size = F.size("y")
     both = cut.join(F.broadcast(item_words) if small else item_words, "item_id")
     skip = F.col("base") - F.col("shift")
