@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import bounded_batches, table
+from strataflow.llm.common import bounded_batches, lean, table
 from strataflow.llm.lexer import Lexer, byte_chars, list_array
 
 END = 256  # added to a word's last byte where the file marks word ends
@@ -360,7 +360,7 @@ def encode_documents(documents: DataFrame, path: str, id_col: str = "doc_id", te
                     columns["decoded"] = pa.array([" ".join(names[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return _texts(documents, id_col, text_col).mapInArrow(encode, "doc_id long, ids array<int>" + ", decoded string" * decode)
+    return _texts(documents, id_col, text_col).mapInArrow(lean(encode), "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

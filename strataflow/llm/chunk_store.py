@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataflow.llm.bpe_automaton import parts, tokenizer_spec, vocabulary
-from strataflow.llm.common import shared_dir, staged, table
+from strataflow.llm.common import lean, shared_dir, staged, table
 from strataflow.llm.lexer import Lexer
 
 WINDOW = 16
@@ -114,7 +114,7 @@ def encoded_chunks(documents: DataFrame, path: str, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), lists[0], lists[1], pa.array(roots, pa.binary()), lists[2]], names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(encode, f"{ROW}, chunks array<binary>")
+    return rows.mapInArrow(lean(encode), f"{ROW}, chunks array<binary>")
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import lookup_join, staged, table
+from strataflow.llm.common import lean, lookup_join, staged, table
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -87,7 +87,7 @@ def fingerprinted(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
     """doc_id, n_bytes, sha (binary), h1, h2 of each row of docs(doc_id, body)."""
     rows = docs.withColumn("n_bytes", F.octet_length("body").cast("long"))
     sha = F.unhex(F.sha2("body", 256))
-    small = rows.filter(F.col("n_bytes") <= huge_bytes).select("doc_id", "n_bytes", sha.alias("sha"), "body").mapInArrow(_hash_batches, "doc_id long, n_bytes long, sha binary, h1 long, h2 long")
+    small = rows.filter(F.col("n_bytes") <= huge_bytes).select("doc_id", "n_bytes", sha.alias("sha"), "body").mapInArrow(lean(_hash_batches), "doc_id long, n_bytes long, sha binary, h1 long, h2 long")
     return small.unionByName(huge_fingerprints(rows.filter(F.col("n_bytes") > huge_bytes), sha, huge_bytes))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import BROADCAST_ROWS, lookup_join, staged, table
+from strataflow.llm.common import BROADCAST_ROWS, lean, lookup_join, staged, table
 from strataflow.llm.components import components
 
 K = 5
@@ -272,7 +272,7 @@ def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     members = with_text(placed).select("leader", "block", F.col("doc_id").alias("member"), "body")
     heads = with_text(leaders.withColumnsRenamed({"leader": "doc_id"})).select(F.col("doc_id").alias("leader"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("member"), "body")
     dealt = heads.unionByName(members).repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("member").asc_nulls_first())
-    return staged(dealt.mapInArrow(_compare(threshold), COMPARED), "omh-compared")
+    return staged(dealt.mapInArrow(lean(_compare(threshold)), COMPARED), "omh-compared")
 
 
 def _kmer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def _kmer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def own_kmers(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """member, own: how many labelled k-mers of a text stand in no other text of ids(doc_id); rows with one at least."""
-    kmers = lookup_join(docs, ids, ["doc_id"], "left_semi", ["doc_id"]).mapInArrow(_kmer_batches, "doc_id long, kmer long")
+    kmers = lookup_join(docs, ids, ["doc_id"], "left_semi", ["doc_id"]).mapInArrow(lean(_kmer_batches), "doc_id long, kmer long")
     single = kmers.groupBy("kmer").agg(F.min("doc_id").alias("member"), F.max("doc_id").alias("last")).filter("member = last")
     return staged(single.groupBy("member").agg(F.count("*").cast("int").alias("own")), "omh-own")
 
@@ -318,7 +318,7 @@ def crossing(docs: DataFrame, met: DataFrame, groups: DataFrame, threshold: floa
 def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), kept (whether it is that one) for each row."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("body"))
-    sig = staged(docs.mapInArrow(_sketch_batches, "doc_id long, kmers int, fp1 long, fp2 long, keys array<long>"), "omh-sketches")
+    sig = staged(docs.mapInArrow(lean(_sketch_batches), "doc_id long, kmers int, fp1 long, fp2 long, keys array<long>"), "omh-sketches")
     same = sig.filter("kmers > 0 and doc_id is not null").groupBy("kmers", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same = staged(same, "omh-same")
     nodes = lookup_join(sig, same, ["kmers", "fp1", "fp2"], "left", ["doc_id"]).withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm import text_stats
-from strataflow.llm.common import staged, table
+from strataflow.llm.common import lean, staged, table
 from strataflow.llm.text_stats import STATS, matrix, stats_batches
 
 FEATURES = 256
@@ -151,7 +151,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, max_rows: int = MAX
 def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    stats = staged(rows.mapInArrow(stats_batches, "doc_id long, stats array<float>"), "quality-stats")
+    stats = staged(rows.mapInArrow(lean(stats_batches), "doc_id long, stats array<float>"), "quality-stats")
     model = fit(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias(label_col)), label_col, max_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
                 values[lo : lo + 2048] = model.score(matrix(batch.slice(lo, 2048), "stats"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(score, "doc_id long, score double")
+    scored = stats.mapInArrow(lean(score), "doc_id long, score double")
     held = F.coalesce(remainder("doc_id") == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
