@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, license_rules, order_minhash, quality, substring_dedup, toxicity, warc
+from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, filter_audit, license_rules, order_minhash, quality, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chunk_store": chunk_store.op8_chunk_store,
     "op9_bpe_automaton": bpe_automaton.op9_bpe_automaton,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_license_rules": license_rules.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
