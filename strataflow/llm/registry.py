@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, filter_audit, license_rules, order_minhash, prefix_trie, quality, substring_dedup, toxicity, warc
+from strataflow.llm import bpe_automaton, chunk_store, decontaminate, exact_dedup, filter_audit, license_rules, order_minhash, prefix_trie, quality, substring_dedup, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_order_minhash": order_minhash.op1_order_minhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chunk_store": chunk_store.op8_chunk_store,
     "op9_bpe_automaton": bpe_automaton.op9_bpe_automaton,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_syncmers": syncmers.op11_syncmers,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
