@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from strataflow.functions.scalar import rounded
 from strataflow.operators import features, folds, models
 from strataflow.plans import residual
-from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, curve, output_root, r6, wells
+from strataflow.operators.staging import output_root
+from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, curve, r6, wells
 from strataflow.sources.template import filled
 
 c = F.col

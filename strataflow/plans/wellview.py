@@ -5,8 +5,6 @@ WELLS_SQL and CURVE_SQL are the same views in DuckDB's dialect, for oracles.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,11 +15,6 @@ WELL = Order(("well_id",), ("row_id",))
 KNOWN_SHARE = 0.26
 
 
-def output_root(spark: SparkSession) -> str:
-    """Where queries that write put their files: the shared folder of the cluster, or one of their own where none is set (one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strataflow-shared").rstrip("/")
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 

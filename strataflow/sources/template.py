@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.sources import ordered
 
-def read_template(spark: SparkSession, path: str) -> DataFrame:
-    """place (from 0), id of a CSV file with the columns id and tvt, in file order.
 
-    The order is that of one file read whole by one task, as a template is a small file whose lines are its meaning.
-    """
-    rows = spark.read.option("header", True).option("enforceSchema", False).schema("id string, tvt double").csv(path).coalesce(1)
-    return rows.select(F.monotonically_increasing_id().alias("place"), "id")
+def read_template(spark: SparkSession, path: str) -> DataFrame:
+    """place (from 0), id of a CSV file with the columns id and tvt, in file order; a large file is read by many tasks."""
+    return ordered.numbered(spark, path, "id string, tvt double").select("place", "id")
 
 
 def filled(template: DataFrame, predictions: DataFrame, fallback: DataFrame, key: str, value: str) -> DataFrame:
@@ -31,6 +29,7 @@ def faults(template: DataFrame, result: DataFrame, key: str, value: str) -> dict
     return counts.asDict() | {"repeated": repeated}
 
 
-def write_result(result: DataFrame, path: str, key: str = "id", value: str = "tvt") -> None:
-    """One CSV file in the order of place."""
-    result.orderBy("place").select(key, value).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_result(result: DataFrame, folder: str, key: str = "id", value: str = "tvt") -> str:
+    """result (with place) as parts of CSV in a folder, and one file of them, whose path is returned."""
+    ordered.write_ordered(result.select("place", key, value), folder)
+    return ordered.joined(result.sparkSession, folder)

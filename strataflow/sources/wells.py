@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from strataflow.functions.scalar import finite
+from strataflow.sources import wellfiles
 
 TOPS = ("ANCC", "ASTNU", "ASTNL", "EGFDU", "EGFDL", "BUDA")
 TRAIN = "MD double, X double, Y double, Z double, " + ", ".join(f"{t} double" for t in TOPS) + ", TVT double, GR double, TVT_input double"
@@ -24,17 +23,9 @@ def pattern(root: str, split: str, kind: str) -> str:
 
 
 def read_wells(spark: SparkSession, root: str, split: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """well_id, row_id (line from 0) and the file's columns, NaN as NULL. Headers are checked against the schema: a different order or name is an error.
-
-    Files are read whole (far below a split's size), so that line numbers are those of the file.
-    """
-    schema = TRAIN if split == "train" else TEST
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(pattern(root, split, "horizontal"))
-    rows = rows.withColumn("well_id", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)__", 1))
-    order = Window.partitionBy("well_id").orderBy("_at")
-    numbered = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("row_id", (F.row_number().over(order) - 1).cast("long"))
-    names = columns or tuple(f.split()[0] for f in schema.split(", "))
-    return numbered.select("well_id", "row_id", *(finite(F.col(c)).alias(c) for c in names))
+    """well_id, row_id (line from 0), the file's columns (or those asked for) and bad_cells; an absent column is an error."""
+    known = dict(f.split() for f in (TRAIN if split == "train" else TEST).split(", "))
+    return wellfiles.read_wells(spark, f"{root}/{split}", {name: known[name] for name in columns or known})
 
 
 def read_curves(spark: SparkSession, root: str, split: str) -> DataFrame:
