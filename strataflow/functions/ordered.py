@@ -90,7 +90,7 @@ def rolling(x: Column, w: WindowSpec, kind: str) -> Column:
     if kind == "std":
         return F.when(F.count(x).over(w) >= 2, F.stddev_samp(x).over(w))
     if kind == "median":
-        return F.expr(f"percentile({x._jc.toString()}, 0.5)").over(w)
+        return F.percentile(x, 0.5).over(w)
     if kind == "rms":
         return F.sqrt(F.avg(x * x).over(w))
     return {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[kind](x).over(w)
@@ -101,14 +101,18 @@ def slope_per(x: Column, along: Column, o: Order) -> Column:
     return safe_divide(diff(x, o), diff(along, o))
 
 
-def gradient(y: Column, x: Column, o: Order) -> Column:
-    """Second-order differences on uneven steps, one-sided at the ends; 0 for groups of one row or without spread in x."""
+def stepwise(y: Column, x: Column, o: Order) -> Column:
+    """Second-order differences on uneven steps, one-sided at the ends; looks one row either way."""
     y0, y1, x0, x1 = F.lag(y).over(o.window), F.lead(y).over(o.window), F.lag(x).over(o.window), F.lead(x).over(o.window)
     a, b = x - x0, x1 - x
     inner = safe_divide(-b * y0, a * (a + b)) + safe_divide((b - a) * y, a * b) + safe_divide(a * y1, b * (a + b))
-    value = F.when(x0.isNull(), safe_divide(y1 - y, b)).when(x1.isNull(), safe_divide(y - y0, a)).otherwise(inner)
+    return F.when(x0.isNull(), safe_divide(y1 - y, b)).when(x1.isNull(), safe_divide(y - y0, a)).otherwise(inner)
+
+
+def gradient(y: Column, x: Column, o: Order) -> Column:
+    """stepwise(); 0 for groups of one row or without spread in x."""
     spread = F.stddev_pop(x).over(o.whole)
-    return F.when(F.coalesce(spread, F.lit(0.0)) < 1e-9, F.lit(0.0)).otherwise(value)
+    return F.when(F.coalesce(spread, F.lit(0.0)) < 1e-9, F.lit(0.0)).otherwise(stepwise(y, x, o))
 
 
 def wrapped(step: Column) -> Column:

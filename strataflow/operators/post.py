@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataflow.functions.scalar import clip
+from strataflow.operators.quantiles import quantiles
 
 
 def smoothed(predictions: DataFrame, id_col: str, value_col: str, window: int, share: float) -> DataFrame:
@@ -45,9 +46,9 @@ def median_optimum(alphas: Sequence[float], taus: Sequence[float | None], least_
 
 
 def quantile_clip(rows: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
-    """Adds clipped: value within its own quantiles, found in one aggregate."""
-    bounds = rows.agg(F.expr(f"percentile({value}, array({lo}, {hi}))").alias("_q"))
-    return rows.crossJoin(F.broadcast(bounds)).withColumn("clipped", clip(F.col(value), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    """Adds clipped: value within its own exact quantiles, which are found before (a few passes over the column)."""
+    least, most = quantiles(rows, value, [lo, hi])
+    return rows.withColumn("clipped", F.col(value) if least is None else clip(F.col(value), least, most))
 
 
 def confidence_gate(corr: Column, missing: Column, local_gap: Column, local_min: Column, path_gap: Column, curvature: Column, frac: Column) -> Column:

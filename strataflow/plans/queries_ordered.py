@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataflow.functions.ordered import diff, fill, following, gradient, interpolate, lag_filled, lead_filled, previous, rolling, slope_per, unwrapped
+from strataflow.functions.ordered import Order, diff, fill, following, gradient, interpolate, lag_filled, lead_filled, previous, rolling, slope_per, stepwise, unwrapped
 from strataflow.functions.scalar import rounded, safe_divide
+from strataflow.operators import halo
 from strataflow.operators.post import smoothed
-from strataflow.plans.wellview import BY, SO_FAR, WELL, WELLS_SQL, WHOLE, following_sql, previous_sql, r6, wells
+from strataflow.operators.staging import staged
+from strataflow.plans.wellview import BY, SO_FAR, WELL, WELLS_SQL, WHOLE, events, following_sql, previous_sql, r6, wells
 
 c = F.col
 QUERIES: dict = {}
@@ -220,3 +222,35 @@ def ranking_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_value, by_floor = Window.partitionBy("well_id").orderBy(F.desc("tvt"), "row_id"), Window.partitionBy("well_id").orderBy(F.floor("tvt"))
     as_long = lambda x: x.cast("long")
     return wells(spark, sf_dir).select("well_id", "row_id", as_long(F.row_number().over(by_value)).alias("place"), as_long(F.rank().over(by_floor)).alias("tied_rank"), as_long(F.dense_rank().over(by_floor)).alias("dense"), as_long(F.ntile(4).over(WELL.window)).alias("quarter"))
+
+
+_SERIES = """s0 AS (SELECT event_id, value AS v, CASE WHEN event_type <> 'error' THEN value END AS g, epoch_us(ts) / 1e6 AS t FROM events),
+s AS (SELECT *, row_number() OVER (ORDER BY t, event_id) - 1 AS row_id FROM s0)"""
+_NEAR = "OVER (ORDER BY row_id ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
+_AHEAD = "OVER (ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+#: Rows a range, of which a table of 10,000 events takes a few; wells of millions of rows take halo.SIZE.
+_RANGE = 1024
+
+
+@query(f""", {_SERIES}
+SELECT event_id, row_id, {r6('avg(g) ' + _NEAR.format(30, 0))} AS mean31, round(stddev_samp(g) {_NEAR.format(50, 50)}, 6) + 0.0 AS std101, max(g) {_NEAR.format(10, 10)} AS max21, {r6('median(g) ' + _NEAR.format(8, 8))} AS median17,
+coalesce(lag(v, 30) OVER (ORDER BY row_id), 0) AS lag30, coalesce(lead(v, 30) OVER (ORDER BY row_id), 0) AS lead30, round(CASE WHEN t0 IS NULL THEN (v1 - v) / nullif(t1 - t, 0) WHEN t1 IS NULL THEN (v - v0) / nullif(t - t0, 0)
+ ELSE -(t1 - t) * v0 / nullif((t - t0) * (t1 - t0), 0) + ((t1 - t) - (t - t0)) * v / nullif((t - t0) * (t1 - t), 0) + (t - t0) * v1 / nullif((t1 - t) * (t1 - t0), 0) END, 6) + 0.0 AS gradient,
+coalesce(last_value(g IGNORE NULLS) OVER (ORDER BY row_id), first_value(g IGNORE NULLS) {_AHEAD}) AS filled, round(sum(coalesce(v, 0)) OVER (ORDER BY row_id), 3) + 0.0 AS running
+FROM (SELECT *, lag(v) OVER (ORDER BY row_id) AS v0, lead(v) OVER (ORDER BY row_id) AS v1, lag(t) OVER (ORDER BY row_id) AS t0, lead(t) OVER (ORDER BY row_id) AS t1 FROM s)""")
+def one_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series in time: numbered, rolled, differentiated, filled and summed by ranges with halos, never by one task."""
+    rows = events(spark, sf_dir).select("event_id", c("value").alias("v"), F.when(c("event_type") != "error", c("value")).alias("g"), (F.expr("unix_micros(cast(ts as timestamp))") / 1e6).alias("t"))
+    rows = staged(halo.numbered(rows, "t", ["event_id"], size=_RANGE), "series")
+    order = Order((), ("row_id",))
+    near = {
+        "mean31": lambda o: rounded(rolling(c("g"), o.trailing(31), "mean")),
+        "std101": lambda o: rounded(rolling(c("g"), o.centered(101), "std")),
+        "max21": lambda o: rolling(c("g"), o.centered(21), "max"),
+        "median17": lambda o: rounded(rolling(c("g"), o.centered(17), "median")),
+        "lag30": lambda o: F.coalesce(F.lag("v", 30).over(o.window), F.lit(0.0)),
+        "lead30": lambda o: F.coalesce(F.lead("v", 30).over(o.window), F.lit(0.0)),
+        "gradient": lambda o: rounded(stepwise(c("v"), c("t"), o)),
+    }
+    out = halo.windowed(halo.carried(rows, order, ["g"], ["g"], ["v"], _RANGE), order, near, 50, 50, _RANGE)
+    return out.select("event_id", "row_id", *near, F.coalesce("last_g", "next_g").alias("filled"), rounded(c("sum_v"), 3).alias("running"))
