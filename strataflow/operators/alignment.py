@@ -139,8 +139,7 @@ def velocity_filter(well: Well) -> dict[str, np.ndarray]:
 def warps(well: Well, radii: tuple[int, ...] = RADII) -> dict[str, np.ndarray]:
     """Banded warps of the whole signal to the curve: depth and local slope by radius, and their mean."""
     out = {}
-    for radius in radii:
-        col = kernels.band_path(*kernels.band(well.signal, well.curve, radius), len(well.curve))
+    for radius, col in zip(radii, kernels.band_paths(well.signal, well.curve, radii), strict=True):
         out[f"dtw{radius}"], out[f"slope{radius}"] = well.depth[col], kernels.local_slope(col)
     return out | {"dtw": np.mean([out[f"dtw{r}"] for r in radii], axis=0)}
 

@@ -66,15 +66,48 @@ def shuffled(groups: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     return numbered(named, "_g").select(group, "n", (F.col("place") % k).cast("int").alias("fold"))
 
 
+def packed(runs: Sequence[tuple[int, int]], k: int) -> dict[int, list[tuple[int, list[int]]]]:
+    """Largest-first packing of runs (size, count) into k folds: by size, (first place in the run, folds dealt in turn from there).
+
+    Each group goes to the lightest fold, the first of equal ones. Among groups of one size the folds within a size of the
+    lightest take turns in a fixed order, until the next heavier fold comes within reach; so a run of any count has k such
+    stretches at most, and no group is looked at by itself.
+    """
+    loads, out = [0] * k, {}
+    for size, count in sorted(runs, reverse=True):
+        place, stretches = 0, []
+        while place < count:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            first = order[0]
+            turn = [f for f in order if (loads[f], f) < (loads[first] + size, first) or f == first]
+            rounds = [(loads[f] - loads[first]) // size - ((loads[f] - loads[first]) % size == 0 and f < first) for f in order if f not in turn]
+            dealt = min([count - place, *(r * len(turn) for r in rounds)])
+            stretches.append((place, turn))
+            for i, f in enumerate(turn):
+                loads[f] += size * ((dealt - i + len(turn) - 1) // len(turn))
+            place += dealt
+        out[size] = stretches
+    return out
+
+
 def balanced(groups: DataFrame, group: str, k: int) -> DataFrame:
-    """Folds of nearly equal row counts: groups from the largest down are dealt forth and back (0..k-1, k-1..0).
+    """Folds of nearly equal row counts by largest-first packing: groups from the largest down (ties by MD5 of their name) go to the lightest fold.
 
-    The snake deal needs no running totals, so unlike largest-first bin packing no state passes from group to group; two
-    folds differ by at most the largest group.
+    One row for each distinct size reaches the driver, at most the square root of twice the rows; a group's place among
+    those of its size is its place in a bucket of MD5 and the counts of the buckets before, so no task holds all of them.
     """
-    placed = numbered(groups.withColumn("_n", -F.col("n")), group, ["_n"])
-    turn, step = F.floor(F.col("place") / k) % 2, F.col("place") % k
-    return placed.select(group, "n", F.when(turn == 0, step).otherwise(k - 1 - step).cast("int").alias("fold"))
+    named = groups.withColumn("_d", F.md5(F.col(group).cast("string"))).withColumn("_b", F.substring("_d", 1, 4))
+    counts = named.groupBy("n", "_b").agg(F.count("*").alias("_k"))
+    runs = [(r["n"], r["m"]) for r in counts.groupBy("n").agg(F.sum("_k").alias("m")).collect()]
+    if not runs:
+        return groups.select(group, "n", F.lit(0).alias("fold"))
+    stretches = groups.sparkSession.createDataFrame([(n, list(found)) for n, found in packed(runs, k).items()], "n long, _s array<struct<start:long,turn:array<int>>>")
+    before = Window.partitionBy("n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = counts.select("n", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("n", "_b").orderBy("_d", group)) - 1
+    placed = named.withColumn("_w", within).join(starts, ["n", "_b"]).withColumn("_p", F.col("_o") + F.col("_w")).join(stretches, "n")
+    last = F.element_at(F.filter("_s", lambda x: x["start"] <= F.col("_p")), -1)
+    return placed.withColumn("_l", last).select(group, "n", F.get(F.col("_l.turn"), ((F.col("_p") - F.col("_l.start")) % F.size("_l.turn")).cast("int")).alias("fold"))
 
 
 def stratified_rows(rows: DataFrame, key: str, label: str, k: int) -> DataFrame:

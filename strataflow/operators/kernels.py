@@ -193,29 +193,87 @@ def _moved(row: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def band_path(cost: np.ndarray, low: np.ndarray, m: int) -> np.ndarray:
-    """For each row the last column of the cheapest path back from the table's end; the diagonal wins ties, then the row before.
+#: How a cell of a band is entered: from the row before at the column before or at the same one, or from its left.
+DIAGONAL, UP, LEFT = 0, 1, 2
 
-    Where a cell is entered from is found for a whole row at once; a row is then left at the nearest cell at or before the
-    one entered that is not entered from its left.
-    """
-    n, width = cost.shape
+
+def _moves(row: np.ndarray, up: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Codes of a row's cells (last axis) from its costs and those of the row before: the diagonal wins ties, then the row before."""
+    left = np.concatenate([np.full((*row.shape[:-1], 1), np.inf), row[..., :-1]], axis=-1)
+    return np.where(np.minimum(up, diagonal) <= left, np.where(diagonal <= up, DIAGONAL, UP), LEFT).astype(np.int8)
+
+
+def walked(moves: np.ndarray, low: np.ndarray, m: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """For each row the last column of the path that leads back from the table's end; cells first..last of rows are the band."""
+    n, width = moves.shape
+    last = width - 1 if last is None else last
     col = np.zeros(n, np.int64)
-    at, nothing = m - 1, np.full(width, np.inf)
+    at, starts = m - 1, low.tolist()
     for i in range(n - 1, -1, -1):
         col[i] = at
-        if i == 0:
-            break
-        shift = int(low[i] - low[i - 1])
-        up, diagonal = _moved(cost[i - 1], shift), _moved(cost[i - 1], shift - 1)
-        left = np.concatenate([nothing[:1], cost[i, :-1]])
-        k = int(np.clip(at - low[i], 0, width - 1))
-        leaves = np.flatnonzero(np.minimum(up[: k + 1], diagonal[: k + 1]) <= left[: k + 1])
-        leave = int(leaves[-1]) if len(leaves) else k
-        at = max(0, int(low[i]) + leave - int(diagonal[leave] <= up[leave]))
+        k, row = min(max(at - starts[i], first), last), moves[i].tobytes()
+        while row[k] == LEFT:
+            k -= 1
+        at = max(0, starts[i] + k - (row[k] == DIAGONAL))
     return col
 
 
+def band_path(cost: np.ndarray, low: np.ndarray, m: int) -> np.ndarray:
+    """walked() of the cheapest path through a band that band() has filled, or one with other costs."""
+    k = np.arange(cost.shape[1]) + np.diff(low)[:, None]
+
+    def before(back: int) -> np.ndarray:
+        at = k - back
+        return np.where((at >= 0) & (at < cost.shape[1]), np.take_along_axis(cost[:-1], np.clip(at, 0, cost.shape[1] - 1), 1), np.inf)
+
+    moves = np.zeros(cost.shape, np.int8)
+    moves[1:] = _moves(cost[1:], before(0), before(1))
+    return walked(moves, low, m)
+
+
+def band_paths(query: np.ndarray, ref: np.ndarray, radii: tuple[int, ...], chunk: int = 256) -> list[np.ndarray]:
+    """The cheapest path through each of several bands around the diagonal.
+
+    All bands lie within the widest, and each row of all bands is filled at once. What does not depend on the row before
+    (costs, their running sums, the moves) is made for a chunk of rows; the moves of all rows are held, one byte a cell.
+    """
+    n, m = len(query), len(ref)
+    asked = [min(r, m) for r in radii]  # a radius of m columns reaches all of the table, and so do larger ones
+    radii = tuple(sorted(set(asked)))
+    widest, width = max(radii), 2 * max(radii) + 1
+    low = np.rint(np.arange(n) * ((m - 1) / max(n - 1, 1))).astype(np.int64) - widest
+    shifts = np.diff(low, prepend=low[0])
+    k = np.arange(width)
+    reach = np.abs(k - widest) <= np.array(radii)[:, None]
+    moves = np.zeros((n, len(radii), width), np.int8)
+    # rows of costs with one infinite cell before and as many behind as a row may be shifted: a view is a shifted row
+    before = np.full((len(radii), 1 + width + int(shifts.max())), np.inf)
+    for start in range(0, n, chunk):
+        rows = slice(start, min(n, start + chunk))
+        column = low[rows, None] + k
+        inside = reach & ((column >= 0) & (column < m))[:, None]
+        cost = np.where(inside, ((query[rows, None] - ref[np.clip(column, 0, m - 1)]) ** 2)[:, None], 0.0)
+        sums = np.cumsum(cost, axis=2)
+        paid, barred = sums - cost, np.where(inside, 0.0, np.inf)
+        up, diagonal, filled = (np.empty(cost.shape) for _ in range(3))
+        for i in range(len(column)):
+            if start + i:
+                at = int(shifts[start + i])
+                up[i], diagonal[i] = before[:, 1 + at : 1 + at + width], before[:, at : at + width]
+            else:
+                up[i] = diagonal[i] = np.where(column[0] == 0, 0.0, np.inf)
+            row = np.minimum(up[i], diagonal[i], out=filled[i])
+            row -= paid[i]
+            row += barred[i]
+            np.minimum.accumulate(row, axis=1, out=row)
+            row += sums[i]
+            row += barred[i]
+            before[:, 1 : 1 + width] = row
+        moves[rows] = _moves(filled, up, diagonal)
+    paths = {r: walked(moves[:, j], low, m, widest - r, widest + r) for j, r in enumerate(radii)}
+    return [paths[r] for r in asked]
+
+
 def local_slope(col: np.ndarray, half: int = 2) -> np.ndarray:
     """Columns per row between the rows `half` before and after, or as many as there are; 1 for a single row."""
     place = np.arange(len(col))

@@ -223,12 +223,19 @@ def fold_length_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.length_chunks(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", 5, seed=None)
 
 
-@query("SELECT well_id, n, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INT) AS fold FROM (SELECT well_id, n, row_number() OVER (ORDER BY n DESC, md5(well_id), well_id) - 1 AS p FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id))")
+@query(None)
 def fold_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds of whole wells with balanced row counts."""
+    """Folds of whole wells by largest-first packing of their row counts."""
     return folds.balanced(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", 5)
 
 
+#: Well by well: each goes to the lightest fold.
+_PACKED = f"""WITH RECURSIVE {WELLS_SQL}, g AS (SELECT well_id, n, row_number() OVER (ORDER BY n DESC, md5(well_id), well_id) AS i FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id)),
+r(i, loads, fold) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0, 0, 0] AS BIGINT[]), CAST(-1 AS BIGINT)
+ UNION ALL SELECT r.i + 1, list_transform(range(1, 6), lambda k: loads[k] + CASE WHEN k = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END), list_position(loads, list_min(loads)) - 1 FROM r JOIN g ON g.i = r.i + 1)"""
+ORACLES["fold_balanced"] = f"{_PACKED} SELECT g.well_id, g.n, CAST(fold AS INT) AS fold FROM g JOIN r USING (i)"
+
+
 @query("SELECT well_id, n, CAST((row_number() OVER (ORDER BY md5('42:' || well_id), well_id) - 1) % 5 AS INT) AS fold FROM (SELECT well_id, count(*) AS n FROM w GROUP BY well_id)")
 def fold_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.shuffled(folds.sizes(wells(spark, sf_dir), "well_id"), "well_id", 5, seed=42)
