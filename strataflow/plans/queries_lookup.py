@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataflow.functions.ordered import rolling
+from strataflow.functions.ordered import interpolate, rolling
 from strataflow.functions.scalar import clip, offset_name, rounded
 from strataflow.operators import curves, post, spatial
-from strataflow.plans.wellview import BY, CURVE_SQL, POINTS_SQL, WELL, WELLS_SQL, WHOLE, curve, points, r6, wells
+from strataflow.plans.wellview import BY, CURVE_SQL, POINTS_SQL, WELL, WELLS_SQL, WHOLE, curve, following_sql, points, previous_sql, r6, wells
 from strataflow.sources.template import filled
 
 c = F.col
@@ -106,39 +106,49 @@ def range_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("well_id").agg(F.count(F.when(near, c("ctvt"))).alias("knots_near"), rounded(F.avg(F.when(near, c("cgr")))).alias("mean_near"))
 
 
+_KNOWN_AT = "CASE WHEN gr IS NOT NULL THEN row_id END"
+#: The signal without gaps: linear between known values, the nearest at the ends.
+_SIGNAL = f"""gaps AS (SELECT *, {previous_sql('gr')} AS g0, {following_sql('gr')} AS g1, {previous_sql(_KNOWN_AT)} AS p0, {following_sql(_KNOWN_AT)} AS p1 FROM w),
+sg AS (SELECT *, coalesce(gr, g0 + (g1 - g0) * (row_id - p0) / nullif(p1 - p0, 0), g0, g1) AS signal FROM gaps)"""
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wells(spark, sf_dir).withColumn("signal", interpolate(c("gr"), WELL, c("row_id")))
+
+
 #: Offsets of the probes around the anchor.
 _OFFSETS = (-80, -40, -20, -10, -5, 0, 5, 10, 20, 40, 80)
 
 
-@query(f""", {_ANCHOR}, o AS (SELECT a.well_id, off, anchor + off AS v FROM a, (SELECT unnest([{', '.join(map(str, _OFFSETS))}]) AS off)),
+@query(f""", {_ANCHOR}, {_SIGNAL}, o AS (SELECT a.well_id, off, anchor + off AS v FROM a, (SELECT unnest([{', '.join(map(str, _OFFSETS))}]) AS off)),
 l AS (SELECT o.well_id, off, {_linear_sql('v')} AS g FROM o ASOF LEFT JOIN c lo ON o.well_id = lo.well_id AND o.v >= lo.ctvt ASOF LEFT JOIN c hi ON o.well_id = hi.well_id AND o.v <= hi.ctvt),
 pv AS (SELECT well_id, {', '.join(f'max(g) FILTER (off = {o}) AS g_{offset_name(o)}' for o in _OFFSETS)} FROM l GROUP BY well_id)
-SELECT w.well_id, row_id, {', '.join(r6(f'tvt - g_{offset_name(o)}') + f' AS diff_{offset_name(o)}' for o in _OFFSETS)} FROM w JOIN pv ON pv.well_id = w.well_id WHERE tvt_input IS NULL""")
+SELECT sg.well_id, row_id, {', '.join(r6(f'signal - g_{offset_name(o)}') + f' AS diff_{offset_name(o)}' for o in _OFFSETS)} FROM sg JOIN pv ON pv.well_id = sg.well_id WHERE tvt_input IS NULL""")
 def offset_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal minus the curve at fixed offsets from the anchor: offsets are looked up once a well, then joined to its rows."""
     asked = anchors(spark, sf_dir).withColumn("off", F.explode(F.array(*map(F.lit, _OFFSETS)))).withColumn("v", c("anchor") + c("off"))
     found = with_curve(asked, "v", spark, sf_dir).withColumn("g", curves.linear(c("v"), "cgr"))
     wide = found.groupBy("well_id").agg(*(F.max(F.when(c("off") == o, c("g"))).alias(f"g_{offset_name(o)}") for o in _OFFSETS))
-    hidden = wells(spark, sf_dir).filter("tvt_input is null")
-    return hidden.join(wide, "well_id").select("well_id", "row_id", *(rounded(c("tvt") - c(f"g_{offset_name(o)}")).alias(f"diff_{offset_name(o)}") for o in _OFFSETS))
+    hidden = signals(spark, sf_dir).filter("tvt_input is null")
+    return hidden.join(wide, "well_id").select("well_id", "row_id", *(rounded(c("signal") - c(f"g_{offset_name(o)}")).alias(f"diff_{offset_name(o)}") for o in _OFFSETS))
 
 
 #: End offsets of the candidate paths.
 _ENDS = (-100, -80, -60, -45, -30, -20, -12, 0, 12, 20, 30, 45, 60, 80, 100)
 
 
-@query(f""", {_ANCHOR}, h AS (SELECT w.well_id, row_id, anchor, (row_number() OVER (PARTITION BY w.well_id ORDER BY row_id) - 1) / CAST(greatest(count(*) OVER (PARTITION BY w.well_id) - 1, 1) AS DOUBLE) AS f, tvt FROM w JOIN a USING (well_id) WHERE tvt_input IS NULL),
+@query(f""", {_ANCHOR}, {_SIGNAL}, h AS (SELECT sg.well_id, row_id, anchor, (row_number() OVER (PARTITION BY sg.well_id ORDER BY row_id) - 1) / CAST(greatest(count(*) OVER (PARTITION BY sg.well_id) - 1, 1) AS DOUBLE) AS f, signal FROM sg JOIN a USING (well_id) WHERE tvt_input IS NULL),
 o AS (SELECT *, anchor + e * (3 * f * f - 2 * f * f * f) AS v FROM h, (SELECT unnest([{', '.join(map(str, _ENDS))}]) AS e)),
-l AS (SELECT o.well_id, row_id, e, f, abs(tvt - {_linear_sql('v')}) AS d FROM o ASOF LEFT JOIN c lo ON o.well_id = lo.well_id AND o.v >= lo.ctvt ASOF LEFT JOIN c hi ON o.well_id = hi.well_id AND o.v <= hi.ctvt)
+l AS (SELECT o.well_id, row_id, e, f, abs(signal - {_linear_sql('v')}) AS d FROM o ASOF LEFT JOIN c lo ON o.well_id = lo.well_id AND o.v >= lo.ctvt ASOF LEFT JOIN c hi ON o.well_id = hi.well_id AND o.v <= hi.ctvt)
 SELECT well_id, row_id, {r6('list_sort(list(d))[1]')} AS best, {r6('list_sort(list(d))[2] - list_sort(list(d))[1]')} AS gap, {r6('sum(exp(-least(d, 100) / 8) * e) / greatest(sum(exp(-least(d, 100) / 8)), 1e-9)')} AS soft_endpoint FROM l GROUP BY well_id, row_id""")
 def path_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate paths that ease from the anchor to an end offset: the best fit, its lead, and the weighted end."""
-    hidden = wells(spark, sf_dir).filter("tvt_input is null").join(anchors(spark, sf_dir), "well_id")
+    hidden = signals(spark, sf_dir).filter("tvt_input is null").join(anchors(spark, sf_dir), "well_id")
     place, n = F.row_number().over(WELL.window) - 1, F.count("*").over(WELL.whole)
-    h = hidden.withColumn("f", place / F.greatest(n - 1, F.lit(1))).select("well_id", "row_id", "anchor", "f", "tvt")
+    h = hidden.withColumn("f", place / F.greatest(n - 1, F.lit(1))).select("well_id", "row_id", "anchor", "f", "signal")
     ease = 3 * c("f") * c("f") - 2 * c("f") * c("f") * c("f")
     asked = h.withColumn("e", F.explode(F.array(*map(F.lit, _ENDS)))).withColumn("v", c("anchor") + c("e") * ease)
-    found = with_curve(asked, "v", spark, sf_dir).withColumn("d", F.abs(c("tvt") - curves.linear(c("v"), "cgr")))
+    found = with_curve(asked, "v", spark, sf_dir).withColumn("d", F.abs(c("signal") - curves.linear(c("v"), "cgr")))
     weight = F.exp(-F.least(c("d"), F.lit(100.0)) / 8)
     out = found.groupBy("well_id", "row_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), (F.sum(weight * c("e")) / F.greatest(F.sum(weight), F.lit(1e-9))).alias("soft"))
     return out.select("well_id", "row_id", rounded(c("ds")[0]).alias("best"), rounded(c("ds")[1] - c("ds")[0]).alias("gap"), rounded(c("soft")).alias("soft_endpoint"))
