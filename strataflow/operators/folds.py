@@ -16,12 +16,17 @@ def sizes(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"))
 
 
-def eligible(rows: DataFrame, curves: DataFrame, group: str, known: str, least_known: int = 10, least_curve: int = 3) -> DataFrame:
-    """Groups with hidden rows, enough known rows and enough rows of their curve."""
+def verdicts(rows: DataFrame, curves: DataFrame, group: str, known: str, least_known: int = 10, least_curve: int = 3) -> DataFrame:
+    """group, hidden, known, curve_rows and skipped: why the group is left out (no hidden rows, few known ones, a short curve), or NULL."""
     counts = rows.groupBy(group).agg(F.count_if(F.col(known).isNull()).alias("hidden"), F.count(known).alias("known"))
     lengths = curves.groupBy(group).agg(F.count("*").alias("curve_rows"))
     both = counts.join(lengths, group, "left").withColumn("curve_rows", F.coalesce("curve_rows", F.lit(0).cast("long")))
-    return both.filter((F.col("hidden") > 0) & (F.col("known") >= least_known) & (F.col("curve_rows") >= least_curve))
+    return both.withColumn("skipped", F.when(F.col("hidden") == 0, "no_hidden").when(F.col("known") < least_known, "few_known").when(F.col("curve_rows") < least_curve, "short_curve"))
+
+
+def eligible(rows: DataFrame, curves: DataFrame, group: str, known: str, least_known: int = 10, least_curve: int = 3) -> DataFrame:
+    """Groups with hidden rows, enough known rows and enough rows of their curve."""
+    return verdicts(rows, curves, group, known, least_known, least_curve).filter("skipped is null").drop("skipped")
 
 
 def eligible_by_gap(rows: DataFrame, group: str, place: str, known: str) -> DataFrame:

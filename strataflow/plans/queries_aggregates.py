@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataflow.functions.ordered import previous
 from strataflow.functions.scalar import clip, finite, rounded, safe_divide
 from strataflow.operators import folds
+from strataflow.operators.metrics import Stages
 from strataflow.operators.quantiles import quantiles
-from strataflow.plans.wellview import BY, CURVE_SQL, WELL, WELLS_SQL, WHOLE, curve, r6, wells
+from strataflow.plans.wellview import BY, CURVE_SQL, SO_FAR, WELL, WELLS_SQL, WHOLE, curve, r6, wells
 
 c = F.col
 QUERIES: dict = {}
@@ -269,3 +271,24 @@ def eligible_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in 60 bins."""
     return _table(spark, sf_dir, "events").groupBy(clip(F.floor(c("value") / 10), 0, 59).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+_REASONS = ("no_hidden", "few_known", "short_curve")
+
+
+@query(f""", v AS (SELECT w.well_id, CASE WHEN count(*) FILTER (tvt_input IS NULL) = 0 THEN 'no_hidden' WHEN count(tvt_input) < 10 THEN 'few_known' WHEN coalesce(max(k), 0) < 3 THEN 'short_curve' END AS skipped
+ FROM w LEFT JOIN (SELECT well_id, count(*) AS k FROM c GROUP BY well_id) s ON s.well_id = w.well_id GROUP BY w.well_id),
+used AS (SELECT * FROM w WHERE well_id IN (SELECT well_id FROM v WHERE skipped IS NULL)),
+f AS (SELECT *, coalesce(last_value(gr IGNORE NULLS) OVER ({SO_FAR}), first_value(gr IGNORE NULLS) OVER ({WHOLE})) AS filled FROM used)
+SELECT 'read' AS stage, unnest(['rows', 'known', 'gaps']) AS metric, unnest([count(*), count(tvt_input), count(*) - count(gr)]) AS value FROM w
+UNION ALL SELECT 'wells', unnest(['rows', 'kept', {', '.join(f"'{r}'" for r in _REASONS)}]), unnest([count(*), count(*) - count(skipped), {', '.join(f"count(*) FILTER (skipped = '{r}')" for r in _REASONS)}]) FROM v
+UNION ALL SELECT 'filled', unnest(['rows', 'replaced', 'left']), unnest([count(*), count(filled) - count(gr), count(*) - count(filled)]) FROM f""")
+def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a flow's stages have read, which wells they left out and why, and which nulls they replaced."""
+    stages = Stages(spark)
+    rows = stages.staged(wells(spark, sf_dir).select("well_id", "row_id", "gr", "tvt_input"), "read", known=F.count("tvt_input"), gaps=F.count_if(c("gr").isNull()))
+    judged = stages.staged(folds.verdicts(rows, curve(spark, sf_dir), "well_id", "tvt_input"), "wells", kept=F.count_if(c("skipped").isNull()), **{r: F.count_if(c("skipped") == r) for r in _REASONS})
+    used = rows.join(judged.filter("skipped is null").select("well_id"), "well_id", "left_semi")
+    filled = used.withColumn("filled", F.coalesce(previous(c("gr"), WELL), F.first("gr", ignorenulls=True).over(WELL.whole)))
+    stages.staged(filled, "filled", replaced=F.count_if(c("gr").isNull() & c("filled").isNotNull()), left=F.count_if(c("filled").isNull()))
+    return stages.table()
