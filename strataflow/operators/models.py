@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from statistics import median
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -15,6 +17,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.operators import symmetric
+
 
 def mean_by_fold(rows: DataFrame, fold: str, target: str) -> DataFrame:
     """Adds mean_prediction: the target's mean over the other folds, from one small aggregate."""
@@ -25,7 +29,7 @@ def mean_by_fold(rows: DataFrame, fold: str, target: str) -> DataFrame:
 
 
 def regressor(kind: str, features: Sequence[str], target: str, seed: int = 42, iterations: int = 20, depth: int = 4, validation: str | None = None) -> Pipeline:
-    """gbt, gbt_deep (fewer, deeper trees with smaller steps), or forest as their fallback; absent features count as -999.
+    """gbt, gbt_deep (fewer, deeper trees with smaller steps), or forest as their fallback; absent features count as -999. trained() also knows symmetric (operators/symmetric.py).
 
     validation: a boolean column; its rows are not learned from, boosting stops once they get no better.
     """
@@ -54,14 +58,25 @@ def _scores(fitted: Sequence[PipelineModel], rows: DataFrame, name: str) -> Data
     return out.withColumn(name, mean).drop(*made)
 
 
-def _fitted(rows: DataFrame, features: Sequence[str], target: str, group: str, kind: str, seed: int, iterations: int, depth: int, stop: bool) -> PipelineModel | None:
-    """A model, or None where there is nothing to learn from or its trainer fails on the rows (a fallback of residual 0 stands in)."""
+def _rounds(model: PipelineModel | symmetric.SymmetricTrees) -> int:
+    return model.rounds if isinstance(model, symmetric.SymmetricTrees) else model.stages[-1].getNumTrees
+
+
+def _fitted(rows: DataFrame, features: Sequence[str], target: str, group: str, kind: str, seed: int, iterations: int, depth: int, stop: bool) -> PipelineModel | symmetric.SymmetricTrees | None:
+    """A model, or None where there is nothing to learn from or its trainer fails on the rows, which is logged: a residual of 0 stands in for it."""
     marked = rows.withColumn("_aside", set_aside(group, seed))
     if stop and marked.select("_aside").distinct().count() < 2:
         stop = False
     if rows.isEmpty():
         return None
-    return regressor(kind, features, target, seed, iterations, depth, "_aside" if stop else None).fit(marked)
+    aside = "_aside" if stop else None
+    try:
+        if kind == "symmetric":  # a level has one split: a level more stands for as many rows a leaf
+            return symmetric.fit(marked, features, target, iterations, depth + 1, seed=seed, aside=aside)
+        return regressor(kind, features, target, seed, iterations, depth, aside).fit(marked)
+    except (PySparkException, IllegalArgumentException) as e:
+        logging.getLogger(__name__).warning("%s trees, seed %d: %s", kind, seed, e)
+        return None
 
 
 def trained(rows: DataFrame, features: Sequence[str], target: str, fold: str, group: str, folds: int, seeds: Sequence[int], iterations: int, depth: int, test: DataFrame | None = None, kinds: Sequence[str] = ("gbt", "gbt_deep"), refit_share: float = 0.5) -> tuple[DataFrame, DataFrame | None]:
@@ -80,7 +95,7 @@ def trained(rows: DataFrame, features: Sequence[str], target: str, fold: str, gr
                 model = _fitted(other, features, target, group, kind, seed, iterations, depth, True)
                 if model is not None:
                     made.append(model)
-                    rounds[kind].append(model.stages[-1].getNumTrees)
+                    rounds[kind].append(_rounds(model))
         by_fold += made
         parts.append(_scores(made, filled.filter(F.col(fold) == f), "oof"))
     out = parts[0]
@@ -91,7 +106,9 @@ def trained(rows: DataFrame, features: Sequence[str], target: str, fold: str, gr
     again = []
     for kind in kinds:
         for seed in seeds if rounds[kind] else ():
-            again.append(_fitted(filled, features, target, group, kind, seed, min(iterations, robust_iterations(rounds[kind], least=1)), depth, False))
+            # the rule's floor of 50 rounds would exceed `iterations` where these are few
+            refit = _fitted(filled, features, target, group, kind, seed, min(iterations, robust_iterations(rounds[kind], least=1)), depth, False)
+            again += [refit] if refit is not None else []
     asked = test.fillna(-999.0, subset=list(features))
     both = _scores(again, _scores(by_fold, asked, "_folds"), "_again")
     return out, both.withColumn("oof", (1 - refit_share) * F.col("_folds") + refit_share * F.col("_again")).drop("_folds", "_again")

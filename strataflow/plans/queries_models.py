@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from strataflow.functions.scalar import rounded
 from strataflow.operators import features, folds, models
+from strataflow.operators.staging import output_root, staged
 from strataflow.plans import residual
-from strataflow.operators.staging import output_root
 from strataflow.plans.wellview import BY, WELL, WELLS_SQL, WHOLE, curve, r6, wells
 from strataflow.sources.template import filled
 
@@ -57,6 +57,17 @@ def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("well_id", "row_id", "fold", "target", "oof")
 
 
+@query(None)
+def two_learners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold residuals of two different learners, node-wise and symmetric trees, and their blend by non-negative ridge."""
+    rows, names = _training(spark, sf_dir)
+    rows = staged(rows.select("well_id", "row_id", "fold", "target", *names), "training")
+    oof = {kind: models.trained(rows, names, "target", "fold", "well_id", FOLDS, (42,), ROUNDS, 3, kinds=(kind,))[0].select("well_id", "row_id", "fold", "target", c("oof").alias(kind)) for kind in ("gbt", "symmetric")}
+    both = staged(oof["gbt"].join(oof["symmetric"].drop("fold", "target"), ["well_id", "row_id"]), "oof")
+    weights = models.blend_weights(both, ["gbt", "symmetric"], "target")
+    return both.withColumn("blend", sum((float(w) * c(k) for w, k in zip(weights, ("gbt", "symmetric"), strict=True)), F.lit(0.0)))
+
+
 @query(None)
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = _training(spark, sf_dir)
