@@ -4,12 +4,14 @@ Layout of a store (a folder of Parquet tables):
   chunks/    address (BLAKE2b-128 of the bytes), ids (packed little-endian ids), uses: each different chunk once
   recipes/   one row a document in ascending doc_id order: doc_id, start, n_tokens, n_chunks, addresses, sizes, root; one folder a part
   manifest/  one row a part: part, first, n_documents, n_tokens, root (Merkle root of its rows)
-  head/      one row: parts, n_documents, n_tokens, root (Merkle root of the parts' roots)
+  head/      one row: parts, n_documents, n_tokens, n_chunks (different ones stored), root (Merkle root of the parts' roots)
 
 A document's ids are cut where a rolling hash of the last `WINDOW` ids has its low bits zero, so an edit moves only the
 cuts near it and equal passages give equal chunks. A document's root is the Merkle root of its chunks' addresses; the leaf
 of its row in the part's tree covers doc_id, start, n_tokens and root. Readers recompute every address from the stored
-bytes, every root from what is below it and the running totals, and fail if anything differs or is absent.
+bytes, every root from what is below it and the running totals, and fail if anything differs or is absent. A recipe's
+sizes must be the lengths of the chunks stored under its addresses and add up to its n_tokens; the chunk table must hold as
+many rows as the head says, so that a chunk that is there twice fails the read too. `uses` is a figure that no read needs.
 
 Words that a task has not met are encoded by the tokenizers library's model; texts are normalised and cut as lexer says.
 
@@ -28,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +46,7 @@ MET = 200_000  # chunks that a task remembers to have sent
 ROW = "doc_id long, n_tokens long, addresses array<binary>, sizes array<int>, root binary"
 RECIPE = "doc_id long, start long, n_tokens long, n_chunks int, addresses array<binary>, sizes array<int>, root binary, part int"
 PART = "part int, first long, n_documents long, n_tokens long, root binary"
-HEAD = "parts long, n_documents long, n_tokens long, root binary"
+HEAD = "parts long, n_documents long, n_tokens long, n_chunks long, root binary"
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray | None = None, mean: int = MEAN_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
@@ -150,7 +152,7 @@ def write_store(documents: DataFrame, folder: str, path: str, id_col: str = "doc
     recipes.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/recipes")
     manifest = base.select("part", "first", "n_documents", "n_tokens").join(_part_roots(recipes.select("part", "doc_id", "start", "n_tokens", "root")).select("part", "root"), "part")
     manifest.select("part", "first", "n_documents", "n_tokens", "root").write.parquet(f"{folder}/manifest")
-    _head(spark.read.schema(PART).parquet(f"{folder}/manifest")).write.parquet(f"{folder}/head")
+    _head(spark.read.schema(PART).parquet(f"{folder}/manifest"), _stored(spark, folder)).write.parquet(f"{folder}/head")
 
 
 def _rows_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +183,16 @@ def _part_roots(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "start").mapInArrow(_rows_root, PART)
 
 
-def _head(manifest: DataFrame) -> DataFrame:
+def _stored(spark: SparkSession, folder: str) -> int:
+    """Rows of the chunk table, which their files' footers tell."""
+    return spark.read.schema("address binary").parquet(f"{folder}/chunks").count()
+
+
+def _head(manifest: DataFrame, n_chunks: int) -> DataFrame:
     """The store's one row, of a manifest with one row a part; these are few, so the driver reads them."""
     rows = sorted(manifest.collect(), key=lambda r: r["part"])
     leaves = [struct.pack("<qqqq", r["part"], r["first"], r["n_documents"], r["n_tokens"]) + bytes(r["root"]) for r in rows]
-    total = [(len(rows), sum(r["n_documents"] for r in rows), sum(r["n_tokens"] for r in rows), merkle_root(leaves))]
+    total = [(len(rows), sum(r["n_documents"] for r in rows), sum(r["n_tokens"] for r in rows), n_chunks, merkle_root(leaves))]
     return manifest.sparkSession.createDataFrame(total, HEAD)
 
 
@@ -234,13 +241,15 @@ def shifted_crc(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 def _checked_chunks(kind: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(kind).itemsize
         for batch in batches:
             crcs = []
             for key, data in zip(batch.column("address").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 if data is None or address(data) != key:
                     raise ValueError(f"chunk {key.hex()} is damaged")
                 crcs.append(zlib.crc32(np.frombuffer(data, kind).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(crcs, pa.int64())], ["address", "crc"])
+            sizes = pa.array([len(data) // width for data in batch.column("ids").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(crcs, pa.int64()), sizes], ["address", "crc", "stored"])
 
     return read
 
@@ -248,8 +257,8 @@ def _checked_chunks(kind: str):
 def _checked_recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_sizes = batch.column("sizes").to_pylist()
-        for key, root, n, sizes in zip(*(batch.column(c).to_pylist() for c in ("addresses", "root", "n_tokens")), all_sizes, strict=True):
-            if merkle_root(key) != root or sum(sizes) != n:
+        for key, root, n, k, sizes in zip(*(batch.column(c).to_pylist() for c in ("addresses", "root", "n_tokens", "n_chunks")), all_sizes, strict=True):
+            if merkle_root(key) != root or sum(sizes) != n or not k == len(key) == len(sizes):
                 raise ValueError("a recipe does not match its root")
         after = [(sum(x) - np.cumsum(x)).tolist() for x in all_sizes]
         names = ["doc_id", "start", "n_tokens", "n_chunks", "addresses", "sizes"]
@@ -267,7 +276,10 @@ def verify(spark: SparkSession, folder: str) -> None:
     """Raises ValueError unless recipes, manifest and head agree: recipes give each part's row again, these the head."""
     manifest = spark.read.schema(PART).parquet(f"{folder}/manifest")
     heads = spark.read.schema(HEAD).parquet(f"{folder}/head").collect()
-    if len(heads) != 1 or tuple(heads[0]) != tuple(_head(manifest).first()):
+    n_chunks = _stored(spark, folder)
+    if len(heads) == 1 and heads[0]["n_chunks"] != n_chunks:
+        raise ValueError(f"{n_chunks} chunks are stored, the head says {heads[0]['n_chunks']}")
+    if len(heads) != 1 or tuple(heads[0]) != tuple(_head(manifest, n_chunks).first()):
         raise ValueError("the manifest does not match the head")
     recipes = spark.read.schema(RECIPE).parquet(f"{folder}/recipes")
     columns = PART.replace(" int", "").replace(" long", "").replace(" binary", "").split(", ")
@@ -286,9 +298,10 @@ def references(spark: SparkSession, folder: str) -> DataFrame:
     return flat.select("doc_id", "start", "n_tokens", "nth", F.col("x.addresses").alias("address"), F.col("x.sizes").alias("size"), F.col("x.after").alias("after"))
 
 
-def present(column: str, kind: str):
-    """The column, or an error where a recipe's chunk was not found."""
-    return F.coalesce(F.col(column), F.raise_error(F.concat(F.lit("absent chunk "), F.hex("address"))).cast(kind))
+def present(column: str, kind: str, stored: Column):
+    """The column, or an error where a recipe's chunk was not found or has not the size that the recipe says."""
+    wrong = F.when(stored.isNull(), "absent chunk ").otherwise("another size has chunk ")
+    return F.when(F.col("size") == stored, F.col(column)).otherwise(F.raise_error(F.concat(wrong, F.hex("address"))).cast(kind))
 
 
 def read_digests(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFrame:
@@ -298,8 +311,8 @@ def read_digests(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFra
     shifts. An absent chunk, recipe or part fails the read.
     """
     verify(spark, folder)
-    crcs = spark.read.parquet(f"{folder}/chunks").select("address", "ids").mapInArrow(_checked_chunks(kind), "address binary, crc long")
-    found = references(spark, folder).join(crcs, "address", "left").select("start", "doc_id", "n_tokens", present("crc", "long").alias("crc"), "after")
+    crcs = spark.read.parquet(f"{folder}/chunks").select("address", "ids").mapInArrow(_checked_chunks(kind), "address binary, crc long, stored int")
+    found = references(spark, folder).join(crcs, "address", "left").select("start", "doc_id", "n_tokens", present("crc", "long", F.col("stored")).alias("crc"), "after")
     terms = found.mapInArrow(_crc_terms, "start long, doc_id long, n_tokens long, term long")
     return terms.groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("term").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -319,7 +332,7 @@ def read_documents(spark: SparkSession, folder: str, kind: str = "<u2") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(ids, pa.list_(pa.int32()))], ["address", "ids"])
 
     found = references(spark, folder).join(chunks.mapInArrow(unpack, "address binary, ids array<int>"), "address", "left")
-    found = found.withColumn("ids", present("ids", "array<int>"))
+    found = found.withColumn("ids", present("ids", "array<int>", F.array_size("ids")))
     lists = found.groupBy("start", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("x"))
     return lists.select("doc_id", "start", F.flatten(F.col("x.ids")).alias("ids"))
 

@@ -192,13 +192,18 @@ def test_store_detects_damage(spark):
                 read(spark, bad).collect()
 
     damaged("chunks", lambda d: d.withColumn("ids", F.concat("ids", F.lit(b"\0\0"))), "damaged")
-    damaged("chunks", lambda d: d.filter(F.col("address") != F.lit(bytes(one["addresses"][0]))), "absent")  # of a document of one chunk
+    others = F.col("address") != F.lit(bytes(one["addresses"][0]))  # than that of a document of one chunk
+    damaged("chunks", lambda d: d.filter(others), "are stored")
+    damaged("chunks", lambda d: d.filter(others).unionByName(d.filter(others).limit(1)), "absent")
     damaged("recipes", lambda d: d.filter("doc_id != 1"), "follow|manifest")
     damaged("recipes", lambda d: d.filter("doc_id != 5"), "follow|manifest")
     damaged("recipes", lambda d: d.filter(f"part != {part}"), "manifest")
     damaged("recipes", lambda d: d.withColumn("start", F.expr("start + if(doc_id = 5, 1, 0)")), "follow|manifest")
     damaged("recipes", lambda d: d.withColumn("doc_id", F.expr("if(doc_id = 5, 7, doc_id)")), "manifest")
     damaged("recipes", lambda d: d.withColumn("addresses", F.expr("reverse(addresses)")), "root")
+    damaged("recipes", lambda d: d.withColumn("sizes", F.expr("if(size(sizes) > 1, transform(sizes, (x, i) -> if(i = 0, x + 1, if(i = 1, x - 1, x))), sizes)")), "another size")
+    damaged("recipes", lambda d: d.withColumn("n_chunks", F.expr("n_chunks + if(doc_id = 0, 1, 0)")), "root")
+    damaged("chunks", lambda d: d.unionByName(d.limit(1)), "are stored")
     damaged("manifest", lambda d: d.filter(f"part != {part}"), "head")
     damaged("head", lambda d: d.limit(0), "head")
 
