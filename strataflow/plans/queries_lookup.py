@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strataflow.functions.ordered import interpolate, rolling
 from strataflow.functions.scalar import clip, offset_name, rounded
-from strataflow.operators import curves, post, spatial
+from strataflow.operators import curves, post, spatial, table_functions
 from strataflow.plans.wellview import BY, CURVE_SQL, POINTS_SQL, WELL, WELLS_SQL, WHOLE, curve, following_sql, points, previous_sql, r6, wells
 from strataflow.sources.template import filled
 
@@ -258,3 +258,22 @@ def semi_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rich = read("customer").filter("c_acctbal > 9000").select(c("c_nationkey").alias("n_nationkey"))
     return read("nation").join(rich, "n_nationkey", "left_semi").groupBy("n_regionkey").agg(F.count("*").alias("nations"))
 
+
+def probes_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """offset_probes as SQL text that calls a table function."""
+    table_functions.register(spark)
+    rows = signals(spark, sf_dir).filter("tvt_input is null").join(anchors(spark, sf_dir), "well_id")
+    sql = f"""SELECT well_id, row_id, {', '.join(f"round(max(CASE WHEN off = {o} THEN diff END), 6) + 0.0D AS diff_{offset_name(o)}" for o in _OFFSETS)} FROM curve_probes(
+ TABLE(SELECT well_id, row_id, signal, anchor, CAST(NULL AS DOUBLE) AS ctvt, CAST(NULL AS DOUBLE) AS cgr FROM {{rows}} UNION ALL SELECT well_id, NULL, NULL, NULL, ctvt, cgr FROM {{knots}}) PARTITION BY (well_id),
+ array({', '.join(f'{o}D' for o in _OFFSETS)})) GROUP BY well_id, row_id"""
+    return spark.sql(sql, rows=rows, knots=curve(spark, sf_dir))
+
+
+def grid_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """regular_grid as SQL text that calls a table function."""
+    table_functions.register(spark)
+    return spark.sql("SELECT well_id, i, round(tvt, 6) + 0.0D AS tvt, round(gr, 6) + 0.0D AS gr FROM resampled(TABLE({knots}) PARTITION BY (well_id) ORDER BY (ctvt), 2.0D)", knots=curve(spark, sf_dir))
+
+
+QUERIES |= {"probes_by_sql": probes_by_sql, "grid_by_sql": grid_by_sql}
+ORACLES |= {"probes_by_sql": ORACLES["offset_probes"], "grid_by_sql": ORACLES["regular_grid"]}

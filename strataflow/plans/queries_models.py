@@ -53,7 +53,7 @@ def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold residuals of boosted trees with early stopping, two seeds' mean, by folds of whole wells."""
     rows, names = _training(spark, sf_dir)
-    scored, _ = models.trained(rows.cache(), names, "target", "fold", "well_id", FOLDS, (42, 7), ROUNDS, 3, kinds=("gbt",))
+    scored, _ = models.trained(staged(rows.select("well_id", "row_id", "fold", "target", *names), "training"), names, "target", "fold", "well_id", FOLDS, (42, 7), ROUNDS, 3, kinds=("gbt",))
     return scored.select("well_id", "row_id", "fold", "target", "oof")
 
 
@@ -112,10 +112,10 @@ def ensemble_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> tuple[list[tuple[str, float]], float, DataFrame]:
-    rows, _ = features.window_features(wells(spark, sf_dir), WELL)
+    rows, names = features.window_features(wells(spark, sf_dir), WELL)
     labelled = rows.withColumn("is_test", (c("well_id").cast("long") % 10 == 0).cast("double")).withColumn("key", F.concat_ws("_", "well_id", "row_id"))
     dealt = folds.stratified_rows(labelled.select("key", "is_test"), "key", "is_test", FOLDS)
-    return models.drift(labelled.join(dealt, "key").cache(), ["md_since", "dx", "dy", "dz", "frac", "grf", "last_known"], "is_test", "fold", FOLDS, iterations=5)
+    return models.drift(staged(labelled.join(dealt, "key").select("key", "is_test", "fold", *names), "drift"), names, "is_test", "fold", FOLDS)
 
 
 @query(None)
