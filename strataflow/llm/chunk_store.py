@@ -30,6 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -248,7 +249,7 @@ def _checked_chunks(kind: str):
                 if data is None or address(data) != key:
                     raise ValueError(f"chunk {key.hex()} is damaged")
                 crcs.append(zlib.crc32(np.frombuffer(data, kind).astype("<u4").tobytes()))
-            sizes = pa.array([len(data) // width for data in batch.column("ids").to_pylist()], pa.int32())
+            sizes = pc.cast(pc.divide(pc.binary_length(batch.column("ids")), width), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("address"), pa.array(crcs, pa.int64()), sizes], ["address", "crc", "stored"])
 
     return read
