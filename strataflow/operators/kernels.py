@@ -1,4 +1,4 @@
-"""Sequence kernels in NumPy, each over the rows of one well. They are called from grouped maps in operators.alignment.
+"""Sequence kernels in NumPy, over the rows of one well or of a batch of wells. They are called from maps in operators.alignment.
 
 A step's state (beam, particles, band of a table) is an array operation; only steps along the well are a Python loop.
 """
@@ -33,40 +33,100 @@ def on_grid(grid: np.ndarray, start: float, step: float, at: np.ndarray) -> np.n
     return grid[low] + (grid[np.minimum(low + 1, len(grid) - 1)] - grid[low]) * (place - low)
 
 
-def beam_paths(signals: np.ndarray, curve: np.ndarray, start: int, widths: np.ndarray, move_costs: np.ndarray, scales: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Curve index of each step on the cheapest path found, for each row of signals; row b keeps widths[b] states.
+class Ragged:
+    """Rows of several wells, step by step: the longest wells come first, so those with a step t are the first active[t] ones and nothing is padded."""
+
+    def __init__(self, lengths: list[int]) -> None:
+        self.order = np.argsort(-np.asarray(lengths, np.int64), kind="stable")
+        self.lengths = np.asarray(lengths, np.int64)[self.order]
+        self.active = np.searchsorted(-self.lengths, -np.arange(self.lengths.max(initial=0)), side="left")
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
+
+    def step(self, t: int) -> slice:
+        return slice(self.first[t], self.first[t + 1])
+
+    def pack(self, arrays: list[np.ndarray]) -> np.ndarray:
+        """One array of all rows, in order of (step, well)."""
+        out = np.empty((self.first[-1], *arrays[0].shape[1:]))
+        for rank, i in enumerate(self.order):
+            out[self.first[: self.lengths[rank]] + rank] = arrays[i]
+        return out
+
+    def unpack(self, rows: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = [rows[:0]] * len(self.order)
+        for rank, i in enumerate(self.order):
+            out[i] = rows[self.first[: self.lengths[rank]] + rank]
+        return out
+
+
+class Curves:
+    """Values of several wells' curves, in the order of ragged, end to end."""
+
+    def __init__(self, curves: list[np.ndarray], ragged: Ragged) -> None:
+        self.size = np.array([len(curves[i]) for i in ragged.order], np.int64)
+        self.offset = np.cumsum(self.size) - self.size
+        self.values = np.concatenate([curves[i] for i in ragged.order])
+
+    def on_grids(self, start: np.ndarray, step: float, at: np.ndarray) -> np.ndarray:
+        """on_grid for the first len(at) wells, a row of places each."""
+        size, offset = self.size[: len(at), None], self.offset[: len(at), None]
+        place = np.clip((at - start[: len(at), None]) / step, 0, size - 1)
+        low = np.minimum(place.astype(np.int64), np.maximum(size - 2, 0))
+        here = self.values[offset + low]
+        return here + (self.values[offset + np.minimum(low + 1, size - 1)] - here) * (place - low)
+
+
+def beams_of_wells(signals: list[np.ndarray], curves: list[np.ndarray], starts: list[int], widths: np.ndarray, move_costs: np.ndarray, scales: np.ndarray, reach: int = 2) -> list[np.ndarray]:
+    """Curve index of each step on the cheapest path found, for each well's rows of signals (beams x steps); row b keeps widths[b] states.
 
     A step costs (signal - curve)^2 / scale and the move cost for each index moved, at most `reach`. Of equal costs the
-    lower index is kept. With a width of at least the curve's length the path is the cheapest of all. All rows take a step
-    together: their states lie in one table, unused places at infinite cost.
+    lower index is kept. With a width of at least the curve's length the path is the cheapest of all. All beams of all
+    wells take a step together: their states lie in one table, unused places at infinite cost.
     """
-    beams, n = signals.shape
-    m, width = len(curve), int(widths.max(initial=1))
+    ragged, beams, width = Ragged([x.shape[1] for x in signals]), len(widths), int(widths.max(initial=1))
+    if not ragged.first[-1]:
+        return [np.zeros(x.shape, np.int64) for x in signals]
+    curve, asked = Curves(curves, ragged), ragged.pack([x.T for x in signals])
     moves = np.arange(-reach, reach + 1)
-    states, cost = np.full((beams, width), start), np.full((beams, width), np.inf)
-    cost[:, 0] = 0.0
+    states = np.broadcast_to(np.asarray(starts, np.int64)[ragged.order, None, None], (len(signals), beams, width))
+    cost = np.full(states.shape, np.inf)
+    cost[:, :, 0] = 0.0
     unused = np.arange(width) >= widths[:, None]
-    parent = np.broadcast_to(np.repeat(np.arange(width), len(moves)), (beams, width * len(moves)))
     step = move_costs[:, None, None] * np.abs(moves)
-    kept, parents = np.empty((n, beams, width), np.int32), np.empty((n, beams, width), np.int32)
-    for t in range(n):
-        to = (states[:, :, None] + moves).reshape(beams, -1)
-        total = (cost[:, :, None] + step).reshape(beams, -1)
-        total = np.where((to >= 0) & (to < m), total, np.inf)
-        order = np.lexsort((total, to), axis=1)
-        to, total = np.take_along_axis(to, order, 1), np.take_along_axis(total, order, 1)
+    kept, parents = (np.empty((ragged.first[-1], beams, width), np.int32) for _ in range(2))
+    at = np.zeros((len(signals), beams), np.int64)
+    for t, a in enumerate(ragged.active):
+        states, cost = states[:a], cost[:a]
+        to = (states[..., None] + moves).reshape(a, beams, -1)
+        total = (cost[..., None] + step).reshape(a, beams, -1)
+        size, offset = curve.size[:a, None, None], curve.offset[:a, None, None]
+        total = np.where((to >= 0) & (to < size), total, np.inf)
+        # by index, then by cost: two stable sorts, the second over few small numbers
+        order = np.argsort(total, axis=2, kind="stable")
+        near = to - to.min(axis=2, keepdims=True)
+        near = near.astype(np.int16 if near.max() < 2**15 else np.int64)
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(near, order, 2), axis=2, kind="stable"), 2)
+        to, total = np.take_along_axis(to, order, 2), np.take_along_axis(total, order, 2)
         again = np.zeros(to.shape, bool)
-        again[:, 1:] = to[:, 1:] == to[:, :-1]
-        to = np.clip(to, 0, m - 1)
-        total = np.where(again, np.inf, total + (signals[:, t, None] - curve[to]) ** 2 / scales[:, None])
-        best = np.argsort(total, axis=1, kind="stable")[:, :width]
-        states, cost = np.take_along_axis(to, best, 1), np.where(unused, np.inf, np.take_along_axis(total, best, 1))
-        kept[t], parents[t] = states, np.take_along_axis(parent, np.take_along_axis(order, best, 1), 1)
-    paths, row = np.zeros((beams, n), np.int64), np.arange(beams)
-    at = np.lexsort((states, cost), axis=1)[:, 0] if n else np.zeros(beams, np.int64)
-    for t in range(n - 1, -1, -1):
-        paths[:, t], at = kept[t, row, at], parents[t, row, at]
-    return paths
+        again[..., 1:] = to[..., 1:] == to[..., :-1]
+        to = np.clip(to, 0, size - 1)
+        total = np.where(again, np.inf, total + (asked[ragged.step(t)][..., None] - curve.values[offset + to]) ** 2 / scales[:, None])
+        best = np.argsort(total, axis=2, kind="stable")[..., :width]
+        states, cost = np.take_along_axis(to, best, 2), np.where(unused, np.inf, np.take_along_axis(total, best, 2))
+        kept[ragged.step(t)], parents[ragged.step(t)] = states, np.take_along_axis(order, best, 2) // len(moves)
+        ending = slice(ragged.active[t + 1] if t + 1 < len(ragged.active) else 0, a)
+        at[ending] = np.lexsort((states[ending], cost[ending]), axis=2)[..., 0]
+    paths = np.empty((ragged.first[-1], beams), np.int64)
+    for t in range(len(ragged.active) - 1, -1, -1):
+        on, rows = at[: ragged.active[t], :, None], ragged.step(t)
+        paths[rows] = np.take_along_axis(kept[rows], on, 2)[..., 0]
+        at[: ragged.active[t]] = np.take_along_axis(parents[rows], on, 2)[..., 0]
+    return [x.T for x in ragged.unpack(paths)]
+
+
+def beam_paths(signals: np.ndarray, curve: np.ndarray, start: int, widths: np.ndarray, move_costs: np.ndarray, scales: np.ndarray, reach: int = 2) -> np.ndarray:
+    """beams_of_wells for one well."""
+    return beams_of_wells([signals], [curve], [start], widths, move_costs, scales, reach)[0]
 
 
 def beam_path(signal: np.ndarray, curve: np.ndarray, start: int, width: int, move_cost: float, scale: float, reach: int = 2) -> np.ndarray:
@@ -84,60 +144,116 @@ def _likelihood(d: np.ndarray) -> np.ndarray:
 
 
 def _normal(w: np.ndarray) -> np.ndarray:
-    total = w.sum()
-    return w / total if total > 0 else np.full(len(w), 1 / len(w))
-
-
-def particle_surface(md, z, gr, curve, start, step, noise, surface, rate, rng, n=600, keep=0.998, rate_noise=0.002, noise_pos=0.005, rough_pos=0.1, rough_rate=0.001):
-    """Mean and deviation of depth along the well, from particles of a surface (depth + z) that drifts at a slowly changing rate."""
-    pos = surface + 0.3 * rng.standard_normal(n)
-    vel = rate + 0.01 * rng.standard_normal(n)
-    w, before = np.full(n, 1 / n), (md[0] - 1.0 if len(md) else 0.0)
-    mean, std = np.empty(len(md)), np.empty(len(md))
-    lo, hi = start - 50.0, start + len(curve) * step + 50.0
-    for i in range(len(md)):
-        dm = max(md[i] - before, 1.0)
-        vel = keep * vel + rate_noise * rng.standard_normal(n)
-        pos = np.clip(pos + vel * dm + noise_pos * rng.standard_normal(n) - z[i], lo, hi) + z[i]
-        if np.isfinite(gr[i]):
-            w = _normal(w * _likelihood((gr[i] - on_grid(curve, start, step, pos - z[i])) / noise))
-        if 1 / (w * w).sum() < 0.5 * n:
-            pick = systematic(w, rng)
-            pos, vel = pos[pick] + rough_pos * rng.standard_normal(n), vel[pick] + rough_rate * rng.standard_normal(n)
-            w = np.full(n, 1 / n)
-        depth = pos - z[i]
-        mean[i] = w @ depth
-        std[i] = np.sqrt(w @ (depth - mean[i]) ** 2)
-        before = md[i]
-    return mean, std
-
-
-def particle_velocity(md, z, gr, smooth, curve, curve_smooth, start, step, noise, depth, speed, beta, shift, spread, rng, n=600, keep=0.993, speed_noise=0.005, noise_pos=0.01, smooth_share=0.3, rough_pos=0.2, rough_speed=0.003):
-    """As above, with particles of depth whose speed is expected to be beta * dz/dmd + shift."""
-    pos, vel = depth + 0.5 * rng.standard_normal(n), speed + 0.02 * rng.standard_normal(n)
-    w = np.full(n, 1 / n)
-    before, zb = (md[0] - 1.0, z[0] - 1.0) if len(md) else (0.0, 0.0)
-    mean, std = np.empty(len(md)), np.empty(len(md))
-    lo, hi = start - 50.0, start + len(curve) * step + 50.0
-    for i in range(len(md)):
-        dm = max(md[i] - before, 1.0)
-        expected = beta * (z[i] - zb) / dm + shift
-        vel = keep * vel + speed_noise * rng.standard_normal(n)
-        pos = np.clip(pos + vel * dm + noise_pos * rng.standard_normal(n), lo, hi)
-        if np.isfinite(gr[i]):
-            raw = _likelihood((gr[i] - on_grid(curve, start, step, pos)) / noise)
-            if np.isfinite(smooth[i]):
-                raw = (1 - smooth_share) * raw + smooth_share * _likelihood((smooth[i] - on_grid(curve_smooth, start, step, pos)) / (1.5 * noise))
-            w = _normal(w * raw)
-        w = _normal(w * _likelihood((vel - expected) / max(2 * spread, 0.005)))
-        if 1 / (w * w).sum() < 0.5 * n:
-            pick = systematic(w, rng)
-            pos, vel = pos[pick] + rough_pos * rng.standard_normal(n), vel[pick] + rough_speed * rng.standard_normal(n)
-            w = np.full(n, 1 / n)
-        mean[i] = w @ pos
-        std[i] = np.sqrt(w @ (pos - mean[i]) ** 2)
-        before, zb = md[i], z[i]
-    return mean, std
+    """Each row divided by its sum, even weights where that is 0."""
+    total = w.sum(axis=1, keepdims=True)
+    return np.where(total > 0, w / np.where(total > 0, total, 1.0), 1 / w.shape[1])
+
+
+class Particles:
+    """Positions, speeds and weights of n particles of each of several wells. Each well draws from its own generator, in the order in which it would alone."""
+
+    def __init__(self, wells: list[dict], n: int, at: str, speed: str, spread_at: float, spread_speed: float) -> None:
+        self.ragged, self.n = Ragged([len(w["md"]) for w in wells]), n
+        self.given, self.wells = wells, [wells[i] for i in self.ragged.order]
+        draws = self.normal(len(wells))
+        self.pos = self.each(at)[:, None] + spread_at * draws[:, 0]
+        self.vel = self.each(speed)[:, None] + spread_speed * draws[:, 1]
+        self.w = np.full((len(wells), n), 1 / n)
+        self.found = np.empty((self.ragged.first[-1], 2))
+
+    def each(self, name: str) -> np.ndarray:
+        return np.array([w[name] for w in self.wells], np.float64)
+
+    def rows(self, name: str) -> np.ndarray:
+        return self.ragged.pack([w[name] for w in self.given])
+
+    def normal(self, active: int) -> np.ndarray:
+        out = np.empty((active, 2, self.n))
+        for w, x in zip(self.wells, out, strict=False):
+            w["rng"].standard_normal(out=x)
+        return out
+
+    def keep(self, active: int) -> None:
+        """Only the first wells go on."""
+        self.pos, self.vel, self.w = self.pos[:active], self.vel[:active], self.w[:active]
+
+    def weigh(self, likelihood: np.ndarray, on: np.ndarray | None = None) -> None:
+        new = _normal(self.w * likelihood)
+        self.w = new if on is None or on.all() else np.where(on[:, None], new, self.w)
+
+    def resample(self, rough_pos: float, rough_vel: float) -> None:
+        """Wells whose effective number of particles is below half draw new ones."""
+        for k in np.flatnonzero(1 / (self.w * self.w).sum(axis=1) < 0.5 * self.n):
+            rng = self.wells[k]["rng"]
+            pick = systematic(self.w[k], rng)
+            self.pos[k] = self.pos[k][pick] + rough_pos * rng.standard_normal(self.n)
+            self.vel[k] = self.vel[k][pick] + rough_vel * rng.standard_normal(self.n)
+            self.w[k] = 1 / self.n
+
+    def tell(self, t: int, depth: np.ndarray) -> None:
+        mean = np.einsum("ij,ij->i", self.w, depth)
+        self.found[self.ragged.step(t)] = np.stack([mean, np.sqrt(np.einsum("ij,ij->i", self.w, (depth - mean[:, None]) ** 2))], 1)
+
+    def told(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(x[:, 0], x[:, 1]) for x in self.ragged.unpack(self.found)]
+
+
+def _limits(p: Particles, curve: Curves, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start = p.each("start")
+    return start, start - 50.0, start + curve.size * step + 50.0
+
+
+def surfaces_of_wells(wells: list[dict], step: float, n=600, keep=0.998, rate_noise=0.002, noise_pos=0.005, rough_pos=0.1, rough_rate=0.001) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of depth along each well, from particles of a surface (depth + z) that drifts at a slowly changing rate.
+
+    Each well: md, z, gr (rows), curve (from depth start, every step), start, noise, surface, rate, rng. Wells take a step together.
+    """
+    if not wells:
+        return []
+    p = Particles(wells, n, "surface", "rate", 0.3, 0.01)
+    curve = Curves([w["curve"] for w in wells], p.ragged)
+    start, lo, hi = _limits(p, curve, step)
+    md, z, gr, noise = p.rows("md"), p.rows("z"), p.rows("gr"), p.each("noise")
+    before = md[p.ragged.step(0)] - 1.0 if len(md) else md
+    for t, a in enumerate(p.ragged.active):
+        p.keep(a)
+        s, draws = p.ragged.step(t), p.normal(a)
+        dm, zt = np.maximum(md[s] - before[:a], 1.0)[:, None], z[s][:, None]
+        p.vel = keep * p.vel + rate_noise * draws[:, 0]
+        p.pos = np.clip(p.pos + p.vel * dm + noise_pos * draws[:, 1] - zt, lo[:a, None], hi[:a, None]) + zt
+        p.weigh(_likelihood((gr[s][:, None] - curve.on_grids(start, step, p.pos - zt)) / noise[:a, None]), np.isfinite(gr[s]))
+        p.resample(rough_pos, rough_rate)
+        p.tell(t, p.pos - zt)
+        before = md[s]
+    return p.told()
+
+
+def velocities_of_wells(wells: list[dict], step: float, n=600, keep=0.993, speed_noise=0.005, noise_pos=0.01, smooth_share=0.3, rough_pos=0.2, rough_speed=0.003) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As above, with particles of depth whose speed is expected to be beta * dz/dmd + shift; more of each well: smooth (rows), curve_smooth, depth, speed, beta, shift, spread."""
+    if not wells:
+        return []
+    p = Particles(wells, n, "depth", "speed", 0.5, 0.02)
+    curve, curve_smooth = (Curves([w[c] for w in wells], p.ragged) for c in ("curve", "curve_smooth"))
+    start, lo, hi = _limits(p, curve, step)
+    md, z, gr, smooth = (p.rows(c) for c in ("md", "z", "gr", "smooth"))
+    noise, beta, shift, spread = (p.each(c) for c in ("noise", "beta", "shift", "spread"))
+    first = p.ragged.step(0) if len(md) else slice(0)
+    before, zb = md[first] - 1.0, z[first] - 1.0
+    for t, a in enumerate(p.ragged.active):
+        p.keep(a)
+        s, draws = p.ragged.step(t), p.normal(a)
+        dm = np.maximum(md[s] - before[:a], 1.0)
+        expected = beta[:a] * (z[s] - zb[:a]) / dm + shift[:a]
+        p.vel = keep * p.vel + speed_noise * draws[:, 0]
+        p.pos = np.clip(p.pos + p.vel * dm[:, None] + noise_pos * draws[:, 1], lo[:a, None], hi[:a, None])
+        raw = _likelihood((gr[s][:, None] - curve.on_grids(start, step, p.pos)) / noise[:a, None])
+        both = (1 - smooth_share) * raw + smooth_share * _likelihood((smooth[s][:, None] - curve_smooth.on_grids(start, step, p.pos)) / (1.5 * noise[:a, None]))
+        p.weigh(np.where(np.isfinite(smooth[s])[:, None], both, raw), np.isfinite(gr[s]))
+        p.weigh(_likelihood((p.vel - expected[:, None]) / np.maximum(2 * spread[:a], 0.005)[:, None]))
+        p.resample(rough_pos, rough_speed)
+        p.tell(t, p.pos)
+        before, zb = md[s], z[s]
+    return p.told()
 
 
 def template_match(known: np.ndarray, known_depth: np.ndarray, signal: np.ndarray, half: int, stride: int = 3) -> tuple[np.ndarray, np.ndarray]:

@@ -16,15 +16,22 @@ def _run(columns: str, work, hidden_only: bool = True):
     return query
 
 
+def _run_batched(columns: str, work):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return al.per_batch(wells(spark, sf_dir), curve(spark, sf_dir), columns, work)
+
+    return query
+
+
 def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.savgol_by_well(wells(spark, sf_dir).filter(F.col("tvt_input").isNull()), "tvt")
 
 
 QUERIES = {
-    "beam_align": _run(al.BEAM_COLUMNS, al.beams),
+    "beam_align": _run_batched(al.BEAM_COLUMNS, al.beams_of_wells),
     "ncc_match": _run(al.TEMPLATE_COLUMNS, al.templates),
-    "pf_surface": _run("pf_mean double, pf_std double", al.surface_filter),
-    "pf_velocity": _run("pfz_mean double, pfz_std double", al.velocity_filter),
+    "pf_surface": _run_batched("pf_mean double, pf_std double", al.surface_filters),
+    "pf_velocity": _run_batched("pfz_mean double, pfz_std double", al.velocity_filters),
     "dtw_band": _run(al.WARP_COLUMNS, al.warps, False),
     "dtw_stochastic": _run("mean double, std double, cv double", al.random_warps, False),
     "savgol": savgol,

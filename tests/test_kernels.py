@@ -82,12 +82,33 @@ def test_particles_follow_a_known_surface():
     true = 60 + 0.3 * md
     gr = np.interp(true, depth, curve)
     z = np.zeros(len(md))
-    mean, std = kernels.particle_surface(md, z, gr, grid, start, 0.2, 10.0, 60.0, 0.3, np.random.default_rng(1))
+    given = {"md": md, "z": z, "gr": gr, "smooth": gr, "curve": grid, "curve_smooth": grid, "start": start, "noise": 10.0}
+    surface = lambda: given | {"surface": 60.0, "rate": 0.3, "rng": np.random.default_rng(1)}
+    speed = lambda: given | {"depth": 60.0, "speed": 0.3, "beta": 0.0, "shift": 0.3, "spread": 0.05, "rng": np.random.default_rng(2)}
+    mean, std = kernels.surfaces_of_wells([surface()], 0.2)[0]
     assert np.abs(mean - true).mean() < 2 and (std >= 0).all()
-    again, _ = kernels.particle_surface(md, z, gr, grid, start, 0.2, 10.0, 60.0, 0.3, np.random.default_rng(1))
-    np.testing.assert_array_equal(mean, again)
-    v, _ = kernels.particle_velocity(md, z, gr, gr, grid, grid, start, 0.2, 10.0, 60.0, 0.3, 0.0, 0.3, 0.05, np.random.default_rng(2))
+    v, _ = kernels.velocities_of_wells([speed()], 0.2)[0]
     assert np.abs(v - true).mean() < 3
+    # wells of other lengths, with gaps in the signal, change nothing of a well in their batch
+    short = {"md": md[:20] * 2, "z": z[:20] - 3, "gr": np.where(np.arange(20) % 3, 70.0, np.nan), "smooth": np.full(20, np.nan), "curve": grid[:90]}
+    for run, well, want in ((kernels.surfaces_of_wells, surface, mean), (kernels.velocities_of_wells, speed, v)):
+        other = lambda n: well() | {k: x[:n] if k != "curve" else x for k, x in short.items()} | {"rng": np.random.default_rng(n)}  # noqa: B023, E731
+        got = run([other(5), well(), other(20), other(0)], 0.2)
+        assert [len(m) for m, _ in got] == [5, len(md), 20, 0]
+        np.testing.assert_allclose(got[1][0], want, rtol=1e-9)
+        np.testing.assert_allclose(got[2][0], run([other(20)], 0.2)[0][0], rtol=1e-9)
+    assert kernels.surfaces_of_wells([], 0.2) == []
+
+
+def test_beams_of_a_batch_are_those_of_each_well():
+    rng = np.random.default_rng(8)
+    widths, moves, scales = np.array([2, 6]), np.array([0.2, 0.5]), np.array([0.5, 1.5])
+    lengths, sizes = [7, 0, 31, 7, 1], [12, 4, 40, 3, 9]
+    signals, curves, starts = [rng.normal(size=(2, n)) for n in lengths], [rng.normal(size=m) for m in sizes], [5, 0, 20, 2, 8]
+    got = kernels.beams_of_wells(signals, curves, starts, widths, moves, scales)
+    for i in range(len(lengths)):
+        assert got[i].shape == (2, lengths[i])
+        assert got[i].tolist() == kernels.beam_paths(signals[i], curves[i], starts[i], widths, moves, scales).tolist()
 
 
 def test_template_match_finds_a_copy():

@@ -91,9 +91,33 @@ def test_features_do_not_see_hidden_depths(spark):
 def test_results_do_not_depend_on_partitions(spark):
     from strataflow.operators import alignment
 
-    run = lambda w: alignment.per_well(w, curve(spark, DATA), "pf_mean double, pf_std double", alignment.surface_filter).toPandas().sort_values(["well_id", "row_id"]).reset_index(drop=True)
+    columns = "pf_mean double, pf_std double"
+    of = lambda found: found.toPandas().sort_values(["well_id", "row_id"]).reset_index(drop=True)
+    run = lambda w: of(alignment.per_batch(w, curve(spark, DATA), columns, alignment.surface_filters))
     rows = wells(spark, DATA)
-    pd.testing.assert_frame_equal(run(rows), run(rows.repartition(7, "row_id")))
+    one = run(rows)
+    pd.testing.assert_frame_equal(one, run(rows.repartition(7, "row_id")))
+    pd.testing.assert_frame_equal(one, of(alignment.per_well(rows, curve(spark, DATA), columns, alignment.surface_filter)))
+
+
+def test_batches_hold_whole_wells(spark):
+    from strataflow.operators import alignment
+
+    # wells cut by the batches of Arrow, a well without an id, one without a curve, a curve without a well, extra columns
+    rows, knots = wells(spark, DATA), curve(spark, DATA)
+    ids = sorted(r.well_id for r in rows.select("well_id").distinct().collect())
+    unnamed = lambda x: x.withColumn("well_id", F.when(F.col("well_id") != ids[0], F.col("well_id"))).withColumn("is_row", F.lit("x"))
+    rows, knots = unnamed(rows.filter(F.col("well_id") != ids[2])), unnamed(knots.filter(F.col("well_id") != ids[1]))
+    of = lambda found: found.toPandas().sort_values(["well_id", "row_id"]).reset_index(drop=True)
+    want = of(alignment.per_well(rows, knots, alignment.BEAM_COLUMNS, alignment.beams))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = of(alignment.per_batch(rows, knots, alignment.BEAM_COLUMNS, alignment.beams_of_wells))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pd.testing.assert_frame_equal(got, want)
+    assert got["well_id"].isna().any() and not set(ids[1:3]) & set(got["well_id"].dropna())
+    assert alignment.per_batch(rows.limit(0), knots, alignment.BEAM_COLUMNS, alignment.beams_of_wells).count() == 0
 
 
 def test_grid_search_and_optimum(spark):
