@@ -335,6 +335,32 @@ def test_license_sentences_over_lines_and_odd_blanks(spark):
     assert got == {i: n for i, n in want.items() if n} and sum(map(bool, want.values())) >= len(rows) - 1
 
 
+def test_license_notices_as_files_hold_them(spark):
+    two = license_rules.RULES["BSD-2-Clause"][0]
+    prose = "We walked along the river and talked about the harvest of last year. "
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
+    cases = [
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;", ["MPL-2.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        (f"1. {two[0]}\n2. {two[1]}", ["BSD-2-Clause"]),
+        (f"{two[0]}\n{prose * license_rules.GAP}\n{two[1]}", ["BSD-2-Clause"]),
+        (f"{two[0]}\n{prose * (license_rules.GAP + 1)}\n{two[1]}", []),
+        (f"{two[0]}\n{prose * 180}\n{two[1]}", []),
+        (f"{two[0]}\n{'word ' * 2500}\n{two[1]}", []),
+        ("## License\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", ["MIT"]),
+        ("This project is licensed under the MIT License, see LICENSE.txt.", ["MIT"]),
+        ("The parser of the neighbours is not licensed under the MIT License", []),
+        ("// SPDX-License-Identifier: Apache-2.0\npackage main", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", []),
+        (apache, ["Apache-2.0"]),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_rules.license_findings(docs).collect()}
+    assert [got.get(i, []) for i in range(len(cases))] == [want for _, want in cases]
+    assert len({name for name, _ in license_rules.variants()}) >= 30
+
+
 def test_license_rules(spark, awkward, nothing):
     texts = {name: " intro.\n" + "\n".join(seq) + "\nend." for name, variants in license_rules.RULES.items() for seq in variants[:1]}
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
