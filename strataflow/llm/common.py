@@ -66,6 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, or a longer one that no column of the tables has in any case of letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[str], salts: int = 16, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join rows with small, a staged table that holds each key once.
 
@@ -74,10 +82,7 @@ def lookup_join(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str,
     """
     if small.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(small), list(on), how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    spread = small.withColumn("_salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    salt = unused("_salt", rows, small)
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    spread = small.withColumn(salt, F.explode(F.array([F.lit(i) for i in range(salts)])))
+    return salted.join(spread, [*on, salt], how).drop(salt)

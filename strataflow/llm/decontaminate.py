@@ -9,7 +9,9 @@ found. An item shorter than a window must occur whole and unchanged; one shorter
 as its seed, and documents are hashed by as many words where items of that length exist.
 
 Defined cases: null and empty texts hold nothing; null item texts, and items without a word, are ignored; a long text is
-one row, whose words are held as arrays; rows that share an id are one document, null ids are one too;
+one row, whose words are held as arrays, and of which a hit copies no more words than its item has; rows that share an id
+are one document, null ids are one too, though each different text is searched by itself, so many rows without an id are
+not gathered; columns of documents may have any names;
 null item ids are ignored, items that share an id are one, repeated texts are reported under each of their ids; an empty table gives an empty result. Only the id and text column of
 either table are read. Text is not shuffled: the benchmark's seeds are broadcast after a count (SEED_ROWS), beyond it the
 documents' seed hashes are shuffled; texts with hits are met by a second scan.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import BROADCAST_LISTS, lookup_join, staged, table
+from strataflow.llm.common import BROADCAST_LISTS, lookup_join, staged, table, unused
 
 #: 1 marks the words that count.
 MASKS = ("11101011", "110100111")
@@ -59,29 +61,33 @@ def seeds(words: DataFrame, short: list[int], whole: bool = False) -> DataFrame:
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """doc_id, item_id, first_word, end_word: the span of a document's words within verified windows of an item."""
-    items = staged(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")), "items")
+    items = staged(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("words")).withColumn("n_item", F.size("words")), "items")
     # at most as many rows as a mask has words
     short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).filter(F.col("n").between(1, len(MASKS[0]) - 1)).distinct().collect())
     known = staged(seeds(items, short, whole=True).withColumnRenamed("at", "item_at"), "seeds")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = seeds(docs.select("doc_id", words_of(F.col("text")).alias("words")), short)
+    text = F.col(text_col)
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    found = seeds(docs.select("doc_id", "mark", words_of(F.col("text")).alias("words")), short)
     small = known.limit(SEED_ROWS + 1).count() <= SEED_ROWS
     hits = found.join(F.broadcast(known) if small else known, "key")
-    # a hit proposes a diagonal: where the item would start in the document; diagonals are few for each pair
-    places = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    places = staged(places.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).agg(F.collect_list(F.struct("item_id", "shift")).alias("places")), "places")
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
-    again = lookup_join(keyed, places, ["_id", "_none"], "inner", ["doc_id"], most=BROADCAST_LISTS)
-    again = again.select("doc_id", words_of(F.col("text")).alias("words"), "places").select("doc_id", "words", F.explode("places").alias("p"))
-    base = F.greatest(F.lit(0), F.col("p.shift"))
-    cut = again.select("doc_id", F.col("p.item_id").alias("item_id"), F.col("p.shift").alias("shift"), base.alias("base"), F.size("words").alias("n"), "words")
+    # a hit proposes a diagonal: where the item would start in the document; texts with one mark only share proposals
+    places = hits.select("doc_id", "mark", "item_id", "n_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    row = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "mark"]
+    places = staged(places.groupBy(*row).agg(F.collect_list(F.struct("item_id", "n_item", "shift")).alias("places")), "places")
+    again = lookup_join(docs.select("doc_id", "text", *row), places, ["id", "none", "mark"], "inner", ["id"], most=BROADCAST_LISTS)
+    again = again.select("doc_id", words_of(F.col("text")).alias("words"), "places")
+    first = lambda p: F.greatest(F.lit(0), p["shift"])
+    length = lambda p: F.greatest(F.lit(1), F.least(F.size("words") - first(p), p["n_item"] - first(p) + p["shift"]))
+    # words are got one by one: slice() inside transform() would copy all words for each place
+    part = lambda p: F.transform(F.sequence(F.lit(0), length(p) - 1), lambda k: F.get("words", first(p) + k))
+    met = F.transform("places", lambda p: F.struct(p["item_id"].alias("item_id"), p["shift"].alias("shift"), first(p).alias("base"), part(p).alias("x")))
+    cut = again.select("doc_id", F.explode(met).alias("p")).select("doc_id", "p.*")
     # every item with a word has a seed, and at most seven words more than seeds: the count of seeds bounds these too
     item_words = items.select("item_id", F.col("words").alias("y")).filter("item_id is not null and size(words) > 0")
     size = F.size("y")
     both = cut.join(F.broadcast(item_words) if small else item_words, "item_id")
     skip = F.col("base") - F.col("shift")
-    length = F.least(F.col("n") - F.col("base"), size - skip)
-    aligned = both.select("doc_id", "item_id", "base", F.least(F.lit(window), size).alias("window"), F.when(size < window, size).otherwise(window - substitutions).alias("need"), length.alias("length"), F.zip_with(F.slice("words", F.col("base") + 1, F.greatest(length, F.lit(0))), F.slice("y", skip + 1, F.greatest(length, F.lit(0))), lambda a, b: (a == b).cast("int")).alias("same"))
+    aligned = both.select("doc_id", "item_id", "base", F.least(F.lit(window), size).alias("window"), F.when(size < window, size).otherwise(window - substitutions).alias("need"), F.size("x").alias("length"), F.zip_with("x", F.slice("y", skip + 1, F.size("x")), lambda a, b: (a == b).cast("int")).alias("same"))
     good = F.expr("filter(sequence(0, size(same) - window), s -> aggregate(slice(same, s + 1, window), 0, (a, b) -> a + b) >= need)")
     passed = aligned.withColumn("good", F.when((F.col("length") >= F.col("window")) & (F.size("same") >= F.col("window")), good)).filter(F.size("good") > 0)
     spans = passed.select("doc_id", "item_id", (F.col("base") + F.array_min("good")).alias("first"), (F.col("base") + F.array_max("good") + F.col("window")).alias("end"))
@@ -90,10 +96,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents, with all their columns, whose id is not in overlaps()."""
-    hit = staged(overlaps(documents, benchmark, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct(), "leaks")
-    own = F.col(id_col).cast("long")
-    keyed = documents.withColumn("_id", F.coalesce(own, F.lit(0))).withColumn("_none", own.isNull())
-    return lookup_join(keyed, hit, ["_id", "_none"], "left_anti", [id_col]).drop("_id", "_none")
+    number, none = (unused(n, documents) for n in ("_id", "_none"))
+    hit = overlaps(documents, benchmark, id_col, text_col).select(F.coalesce("doc_id", F.lit(0)).alias(number), F.col("doc_id").isNull().alias(none))
+    hit, own = staged(hit.distinct(), "leaks"), F.col(id_col).cast("long")
+    keyed = documents.withColumn(number, F.coalesce(own, F.lit(0))).withColumn(none, own.isNull())
+    return lookup_join(keyed, hit, [number, none], "left_anti", [id_col]).drop(number, none)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

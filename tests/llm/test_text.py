@@ -424,6 +424,22 @@ def test_leaks(spark, awkward, nothing, monkeypatch, limit):
     assert {(r.doc_id, r.item_id, r.first_word, r.end_word) for r in decontaminate.overlaps(awkward, odd).collect()} == {(9, 1, 0, 1), (10, 1, 0, 1), (None, 1, 0, 5)}
 
 
+def test_leaks_with_clashing_columns_many_places_and_no_ids(spark):
+    from strataflow.llm import common
+
+    bench = spark.createDataFrame([(1, "cat"), (2, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    long_text = "dog " + "cat " * 100_000
+    rows = [(1, long_text, 7, 8, 9, 10), (2, "dog", 7, 8, 9, 10), (None, "dog", 7, 8, 9, 10), (None, "a cat", 7, 8, 9, 10), (None, " ".join(f"w{i}" for i in range(20)), 7, 8, 9, 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id int, _None int, _salt int, mark int")
+    got = {tuple(r) for r in decontaminate.overlaps(frame, bench).collect()}
+    assert got == {(1, 1, 1, 100_001), (None, 1, 1, 2), (None, 2, 0, 20)}
+    clean = decontaminate.decontaminated(frame, bench)
+    assert clean.columns == frame.columns and [tuple(r) for r in clean.collect()] == [rows[1]]
+    # beyond the broadcast the salt is named apart from the columns too
+    small = spark.createDataFrame([(7,)], "_id int")
+    assert common.lookup_join(frame, small, ["_id"], "inner", ["doc_id"], most=0).select(*frame.columns).exceptAll(frame).isEmpty()
+
+
 def test_leaks_on_the_table(spark):
     docs, bench = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
     got = {(r.doc_id, r.item_id) for r in decontaminate.op10_decontaminate(spark, DATA).collect()}
