@@ -10,11 +10,14 @@ they are linked at `threshold` (0.8) or more. Short texts have smaller samples,
 
 Equal word sequences are one node. In a bucket of equal sketches each node is compared with the bucket's leader, so a
 bucket of any size gives as many comparisons as members. Members that then lie in another component than their leader may
-still be linked with other members of it. For these
+still be linked with other members of it. The members of such a leader are compared once more, with a centre: the one
+among them whose k-mers are the most frequent in all these texts, which is nearest to what they were copied from. Leaders
+with one centre become one group. For members that are still in another component than their centre
   - a node of which more than the allowed part of the labelled k-mers stand in no other text in question can't be linked;
-  - of any two nodes under one leader, what both share is bounded by the leader's k-mers that neither lost (a bit map of
-    `BINS` parts of the leader) and by the k-mers outside of the leader that others have too.
-Both bounds are exact, so pairs that pass them are aligned, all others can't be linked, and no link within a bucket is lost
+  - of any two nodes under one centre, what both share is bounded by the centre's k-mers that neither lost (bit maps of
+    `BINS` and up to `PARTS` parts of the centre) and by the k-mers outside of the centre that others have too, or that meet
+    in a signature of `EXTRA` bits.
+All bounds are exact, so pairs that pass them are aligned, all others can't be linked, and no link within a bucket is lost
 because a leader lay between. Pairs are formed in cells of `CELL` by `CELL` nodes, only between components, and never
 within one. At the least k-mer overlap that the threshold allows (a Jaccard similarity of 2/3) 0.3 % of pairs share none of
 the sketches.
@@ -45,6 +48,7 @@ LEAST_LONG = 16  # texts from here on have the long sketches too: 0.8 * (SHORT +
 LEADER_ROWS = 256
 CELL = 512
 BINS = 256
+PARTS, EXTRA = 4096, 2048  # bits of a centre's lost k-mers, and of a member's k-mers outside of the centre
 PART_BYTES = 1 << 19  # of text at a time: a task holds about 40 times that
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -204,33 +208,46 @@ def chain_length(i: np.ndarray, j: np.ndarray, band: int) -> int:
     return len(tails)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[float, np.ndarray]:
-    """chain / longer length, or 0 if the lengths or the shared k-mers alone keep it below the threshold; and the places in a of what is shared."""
+def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """chain / longer length, or 0 if the lengths or the shared k-mers alone keep it below the threshold; and the places in a and b of what is shared."""
     longer = max(len(a), len(b))
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not longer or min(len(a), len(b), len(i)) < threshold * longer:
-        return 0.0, i
-    return chain_length(i, j, int(np.ceil((1 - threshold) * longer)) + 1) / longer, i
+        return 0.0, i, j
+    return chain_length(i, j, int(np.ceil((1 - threshold) * longer)) + 1) / longer, i, j
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return aligned(a, b, threshold)[0]
 
 
-def lost_bins(n: int, shared: np.ndarray) -> np.ndarray:
-    """Which of BINS parts of n places hold one that is not shared, as four integers."""
+def lost_bins(n: int, shared: np.ndarray, parts: int = BINS) -> np.ndarray:
+    """Which of `parts` parts of n places hold one that is not shared, in integers of 64 bits."""
     lost = np.ones(n, bool)
     lost[shared] = False
     at = np.flatnonzero(lost)
-    bins = np.zeros(BINS, np.uint8)
-    bins[at if n <= BINS else at * BINS // n] = 1
+    bins = np.zeros(parts, np.uint8)
+    bins[at if n <= parts else at * parts // n] = 1
     return np.packbits(bins).view("<i8")
 
 
-COMPARED = "leader long, member long, linked boolean, n_leader int, n_member int, shared int, l0 long, l1 long, l2 long, l3 long"
+def extra_bits(kmers: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A signature of EXTRA bits, in integers of 64, of the k-mers that do not stand at the shared places.
 
+    Each of its bits that another's lacks stands for a k-mer at least that the other has not.
+    """
+    extra = np.ones(len(kmers), bool)
+    extra[shared] = False
+    bits = np.zeros(EXTRA, np.uint8)
+    bits[(kmers[extra] % np.uint64(EXTRA)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8")
+
+
+COMPARED = "leader long, member long, linked boolean, n_leader int, n_member int, shared int"
+BOUNDED = f"{COMPARED}, l0 long, l1 long, l2 long, l3 long, lost array<long>, extra array<long>"
 
-def _compare(threshold: float):
+
+def _compare(threshold: float, bounded: bool):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by leader: the leader's own first, then its members; only the leader is held."""
         leader, held = None, np.zeros(0, np.uint64)
@@ -245,17 +262,22 @@ def _compare(threshold: float):
                     if y is None:
                         leader, held = x, own.copy()
                     elif x == leader:
-                        score, shared = aligned(held, own, threshold)
-                        out.append((x, y, score >= threshold, len(held), len(own), len(shared), *lost_bins(len(held), shared).tolist()))
-                columns = list(zip(*out, strict=True)) or [[]] * 10
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in COMPARED.split(", ")])
-
+                        score, shared, there = aligned(held, own, threshold)
+                        row = (x, y, score >= threshold, len(held), len(own), len(shared))
+                        if bounded:
+                            parts = min(PARTS, -(-len(held) // 64) * 64)
+                            row += (*lost_bins(len(held), shared).tolist(), lost_bins(len(held), shared, parts), extra_bits(own, there))
+                        out.append(row)
+                columns = list(zip(*out, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    names = [c.split(" ")[0] for c in (BOUNDED if bounded else COMPARED).split(", ")]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()] + ([pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 if bounded else [])
     return compare
 
 
-def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """COMPARED of pairs (leader, member) of distinct ids; docs(doc_id, body) has each id's text.
+def compared(docs: DataFrame, pairs: DataFrame, threshold: float, bounded: bool = False) -> DataFrame:
+    """COMPARED (BOUNDED, if so) of pairs (leader, member) of distinct ids; docs(doc_id, body) has each id's text.
 
     A leader's text goes out once for every LEADER_ROWS members, each member's once a pair.
     """
@@ -272,7 +294,7 @@ def compared(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     members = with_text(placed).select("leader", "block", F.col("doc_id").alias("member"), "body")
     heads = with_text(leaders.withColumnsRenamed({"leader": "doc_id"})).select(F.col("doc_id").alias("leader"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(None).cast("long").alias("member"), "body")
     dealt = heads.unionByName(members).repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("member").asc_nulls_first())
-    return staged(dealt.mapInArrow(lean(_compare(threshold)), COMPARED), "omh-compared")
+    return staged(dealt.mapInArrow(lean(_compare(threshold, bounded)), BOUNDED if bounded else COMPARED), "omh-compared")
 
 
 def _kmer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,35 +305,74 @@ def _kmer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kmers.view(np.int64))], ["doc_id", "kmer"])
 
 
-def own_kmers(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """member, own: how many labelled k-mers of a text stand in no other text of ids(doc_id); rows with one at least."""
-    kmers = lookup_join(docs, ids, ["doc_id"], "left_semi", ["doc_id"]).mapInArrow(lean(_kmer_batches), "doc_id long, kmer long")
-    single = kmers.groupBy("kmer").agg(F.min("doc_id").alias("member"), F.max("doc_id").alias("last")).filter("member = last")
-    return staged(single.groupBy("member").agg(F.count("*").cast("int").alias("own")), "omh-own")
+def kmers_seen(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, kmer) of ids(doc_id), and of each k-mer the least and greatest id that has it, and how many."""
+    kmers = staged(lookup_join(docs, ids, ["doc_id"], "left_semi", ["doc_id"]).mapInArrow(lean(_kmer_batches), "doc_id long, kmer long"), "omh-kmers")
+    return kmers, staged(kmers.groupBy("kmer").agg(F.min("doc_id").alias("member"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "omh-seen")
 
 
-def crossing(docs: DataFrame, met: DataFrame, groups: DataFrame, threshold: float) -> DataFrame | None:
-    """Pairs (leader, member) of nodes that met(COMPARED) has under one leader, that lie in different components and pass the bounds; None if no member is apart from its leader."""
-    of = groups.withColumnsRenamed({"id": "member", "class_id": "x"})
-    classed = lookup_join(met, of, ["member"], "left", ["leader"]).withColumn("x", F.coalesce("x", "member"))
+def own_kmers(seen: DataFrame) -> DataFrame:
+    """member, own: how many labelled k-mers of a text stand in no other; rows with one at least."""
+    return staged(seen.filter("member = last").groupBy("member").agg(F.count("*").cast("int").alias("own")), "omh-own")
+
+
+def weights(kmers: DataFrame, seen: DataFrame) -> DataFrame:
+    """member, weight: how often a text's k-mers stand in all texts; of the most frequent k-mers, as many as may be broadcast. It only chooses centres."""
+    level = F.length(F.bin("n"))
+    least, total = 64, 0
+    for row in sorted(seen.filter("n > 1").groupBy(level.alias("level")).count().collect(), reverse=True):  # a row for each power of two
+        total += row["count"]
+        if total > BROADCAST_ROWS:
+            break
+        least = row["level"]
+    common = seen.filter(level >= least).select("kmer", "n")
+    return staged(kmers.join(F.broadcast(common), "kmer").groupBy(F.col("doc_id").alias("member")).agg(F.sum("n").alias("weight")), "omh-weights")
+
+
+def centred(docs: DataFrame, met: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Pairs (leader, member) of a centre and each node of the leaders that have it, and own_kmers() of these nodes; None if in met(COMPARED) no member is apart from its leader."""
+    classed = lookup_join(met, groups.withColumnsRenamed({"id": "member", "class_id": "x"}), ["member"], "left", ["leader"])
     classed = lookup_join(classed, groups.withColumnsRenamed({"id": "leader", "class_id": "y"}), ["leader"], "left", ["member"])
-    classed = staged(classed.withColumn("apart", F.col("x") != F.coalesce("y", "leader")).withColumnRenamed("x", "class_id").drop("y"), "omh-classed")
-    active = staged(classed.filter("apart").select("leader").distinct(), "omh-active")
+    active = staged(classed.filter("coalesce(x, member) != coalesce(y, leader)").select("leader").distinct(), "omh-active")
     if active.isEmpty():
         return None
-    pool = lookup_join(classed, active, ["leader"], "left_semi", ["member"])
-    ids = staged(pool.select(F.col("member").alias("doc_id")).unionByName(active.withColumnsRenamed({"leader": "doc_id"})).distinct(), "omh-ids")
-    pool = lookup_join(pool, own_kmers(docs, ids), ["member"], "left", ["leader"]).withColumn("open", F.expr("n_member - coalesce(own, 0)"))
-    pool = staged(pool.filter(F.col("open") / F.col("n_member") >= threshold).withColumn("outside", F.expr("open - shared")), "omh-open")
+    nodes = lookup_join(met.select("leader", "member"), active, ["leader"], "left_semi", ["member"]).unionByName(active.withColumn("member", F.col("leader")))
+    nodes = staged(nodes, "omh-active-nodes")
+    kmers, seen = kmers_seen(docs, staged(nodes.select(F.col("member").alias("doc_id")).distinct(), "omh-ids"))
+    weighed = lookup_join(nodes, weights(kmers, seen), ["member"], "left", ["leader"])
+    best = F.max_by("member", F.struct(F.coalesce("weight", F.lit(0)), F.expr("member = leader"), F.expr("-member")))
+    centres = staged(weighed.groupBy("leader").agg(best.alias("centre")), "omh-centres")
+    pairs = lookup_join(nodes, centres, ["leader"], "inner", ["member"]).filter("member != centre")
+    return pairs.select(F.col("centre").alias("leader"), "member"), own_kmers(seen)
+
+
+def _bits(of: str) -> str:
+    """SQL for how many bits are set in `of`, an operation on words a and b of two lists: {0} and {1}."""
+    return f"aggregate(zip_with({{0}}, {{1}}, (a, b) -> bit_count({of})), 0, (n, k) -> n + k)"
+
+
+def crossing(met: DataFrame, groups: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (leader, member) of nodes that met(BOUNDED) has under one centre, that lie in different components and pass the bounds."""
+    of = groups.withColumnsRenamed({"id": "member", "class_id": "x"})
+    classed = lookup_join(met, of, ["member"], "left", ["leader"]).withColumn("x", F.coalesce("x", "member"))
+    classed = lookup_join(classed, groups.withColumnsRenamed({"id": "leader", "class_id": "y"}), ["leader"], "left", ["member"])
+    classed = classed.withColumn("apart", F.col("x") != F.coalesce("y", "leader")).withColumnRenamed("x", "class_id").drop("y")
+    pool = lookup_join(classed, own, ["member"], "left", ["leader"]).withColumn("open", F.expr("n_member - coalesce(own, 0)"))
+    pool = staged(pool.filter(F.col("open") / F.col("n_member") >= threshold).withColumns({"outside": F.expr("open - shared"), "others": F.expr("n_member - shared")}), "omh-open")
     cells = staged(pool.groupBy("leader").agg(F.ceil(F.count("*") / CELL).cast("int").alias("ny"), F.ceil(F.count_if("apart") / CELL).cast("int").alias("nx")).filter("nx > 0"), "omh-cells")
     dealt = lookup_join(pool, cells, ["leader"], "inner", ["member"])
     y = dealt.withColumn("i", F.explode(F.expr("sequence(0, nx - 1)"))).withColumn("j", F.expr("cast(pmod(xxhash64(member), ny) as int)")).alias("y")
     x = dealt.filter("apart").withColumn("i", F.expr("cast(pmod(xxhash64(member), nx) as int)")).withColumn("j", F.explode(F.expr("sequence(0, ny - 1)"))).alias("x")
     between = F.expr("x.class_id != y.class_id and (not y.apart or x.member < y.member)")
-    kept = F.expr("x.n_leader - " + " - ".join(f"bit_count(x.l{k} | y.l{k})" for k in range(4)) + " + least(x.outside, y.outside)")
-    bound = F.least(kept, F.col("x.open"), F.col("y.open"), F.col("x.n_member"), F.col("y.n_member"))
-    near = bound / F.greatest("x.n_member", "y.n_member") >= threshold
-    pairs = x.join(y, F.expr("x.leader = y.leader and x.i = y.i and x.j = y.j") & between & near)
+    longer = F.greatest("x.n_member", "y.n_member")
+    outside = F.least("x.outside", "y.outside")
+    kept = F.expr("x.n_leader - " + " - ".join(f"bit_count(x.l{k} | y.l{k})" for k in range(4)))
+    near = F.least(kept + outside, F.col("x.open"), F.col("y.open"), F.col("x.n_member"), F.col("y.n_member")) / longer >= threshold
+    # the same with finer bit maps, for what passes
+    kept = F.expr("x.n_leader - " + _bits("a | b").format("x.lost", "y.lost"))
+    met_by = [F.expr(f"{p}.others - " + _bits("a & ~b").format(f"{p}.extra", f"{q}.extra")) for p, q in ("xy", "yx")]
+    nearer = (kept + F.least(outside, *met_by)) / longer >= threshold
+    pairs = x.join(y, F.expr("x.leader = y.leader and x.i = y.i and x.j = y.j") & between & near & nearer)
     return pairs.select(F.col("x.member").alias("leader"), F.col("y.member").alias("member"))
 
 
@@ -330,9 +391,11 @@ def near_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = compared(docs, pairs, threshold)
     links = met.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
     groups = components(links)
-    more = crossing(docs, met, groups, threshold)
-    if more is not None:
-        found = compared(docs, more, threshold).filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
+    if (again := centred(docs, met, groups)) is not None:
+        met = compared(docs, again[0], threshold, bounded=True)
+        links = links.unionByName(met.filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b")))
+        groups = components(links)
+        found = compared(docs, crossing(met, groups, again[1], threshold), threshold).filter("linked").select(F.col("leader").alias("a"), F.col("member").alias("b"))
         if not found.isEmpty():
             groups = components(links.unionByName(found))
 

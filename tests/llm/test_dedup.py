@@ -166,6 +166,32 @@ def test_large_groups_of_near_copies(spark):
     assert {r.class_id for r in order_minhash.near_classes(many).collect()} == {0}
 
 
+def test_pairs_across_components_grow_with_the_group(spark, monkeypatch):
+    """Copies edited so much that many lie apart from their leaders: most of them by a hair, so that pairs of them pass loose bounds."""
+    rng = random.Random(21)
+    base = prose(51, 150).split()
+
+    def edited(n):
+        words = list(base)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"w{rng.randrange(300)}"
+        return " ".join(words)
+
+    rows = [(i, edited(rng.choice([1, 2, 3, 4, 5, 5, 6, 6, 7]))) for i in range(800)]
+    compared, sizes = order_minhash.compared, []
+
+    def counted(docs, pairs, *more, **options):
+        pairs = pairs.persist()
+        sizes.append(pairs.count())
+        return compared(docs, pairs, *more, **options)
+
+    monkeypatch.setattr(order_minhash, "compared", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(docs).collect()}
+    assert got == brute_near(rows)
+    assert sizes[-1] < 4 * len(rows), sizes  # 25,848 pairs where members met by the bounds of their leader alone
+
+
 def test_bounds_of_shared_kmers():
     rng = np.random.default_rng(4)
     for n in (30, 256, 700):
