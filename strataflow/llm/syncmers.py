@@ -62,9 +62,9 @@ def _in_block(block: Column, start: Column) -> Column:
     width = K - S
 
     def closed(h: Column, x: Column, i: Column) -> Column:
-        """Whether the k-mer that begins at place i has its least inner substring at an edge."""
+        """Whether the k-mer that begins at place i has its least inner substring at an edge; null or false where the block ends before."""
         last, inside = F.get(h, i + width), [F.get(h, i + j) for j in range(1, width)]
-        return (i + width < F.size(h)) & (_all([x <= last, *(x <= y for y in inside)]) | _all([last < x, *(last < y for y in inside)]))
+        return F.when(x <= last, _all([x <= y for y in inside])).otherwise(_all([last < y for y in inside]))
 
     def chosen(h: Column) -> Column:
         at = F.filter(F.transform(h, lambda x, i: F.when(closed(h, x, i), i)), lambda i: i.isNotNull())

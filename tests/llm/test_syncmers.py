@@ -109,3 +109,13 @@ def test_edits_move_few_anchors(spark):
 def test_plan_has_no_python(spark):
     plan = syncmers.op11_syncmers(spark, DATA)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_each_place_is_compared_on_one_side_only(spark):
+    """Every comparison is interpreted once a code point: the two edges once, then the others with the lesser edge only."""
+    text = spark.createDataFrame([("x",)], "text string")
+    plan = text.select(syncmers.anchors(F.col("text")).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("<") <= 1 + 2 * (K - S - 1), plan.count("<")
+    short = ["x" * n for n in range(K + 3)] + [prose(n, 9)[: K + n] for n in range(40)]  # blocks that end within a k-mer
+    found = spark.createDataFrame([(t,) for t in short], "text string").select("text", syncmers.anchors(F.col("text")).alias("a")).collect()
+    assert all([(a >> 32, a & 0xFFFFFFFF) for a in r.a] == anchors_of(r.text) for r in found)
