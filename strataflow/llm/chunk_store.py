@@ -13,7 +13,7 @@ bytes, every root from what is below it and the running totals, and fail if anyt
 sizes must be the lengths of the chunks stored under its addresses and add up to its n_tokens; the chunk table must hold as
 many rows as the head says, so that a chunk that is there twice fails the read too. `uses` is a figure that no read needs.
 
-Words that a task has not met are encoded by the tokenizers library's model; texts are normalised and cut as lexer says.
+Each word of a group of batches is encoded once, by the tokenizers library's model; texts are normalised and cut as lexer says.
 
 Defined cases: a null or empty text is the end id alone; null ids come first in the order, rows that share an id are
 ordered by root; equal rows are each written; an empty table gives an empty store; a long text is encoded and cut whole,
@@ -93,28 +93,28 @@ def encoded_chunks(documents: DataFrame, path: str, id_col: str, text_col: str,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer, met = Lexer(spec.value, kind), set()
-        for batch in batches:
-            for part in parts(batch, "text"):
-                offsets, values = lexer.encode(part.column("text").to_pylist())
-                ids = np.insert(values, offsets[1:], end_id).astype(kind)
-                ends = offsets[1:] + np.arange(1, len(offsets))
-                stops = cuts(ids, ends)
-                sizes = np.diff(stops, prepend=0)
-                data = ids.tobytes()
-                chunks = [data[(b - n) * width : b * width] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
-                keys = [address(x) for x in chunks]
-                sent: list[bytes | None] = []
-                for key, chunk in zip(keys, chunks, strict=True):
-                    sent.append(None if key in met else chunk)
-                    met.add(key)
-                if len(met) > MET:  # chunks met again are then sent again, and dropped by their address
-                    met.clear()
-                each = pa.array(np.concatenate([[0], np.searchsorted(stops, ends, side="right")]), pa.int32())
-                lists = [pa.ListArray.from_arrays(each, pa.array(x, t)) for x, t in ((keys, pa.binary()), (sizes, pa.int32()), (sent, pa.binary()))]
-                bounds = each.to_pylist()
-                roots = [merkle_root(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                names = ["doc_id", "n_tokens", "addresses", "sizes", "root", "chunks"]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), lists[0], lists[1], pa.array(roots, pa.binary()), lists[2]], names)
+        # ids of rows are copied, since a column keeps its whole batch in memory
+        texts = ((pa.array(part.column("doc_id").to_pylist(), pa.int64()), part.column("text").to_pylist()) for batch in batches for part in parts(batch, "text"))
+        for doc_id, offsets, values in lexer.grouped(texts):
+            ids = np.insert(values, offsets[1:], end_id).astype(kind)
+            ends = offsets[1:] + np.arange(1, len(offsets))
+            stops = cuts(ids, ends)
+            sizes = np.diff(stops, prepend=0)
+            data = ids.tobytes()
+            chunks = [data[(b - n) * width : b * width] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
+            keys = [address(x) for x in chunks]
+            sent: list[bytes | None] = []
+            for key, chunk in zip(keys, chunks, strict=True):
+                sent.append(None if key in met else chunk)
+                met.add(key)
+            if len(met) > MET:  # chunks met again are then sent again, and dropped by their address
+                met.clear()
+            each = pa.array(np.concatenate([[0], np.searchsorted(stops, ends, side="right")]), pa.int32())
+            lists = [pa.ListArray.from_arrays(each, pa.array(x, t)) for x, t in ((keys, pa.binary()), (sizes, pa.int32()), (sent, pa.binary()))]
+            bounds = each.to_pylist()
+            roots = [merkle_root(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            names = ["doc_id", "n_tokens", "addresses", "sizes", "root", "chunks"]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(ends, prepend=0), pa.int64()), lists[0], lists[1], pa.array(roots, pa.binary()), lists[2]], names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(lean(encode), f"{ROW}, chunks array<binary>")

@@ -97,6 +97,29 @@ def test_odd_characters_are_encoded_whole(library):
         assert offsets.tolist() == [0, 1, len(ids), len(ids)] and ids[1:].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_groups_encode_words_once_and_as_the_library(library):
+    spec = bpe.tokenizer_spec(bpe.vocabulary())
+    each_mark = spec.replace("[^\\\\s\\\\p{L}\\\\p{N}]+", "[^\\\\s\\\\p{L}\\\\p{N}]")  # another way of cutting runs of marks
+    assert each_mark != spec
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(15))) for _ in range(2000)] + ["", "!", "a!?", "it's", "don't.'s", "'", "''s", "x--", "--x", "é...", "12.", "_a_"]
+    texts += [" ".join("".join(rng.choice("etaon") for _ in range(rng.randrange(1, 7))) + rng.choice(["", "", ".", ",", "?!"]) for _ in range(40)) for _ in range(500)]
+    for one in (spec, each_mark):
+        whole = type(library).from_str(one)
+        for most in (1, 10**9):
+            lexer, met = Lexer(one, "<u2"), []
+            encode = lexer.words
+            lexer.words = lambda words, encode=encode, met=met: (met.extend(words), encode(words))[1]
+            batches = [(i, list(part)) for i, part in enumerate(itertools.batched(texts, 100))]
+            found = list(lexer.grouped([*batches, ("none", [])], most))
+            assert [k for k, _, _ in found] == [k for k, _ in batches] + ["none"] and found[-1][1].tolist() == [0]
+            for (_, part), (_, offsets, ids) in zip(batches, found[:-1], strict=True):
+                for i, text in enumerate(part):
+                    assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+            assert most == 1 or max(met.count(w) for w in ("etaon", "et", "?!", *met[::50])) <= 2  # once more if also in a piece cut by the library
+    assert list(Lexer(spec, "<u2").grouped([])) == []
+
+
 def test_small_automata_are_greedy_merging():
     def merged(word, merges):
         parts = list(word)
