@@ -12,13 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm import bpe_automaton, decontaminate, exact_dedup, order_minhash, quality
-from strataflow.llm.common import lookup_join, shared_dir, staged, table
+from strataflow.llm.common import lookup_join, shared_dir, staged, table, unused
+
+#: Rows of dropped ids that are broadcast at most: the driver collects them, builds their table and serves it.
+DROPPED_ROWS = 250_000
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped(doc_id)."""
-    ids = staged(dropped.filter("doc_id is not null").distinct(), "dropped")
-    return lookup_join(docs, ids, ["doc_id"], "left_anti", ["doc_id"])
+    """docs without the rows whose doc_id is in dropped(doc_id).
+
+    Ids are met as bits of words of 64 neighbouring ids, a row a word: where ids are dense, what is broadcast has a row for
+    64 documents, and never more rows than ids.
+    """
+    word, bits = (unused(n, docs) for n in ("_word", "_bits"))
+    part, bit = (lambda v: F.shiftright(v, 6)), (lambda v: v.bitwiseAND(63).cast("int"))
+    own, gone = F.col("doc_id").cast("long"), F.col("doc_id").cast("long")
+    ids = dropped.filter("doc_id is not null").groupBy(part(gone).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(gone))).alias(bits))
+    met = lookup_join(docs.withColumn(word, part(own)), staged(ids, "dropped"), [word], "left", ["doc_id"], most=DROPPED_ROWS)
+    kept = F.col(bits).isNull() | (F.call_function("shiftright", F.col(bits), bit(own)).bitwiseAND(1) == 0)
+    return met.filter(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
