@@ -172,13 +172,16 @@ def rmse_bias_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAST(list_position(s, list_min(s)) - 1 AS INT) AS best, {r6('list_sort(s)[2] - list_sort(s)[1]')} AS gap,
 {r6('(exp(-s[1] / 100) * s[1] + exp(-s[2] / 100) * s[2] + exp(-s[3] / 100) * s[3] + exp(-s[4] / 100) * s[4]) / (exp(-s[1] / 100) + exp(-s[2] / 100) + exp(-s[3] / 100) + exp(-s[4] / 100))')} AS soft FROM (SELECT well_id, row_id, [tvt, x / 10, y / 10, z / 10] AS s FROM w)""")
 def cross_signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the signals of a row: mean, population deviation, median, range, the smallest's place, its lead, and the softmax mean."""
+    """Over the signals of a row: mean, population deviation, median, range, the smallest's place, its lead, and the softmax mean.
+
+    Signals are running sums, whose last bits depend on the order of addition: equal to 9 digits they tie, and the first is the smallest.
+    """
     rows = wells(spark, sf_dir).select("well_id", "row_id", F.array("tvt", c("x") / 10, c("y") / 10, c("z") / 10).alias("s"))
     rows = rows.withColumn("sorted", F.array_sort("s")).withColumn("m", F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.size("s"))
     spread = F.sqrt(F.aggregate(F.transform("s", lambda v: (v - c("m")) * (v - c("m"))), F.lit(0.0), lambda a, v: a + v) / F.size("s"))
     soft = F.aggregate(F.transform("s", lambda v: F.exp(-v / 100) * v), F.lit(0.0), lambda a, v: a + v) / F.aggregate(F.transform("s", lambda v: F.exp(-v / 100)), F.lit(0.0), lambda a, v: a + v)
-    first = c("sorted")[0]
-    return rows.select("well_id", "row_id", rounded(c("m")).alias("sig_mean"), rounded(spread).alias("sig_std"), rounded((c("sorted")[1] + c("sorted")[2]) / 2).alias("sig_median"), rounded(c("sorted")[3] - first).alias("sig_range"), (F.array_position("s", first) - 1).cast("int").alias("best"), rounded(c("sorted")[1] - first).alias("gap"), rounded(soft).alias("soft"))
+    first, level = c("sorted")[0], F.transform("s", lambda v: F.round(v, 9))
+    return rows.select("well_id", "row_id", rounded(c("m")).alias("sig_mean"), rounded(spread).alias("sig_std"), rounded((c("sorted")[1] + c("sorted")[2]) / 2).alias("sig_median"), rounded(c("sorted")[3] - first).alias("sig_range"), (F.array_position(level, F.array_min(level)) - 1).cast("int").alias("best"), rounded(c("sorted")[1] - first).alias("gap"), rounded(soft).alias("soft"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round(least(greatest(l_extendedprice, 1000), 50000), 6) AS price, round(l_extendedprice / nullif(l_discount, 0), 6) AS per_discount, CASE WHEN l_quantity > 25 THEN l_tax END AS tax_if_large FROM lineitem")
