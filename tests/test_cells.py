@@ -70,3 +70,15 @@ def test_rows_of_all_features_are_not_moved(spark):
     assert "FlatMapCoGroupsInPandas" in plan and len(names) > 300
     assert not any("Join" in line or "Exchange" in line for line in plan[: plan.index("FlatMapCoGroupsInPandas")].splitlines())
     assert rows.filter(F.col("target").isNull()).count() == 0 and rows.count() == rows.select("well_id", "row_id").distinct().count()
+
+
+def test_folds_reach_the_rows_without_moving_them(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = wells(spark, DATA).select("well_id", "row_id")
+        found = residual.with_folds(rows, wells(spark, DATA), "well_id", 3)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(residual, "BROADCAST_WELLS", 0)
+        assert sorted(found.collect()) == sorted(residual.with_folds(rows, wells(spark, DATA), "well_id", 3).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
